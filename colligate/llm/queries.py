@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, id_shards
+from . import bpe, decontaminate, id_shards, language_id
 from .shared import table
 
 
@@ -26,8 +26,22 @@ def op6_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, vocabulary("byte_bpe_50k.json"), ids=False)
 
 
+def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.contamination(docs, benchmark)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op8_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.held_out(F.col("doc_id"))
+    profiles = language_id.learn(docs.where(~held_out))
+    found = language_id.identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_id_shards, op6_bpe_pair_index)}
+    return {f.__name__: f for f in (op1_id_shards, op4_suffix_arrays, op6_bpe_pair_index, op8_hyperdimensional)}
 
 
 def oracle_sql() -> dict[str, str]:

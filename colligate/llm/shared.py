@@ -67,8 +67,8 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that each holds at most limit bytes of the column, or one row."""
+def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that each holds at most limit bytes of the column, or one row, and at most rows rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -76,7 +76,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
         first = 0
         while first < batch.num_rows:
             last = int(np.searchsorted(ends, ends[first] + limit, "right")) - 1
-            last = min(max(last, first + 1), batch.num_rows)
+            last = min(max(last, first + 1), first + rows, batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
 
