@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, id_shards, language_id
+from . import bpe, decontaminate, id_shards, language_id, near_dup
 from .shared import table
 
 
@@ -40,8 +40,12 @@ def op8_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_chosen_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_id_shards, op4_suffix_arrays, op6_bpe_pair_index, op8_hyperdimensional)}
+    return {f.__name__: f for f in (op1_id_shards, op4_suffix_arrays, op6_bpe_pair_index, op8_hyperdimensional, op9_chosen_paths)}
 
 
 def oracle_sql() -> dict[str, str]:
