@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, id_shards, language_id, near_dup
+from . import bpe, decontaminate, id_shards, language_id, line_dedup, near_dup
 from .shared import table
 
 
@@ -44,9 +44,39 @@ def op9_chosen_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP10_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS number
+  FROM documents),
+words AS (
+  SELECT doc_id, number, line, list_filter(string_split(lower(line), ' '), lambda w: w <> '') AS w FROM lines),
+sets AS (
+  SELECT row_number() OVER (ORDER BY doc_id, number) AS r, doc_id, number, line,
+         CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)])
+              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM words),
+tokens AS (SELECT r, len(s) AS n, unnest(s) AS t FROM sets),
+shared AS (
+  SELECT a.r AS a, b.r AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.r < b.r GROUP BY a.r, b.r),
+gone AS (SELECT DISTINCT b AS r FROM shared WHERE 100 * c >= 75 * (na + nb - c)),
+kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(gone.r) AS n_removed,
+         string_agg(line, chr(10) ORDER BY number) FILTER (WHERE gone.r IS NULL) AS t
+  FROM sets LEFT JOIN gone USING (r) GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM kept
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_id_shards, op4_suffix_arrays, op6_bpe_pair_index, op8_hyperdimensional, op9_chosen_paths)}
+    return {f.__name__: f for f in (op1_id_shards, op4_suffix_arrays, op6_bpe_pair_index, op8_hyperdimensional, op9_chosen_paths, op10_line_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_join": OP10_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,6 +34,13 @@ def written(df: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def freed(df: DataFrame) -> DataFrame:
+    """df as it is; lets Spark delete the shuffle files of what was written before and is no longer referred to."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
