@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,13 +30,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bpe import byte_letters
 from .shared import blocks, mixed, partitions_for, spread, texts, work_dir, written
 
 MAGIC = b"CGIDX1\0\0"
 FOOTER = struct.Struct("<8sqqqqq")
 #: Bytes of input on disk for each shard; ids take about 1.3 times as much.
 SHARD_BYTES = 32 << 20
-CACHED_CHUNKS = 500_000
+CACHED_WORDS = 600_000
 LEVELS = 64
 
 
@@ -167,13 +169,12 @@ class Shard:
 # --- encoding -------------------------------------------------------------------------------------
 
 
-class ChunkEncoder:
-    """Encodes texts with a tokenizers file by way of chunks between spaces, each distinct one once.
+class WordEncoder:
+    """Encodes texts with a tokenizers file, the model seeing each distinct pre-token of Latin text once.
 
-    A tokenizer that drops white space before its model gives a text the ids of its chunks in turn; the
-    library encodes every chunk. If it also does no more than compose, lower the case and split by one
-    pattern, chunks of Latin letters are split here and the library encodes each distinct pre-token.
-    Other tokenizers get whole texts.
+    That holds for tokenizers that compose, lower the case, make white space one space, split by one
+    pattern and spell the parts in byte letters; a Latin-1 text's pre-tokens are found here, and their
+    ids come from the library's model. All other texts and tokenizers go through the library whole.
     """
 
     def __init__(self, file: str):
@@ -183,49 +184,38 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.by_chunk = self._drops_white_space()
+        self.model = self.tokenizer.model
         config = json.loads(file)
         self.specials = [t["content"].lower() for t in config["added_tokens"]]
-        self.pattern = self._split_pattern(config) if self.by_chunk else None
-        self.words: dict[str, list[int]] = {}
+        self.pattern = self._split_pattern(config)
+        letters = {b: c for c, b in byte_letters().items()}
+        self.spelling = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
         self._clear()
 
-    def _drops_white_space(self) -> bool:
-        probe = "aB, c'd's 12xé\u0301 ẛ<|endoftext|>e"
-        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        return whole == [i for c in probe.split(" ") for i in self.tokenizer.encode(c, add_special_tokens=False).ids] and not self.tokenizer.encode(" \n ", add_special_tokens=False).ids
-
     @staticmethod
-    def _split_pattern(config: dict) -> regex.Pattern | None:
+    def _split_pattern(config: dict) -> re.Pattern | None:
+        """The pattern with its Unicode classes spelled out for Latin-1."""
         steps = (config["normalizer"] or {}).get("normalizers", [])
         parts = (config["pre_tokenizer"] or {}).get("pretokenizers", [])
         plain = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in parts] == ["Split", "ByteLevel"]
-        if not plain or not parts[0]["invert"] or parts[0]["behavior"] != "Removed" or "Regex" not in parts[0]["pattern"] or parts[1]["use_regex"] or parts[1]["add_prefix_space"]:
+        if not plain or not parts[0]["invert"] or parts[0]["behavior"] != "Removed" or parts[1]["use_regex"] or parts[1]["add_prefix_space"]:
             return None
-        return regex.compile(parts[0]["pattern"]["Regex"])
+        pattern = parts[0]["pattern"].get("Regex", "")
+        latin = [chr(c) for c in range(256)]
+        for name in ("\\p{L}", "\\p{N}"):
+            pattern = pattern.replace(name, "".join(re.escape(c) for c in latin if regex.fullmatch(name, c)))
+        space = "\t\n\v\f\r \x85\xa0"
+        pattern = pattern.replace("\\s", space)
+        return None if "\\p" in pattern else re.compile(pattern)
 
     def _clear(self) -> None:
-        self.places: dict[str, int] = {"": 0}
+        self.places: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.starts, self.lengths = np.zeros(CACHED_CHUNKS + 1, np.int64), np.zeros(CACHED_CHUNKS + 1, np.int64)
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _ids(self, chunks: list[str]) -> list[list[int]]:
-        if self.pattern is None:
-            return self._library(chunks)
-        split = [self.pattern.findall(c) if _latin(c) and not any(s in c for s in self.specials) else None for c in chunks]
-        if len(self.words) > CACHED_CHUNKS:
-            self.words = {}
-        words = self.words
-        new = list({w: 0 for s in split if s for w in s if w not in words})
-        words.update(zip(new, self._library(new), strict=True))
-        rest = iter(self._library([c for c, s in zip(chunks, split, strict=True) if s is None]))
-        return [next(rest) if s is None else words[s[0]] if len(s) == 1 else [i for w in s for i in words[w]] for s in split]
-
-    def _learn(self, chunks: list[str]) -> None:
-        found = self._ids(chunks)
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        tokenize, spelling = self.model.tokenize, self.spelling
+        found = [[t.id for t in tokenize(w.translate(spelling))] for w in words]
         lengths, place = np.array([len(x) for x in found], np.int64), len(self.places)
         end, total = place + len(found), int(lengths.sum())
         while end > len(self.starts):
@@ -234,33 +224,39 @@ class ChunkEncoder:
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
         self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
         self.starts[place:end], self.lengths[place:end] = self.used + np.cumsum(lengths) - lengths, lengths
-        self.places.update(zip(chunks, range(place, end), strict=True))
+        self.places.update(zip(words, range(place, end), strict=True))
         self.used += total
 
-    def _lowered(self, text: str) -> str:
-        """For a Latin text, its lower case, as the tokenizer takes it; other texts as they are."""
+    def _split(self, text: str) -> list[str] | None:
+        """The pre-tokens of a Latin text without special tokens."""
         if self.pattern is None or not _latin(text):
-            return text
+            return None
         low = text.lower()
-        return text if any(s in low for s in self.specials) else low
+        return None if any(s in low for s in self.specials) else self.pattern.findall(low)
 
     def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
-        if not self.by_chunk:
-            ids = self._library(batch)
-            return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
-        if len(self.places) > CACHED_CHUNKS:
+        if len(self.places) > CACHED_WORDS:
             self._clear()
-        split = [self._lowered(x).replace("\n", " ").split(" ") for x in batch]
+        split = [self._split(x) for x in batch]
+        whole = [i for i, x in enumerate(split) if x is None]
         known = self.places
-        missing = list({c: 0 for x in split for c in x if c not in known})
+        missing = list({w: 0 for x in split if x is not None for w in x if w not in known})
         if missing:
             self._learn(missing)
-        counts = np.array([len(x) for x in split], np.int64)
-        place = np.fromiter((known[c] for x in split for c in x), np.int64, int(counts.sum()))
+        counts = np.array([len(x) if x is not None else 0 for x in split], np.int64)
+        place = np.fromiter((known[w] for x in split if x is not None for w in x), np.int64, int(counts.sum()))
         lengths = self.lengths[place]
+        ids = self.flat[spread(self.starts[place], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-        return self.flat[spread(self.starts[place], lengths)], np.diff(ends)
+        sizes = np.diff(ends)
+        if whole:
+            parts = np.split(ids, ends[1:-1])
+            for i, e in zip(whole, self.tokenizer.encode_batch_fast([batch[i] for i in whole], add_special_tokens=False), strict=True):
+                parts[i] = np.array(e.ids, np.uint32)
+                sizes[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return ids, sizes
 
 
 def _latin(text: str) -> bool:
@@ -272,13 +268,13 @@ def _latin(text: str) -> bool:
     return True
 
 
-_encoders: dict[int, ChunkEncoder] = {}
+_encoders: dict[int, WordEncoder] = {}
 
 
-def _encoder(file: str) -> ChunkEncoder:
+def _encoder(file: str) -> WordEncoder:
     key = zlib.crc32(file.encode())
     if key not in _encoders:
-        _encoders[key] = ChunkEncoder(file)
+        _encoders[key] = WordEncoder(file)
     return _encoders[key]
 
 
