@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, id_shards, language_id, line_dedup, near_dup
+from . import bpe, decontaminate, id_shards, language_id, line_dedup, near_dup, pii
 from .shared import table
 
 
@@ -26,6 +26,10 @@ def op6_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, vocabulary("byte_bpe_50k.json"), ids=False)
 
 
+def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"), redact=False)
+
+
 def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.contamination(docs, benchmark)
@@ -75,7 +79,7 @@ SELECT doc_id, n_lines, n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_id_shards, op4_suffix_arrays, op6_bpe_pair_index, op8_hyperdimensional, op9_chosen_paths, op10_line_join)}
+    return {f.__name__: f for f in (op1_id_shards, op3_boosted_pii, op4_suffix_arrays, op6_bpe_pair_index, op8_hyperdimensional, op9_chosen_paths, op10_line_join)}
 
 
 def oracle_sql() -> dict[str, str]:
