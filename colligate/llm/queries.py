@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, id_shards, language_id, line_dedup, near_dup, pii
+from . import bpe, decontaminate, id_shards, image_copies, language_id, line_dedup, near_dup, pii, token_counts
 from .shared import table
 
 
@@ -26,6 +26,15 @@ def op6_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, vocabulary("byte_bpe_50k.json"), ids=False)
 
 
+def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images, so each vector of embeddings gives one. Of every row whose id is divisible
+    by 20, an edited crop is looked up among the images of all rows."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    images = image_copies.rendered(vectors, "vec_id", "embedding")
+    asked = image_copies.rendered(vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", edited=True)
+    return image_copies.find_copies(asked, images, "id", "image")
+
+
 def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"), redact=False)
 
@@ -36,6 +45,10 @@ def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op8_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = language_id.held_out(F.col("doc_id"))
@@ -79,7 +92,18 @@ SELECT doc_id, n_lines, n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_id_shards, op3_boosted_pii, op4_suffix_arrays, op6_bpe_pair_index, op8_hyperdimensional, op9_chosen_paths, op10_line_join)}
+    found = (
+        op1_id_shards,
+        op2_image_copies,
+        op3_boosted_pii,
+        op4_suffix_arrays,
+        op6_bpe_pair_index,
+        op7_trie_counts,
+        op8_hyperdimensional,
+        op9_chosen_paths,
+        op10_line_join,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
