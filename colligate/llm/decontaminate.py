@@ -200,8 +200,10 @@ def _searched(sent):
                     spans[d] += [f, n]
                 for d, i in sorted(set(zip(doc.tolist(), item.tolist(), strict=True))):
                     items[d].append(bench.ids[i])
-                columns = {"cg_spans": pa.array(spans, pa.list_(pa.int32())), "cg_items": pa.array(items, pa.list_(pa.string()))}
-                batch = pa.RecordBatch.from_arrays([columns.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
+                columns = {"cg_spans": spans, "cg_items": items}
+                batch = pa.RecordBatch.from_arrays(
+                    [pa.array(columns[f.name], f.type) if f.name in columns else batch.column(f.name) for f in batch.schema], schema=batch.schema
+                )
             yield batch
 
     return rows
