@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, id_shards, image_copies, language_id, line_dedup, near_dup, pii, token_counts
+from . import bpe, decontaminate, id_shards, image_copies, language_id, line_dedup, near_dup, phrase_dedup, pii, token_counts
 from .shared import table
 
 
@@ -21,6 +21,10 @@ def op1_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_shards.encode_to_shards(docs, vocabulary("word_bpe_49k.json"))
 
 
+def op5_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.remove_repeated_phrases(table(spark, sf_dir, "documents"), kept_text=False)
+
+
 def op6_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_documents(docs, vocabulary("byte_bpe_50k.json"), ids=False)
@@ -97,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_image_copies,
         op3_boosted_pii,
         op4_suffix_arrays,
+        op5_phrase_automata,
         op6_bpe_pair_index,
         op7_trie_counts,
         op8_hyperdimensional,
