@@ -8,12 +8,14 @@ by level:
 * classes that are connected need no further comparison with each other, so a node is done when all its
   members are connected;
 * of the other nodes, small ones (up to SMALL members) are compared exhaustively, and members of large
-  ones choose BRANCHES further minwise tokens each, which give the nodes of the next level.
+  ones take BRANCHES paths of STEPS further minwise tokens each, which lead to the nodes of the next level.
 
-A node that is still large and mixed after LEVELS levels is compared exhaustively.
+Documents that only share a frequent passage part on the way: a path keeps a pair of similarity s with
+probability s ** STEPS. A node that is still large and mixed after LEVELS levels is compared exhaustively.
 
 Recall: a pair of similarity s shares no node in TREES trees with probability (1 - s) ** TREES, 6e-8 at
-0.75. Before the full sets are fetched, pairs whose 64 one-byte minwise samples agree in fewer than
+0.75. Where all of its nodes are large and mixed, it shares no path in TREES trees with probability
+(1 - s ** (STEPS + 1)) ** (TREES * BRANCHES) or less, 1e-3 at 0.75 and 1e-6 at 0.8. Before the full sets are fetched, pairs whose 64 one-byte minwise samples agree in fewer than
 AGREE places are dropped; a pair of 0.75 falls below with probability 1e-8.
 
 Null texts and texts without words have the empty set, which has no links. Rows that repeat an id are one
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .shared import blocks, mixed, spread, texts, written
+from .shared import blocks, freed, mixed, spread, texts, written
 from .words import SPACED_FOLDED, find, sequence_hashes
 
 SHINGLE = 5
@@ -38,8 +40,9 @@ TREES = 12
 SAMPLES = 64
 AGREE = 28
 SMALL = 30
-BRANCHES = 3
-LEVELS = 8
+BRANCHES = 4
+STEPS = 6
+LEVELS = 3
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -166,8 +169,8 @@ def _links(spark, docs: DataFrame, classes: DataFrame, percent: int) -> DataFram
         if played is None:
             # texts of documents that share a node with another one, from here on the only ones that are read
             ids = nodes.select(F.col("rep").alias("doc_id")).distinct()
-            played = written(docs.join(ids, "doc_id", "left_semi"), spark)
-        found = written(_verified(pairs, sampled, played, percent), spark)
+            played = freed(written(docs.join(ids, "doc_id", "left_semi"), spark))
+        found = freed(written(_verified(pairs, sampled, played, percent), spark))
         links = links.union(found)
         of = components(links).groupBy("node").agg(F.min("component").alias("component"))
         of = written(of, spark)
@@ -181,11 +184,11 @@ def _links(spark, docs: DataFrame, classes: DataFrame, percent: int) -> DataFram
         if level and left.isEmpty():
             return links
         chosen = F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1)))
-        place = F.pmod(F.xxhash64("node", "branch"), F.lit(SAMPLES)).cast("int")
+        place = lambda j: F.pmod(F.xxhash64("node", "branch", F.lit(j)), F.lit(SAMPLES)).cast("int")
         branched = large.join(sampled.select("rep", "samples"), "rep").select("node", "rep", "samples", chosen.alias("branch"))
-        nodes = branched.select("rep", F.xxhash64("node", "branch", F.substring("samples", place + 1, F.lit(1))).alias("node"))
-        if level == 0:
-            small = written(small, spark)
+        path = F.concat(*[F.substring("samples", place(j) + 1, F.lit(1)) for j in range(STEPS)])
+        nodes = branched.select("rep", F.xxhash64("node", "branch", path).alias("node"))
+        small = freed(written(small, spark))
 
 
 def _mixed(nodes: DataFrame, of: DataFrame) -> DataFrame:
