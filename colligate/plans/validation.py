@@ -20,12 +20,12 @@ def _broken(rule: Rule, ref: TypeRef, x: Column) -> Column:
         return x > F.lit(str(rule.value)).cast("decimal(38,18)") if isinstance(rule.value, int) else x > rule.value
     if rule.kind == "size":
         size = F.octet_length(x) if ref.name in ("string", "bytes") else F.size(x)
-        out = F.lit(False)
+        broken = F.lit(False)
         if rule.low is not None:
-            out = out | (size < rule.low)
+            broken = broken | (size < rule.low)
         if rule.high is not None:
-            out = out | (size > rule.high)
-        return out
+            broken = broken | (size > rule.high)
+        return broken
     return ~x.rlike(rule.value)
 
 
@@ -43,6 +43,16 @@ def _checked(rule: Rule, f: Field) -> None:
 def violations(contract: Contract, type_name: str, record: Column) -> Column:
     """An array of (path, rule). NULL values break no rule."""
 
+    def _each(inner: str, container: str, value: Column, at: Column, depth: int) -> Column:
+        none = F.array().cast(VIOLATIONS)
+
+        def one(y: Column, where: Column) -> Column:
+            return F.flatten(F.array(none, *[F.coalesce(c, none) for c in visit(inner, y, where, depth + 1)]))
+
+        if container == "map":
+            return F.transform(F.map_entries(value), lambda e: one(e["value"], F.concat(at, F.lit("."), e["key"], F.lit("."))))
+        return F.transform(value, lambda y, i: one(y, F.concat(at, F.lit("["), i.cast("string"), F.lit("]."))))
+
     def visit(name: str, x: Column, path: Column, depth: int) -> list[Column]:
         if depth > DEEPEST:
             raise SchemaError(f"{name} is nested more than {DEEPEST} deep")
@@ -57,13 +67,7 @@ def violations(contract: Contract, type_name: str, record: Column) -> Column:
             if f.type.name in contract.records:
                 out += [F.when(value.isNotNull(), c) for c in visit(f.type.name, value, F.concat(at, F.lit(".")), depth + 1)]
             elif f.type.args and f.type.args[-1].name in contract.records:
-                inner = f.type.args[-1].name
-                each = lambda y, where, inner=inner: F.flatten(F.array(*[F.coalesce(c, F.array().cast(VIOLATIONS)) for c in visit(inner, y, where, depth + 1)]))
-                if f.type.name == "map":
-                    found = F.transform(F.map_entries(value), lambda e, at=at, each=each: each(e["value"], F.concat(at, F.lit("."), e["key"], F.lit("."))))
-                else:
-                    found = F.transform(value, lambda y, i, at=at, each=each: each(y, F.concat(at, F.lit("["), i.cast("string"), F.lit("]."))))
-                out.append(F.flatten(found))
+                out.append(F.flatten(_each(f.type.args[-1].name, f.type.name, value, at, depth)))
         return out
 
     found = visit(type_name, record, F.lit(""), 1)

@@ -60,7 +60,7 @@ def json_to_yaml(texts: pd.Series) -> pd.Series:
 
 
 def to_yaml(contract: Contract, type_name: str, record: Column, nulls: bool = False) -> Column:
-    return json_to_yaml(to_json(contract, type_name, record, nulls))
+    return json_to_yaml(to_json(contract, type_name, record, nulls)).alias("yaml")
 
 
 _XML_NAME = re.compile(r"[A-Za-z_][\w.-]*")
