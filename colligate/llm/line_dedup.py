@@ -22,6 +22,8 @@ key are one document: they share decisions by line number. Extra columns are car
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -35,16 +37,25 @@ SALTS = 64
 LOW = (1 << 52) - 1
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), " "), lambda w: w != "")
+def _word_hashes(line: Column) -> Column:
+    return F.transform(F.array_remove(F.split(F.lower(line), " "), ""), lambda w: F.xxhash64(w))
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once: a lambda's parameter, where a column's name may be put in place."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _shingles(hashes: Column) -> Column:
+    span = lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(SHINGLE)])
+    several = F.transform(F.sequence(F.lit(0), F.size(hashes) - SHINGLE), span)
+    some = F.when(F.size(hashes) >= SHINGLE, several).when(F.size(hashes) > 0, F.array(F.xxhash64(hashes)))
+    return F.array_distinct(some.otherwise(F.array().cast("array<bigint>")))
 
 
 def with_shingles(lines: DataFrame) -> DataFrame:
     """Adds shingles, the distinct token hashes of line, and drops lines without words."""
-    hashed = lines.withColumn("hw", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).where(F.size("hw") > 0)
-    span = lambda i: F.xxhash64(*[F.get("hw", i + j) for j in range(SHINGLE)])
-    several = F.transform(F.sequence(F.lit(0), F.size("hw") - SHINGLE), span)
-    return hashed.withColumn("shingles", F.array_distinct(F.when(F.size("hw") >= SHINGLE, several).otherwise(F.array(F.xxhash64("hw")))))
+    return lines.withColumn("shingles", _bound(_word_hashes(F.col("line")), _shingles)).where(F.size("shingles") > 0)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -61,15 +72,26 @@ def bucket_counts(shingled: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(shingled: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc, number, n, token, pos, salt: the prefix tokens of every line."""
+def _described(lines: DataFrame, counts: np.ndarray) -> DataFrame:
+    """doc, number, h1, h2, n, prefix: hashes of a line's words, the number of its tokens, and its prefix."""
     rank = F.lit(np.minimum(np.log2(np.maximum(counts, 1)) * 64, 2047).astype(np.int64))
     bucket = lambda s: F.pmod(s, F.lit(BUCKETS)).cast("int")
     token = lambda s: F.shiftleft(F.get(rank, bucket(s)), 52).bitwiseOR(s.bitwiseAND(F.lit(LOW)))
-    ordered = shingled.select("doc", "number", F.sort_array(F.transform("shingles", token)).alias("tokens"))
-    n = F.size("tokens")
-    prefix = F.slice("tokens", F.lit(1), n - F.floor((3 * n + 3) / 4).cast("int") + 1)
-    rows = ordered.select("doc", "number", n.alias("n"), F.posexplode(prefix).alias("pos", "token"))
+    first = lambda n: n - F.floor((3 * n + 3) / 4).cast("int") + 1
+    cut = lambda tokens: F.struct(F.size(tokens).alias("n"), F.slice(tokens, F.lit(1), first(F.size(tokens))).alias("prefix"))
+
+    def described(hashes: Column) -> Column:
+        tokens = F.sort_array(F.transform(_shingles(hashes), token))
+        keys = F.struct(F.xxhash64(hashes).alias("h1"), F.xxhash64(F.lit(1), F.size(hashes), hashes).alias("h2"))
+        return F.struct(keys.alias("keys"), _bound(tokens, cut).alias("cut"))
+
+    found = lines.select("doc", "number", _bound(_word_hashes(F.col("line")), described).alias("d"))
+    return found.select("doc", "number", "d.keys.*", "d.cut.*").where("n > 0")
+
+
+def _prefixes(described: DataFrame, counts: np.ndarray) -> DataFrame:
+    """doc, number, n, token, pos, salt: the prefix tokens of every line."""
+    rows = described.select("doc", "number", "n", F.posexplode("prefix").alias("pos", "token"))
     hot = int(np.log2(max(counts.sum() * HOT_SHARE, 1024)) * 64)
     salt = F.when(F.shiftright("token", 52) >= hot, F.pmod(F.xxhash64("doc", "number"), F.lit(SALTS)).cast("int")).otherwise(0)
     return rows.withColumn("salt", salt)
@@ -114,13 +136,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """docs: doc, text. doc, number of every line that goes."""
     spark = docs.sparkSession
     lines = lines_of(docs)
-    shingled = with_shingles(lines).select("doc", "number", "shingles")
-    counts = bucket_counts(shingled)
-    words = lines.withColumn("w", _words(F.col("line"))).where("size(w) > 0")
-    keyed = words.select("doc", "number", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w", F.size("w")).alias("h2"))
+    counts = bucket_counts(lines.select(_bound(_word_hashes(F.col("line")), _shingles).alias("shingles")))
+    described = freed(written(_described(lines, counts), spark))
+    keyed = described.select("doc", "number", "h1", "h2")
     firsts = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc", "number")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "f")
     copies = written(keyed.join(firsts, ["h1", "h2"]).where("struct(doc, number) != f").select("doc", "number").distinct(), spark)
-    prefixes = _prefixes(shingled, counts)
+    prefixes = _prefixes(described, counts)
     pairs = _candidates(prefixes).repartition("doc", "number").join(copies, ["doc", "number"], "left_anti").distinct()
     pairs = freed(written(pairs, spark))
     near = freed(written(_verified(pairs.where("token is null").drop("token"), docs), spark))
