@@ -1,16 +1,20 @@
 """Repeated phrases: words of a document that a smaller document's 13-word windows cover are removed.
 
-1. Anchors. Of the five-word grams in each window the one with the least hash is its anchor, so documents
-   that share a window share its anchor. Anchors that occur in one document alone are dropped.
-2. Passages. Only windows whose anchor recurs are grouped by hash; windows of several documents are
-   recurring, and belong to the smallest of these. A run of recurring windows that belong to their own
-   document is a passage; a run that belongs to one smaller document is a segment that looks for it.
-3. Automata. Passages and segments are dealt by the document that they belong to. There the words of its
+1. Stretches. Of the five-word grams in each window the one with the least hash is its anchor, so documents
+   that share a window share its anchor. The windows of one anchor in one place are a stretch of words.
+   Stretches whose anchor occurs in one document alone are dropped; the others are grouped by hash. A
+   stretch that a smaller document has too belongs to the smallest such document with all its windows.
+2. Windows. Only where different stretches have one anchor can a window be in several of them. There the
+   windows of each stretch's first document are grouped by hash in turn.
+3. Passages. A run of windows that others look for in a document is a passage of it; a run of windows that
+   belong to one smaller document is a segment that looks for it.
+4. Automata. Passages and segments are dealt by the document that they belong to. There the words of its
    passages are compiled into an Aho-Corasick automaton of all their windows, and the segments are streamed
    through it; what it finds, word for word, is removed. A document whose windows recur in very many others
    is dealt to several places, each with a copy of its passages and a share of the segments.
 
-No step collects what shares a hash: grouping keeps the least and greatest document and a count.
+No step collects what shares a hash: grouping keeps the least and greatest document and a count, and is
+begun in each block before rows are shuffled.
 
 Words are what stands between ASCII white space. Null texts have no words. Rows with a null id lose nothing
 and are nobody's source. Rows that share an id lose nothing to each other. Empty tables give empty results;
@@ -21,12 +25,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import blocks, freed, spread, texts, written
+from .shared import blocks, freed, mixed, spread, texts, written
 from .words import SPACED, Words, find, sequence_hashes
 
 WINDOW = 13
@@ -52,34 +57,91 @@ def windows_of(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, sequence_hashes(found.hashes, WINDOW)[at], anchor[at]
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches, "text"):
-        found = find(*texts(batch.column("text")), SPACED)
-        at, _, anchor = windows_of(found)
-        if not len(at):
+@dataclass
+class Stretches:
+    """row: text of each; first, last: of its windows; hashes; anchors; of: the stretch of each window."""
+
+    windows: np.ndarray
+    window_hashes: np.ndarray
+    row: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    hashes: np.ndarray
+    anchors: np.ndarray
+    of: np.ndarray
+
+    @staticmethod
+    def find(found: Words) -> Stretches:
+        at, hashes, anchor = windows_of(found)
+        new = np.ones(len(at), bool)
+        new[1:] = anchor[1:] != anchor[:-1]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at))[: len(first)] - 1
+        # at most nine windows: the first and the last one hold all words
+        own = mixed(hashes[first] * np.uint64(0xA24BAED4963EE407) + mixed(hashes[last]) + (last - first).astype(np.uint64))
+        grams = sequence_hashes(found.hashes, GRAM)
+        row = np.searchsorted(found.first, at[first], "right") - 1
+        return Stretches(at, hashes, row, first, last, own, grams[anchor[first]] if len(at) else own, np.cumsum(new) - 1)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each stretch of a block: anchor, its hash, and the documents with it."""
+    for batch in blocks(batches, "text", 8 << 20):
+        found = Stretches.find(find(*texts(batch.column("text")), SPACED))
+        if not len(found.first):
             continue
-        anchor = anchor[np.concatenate([[True], anchor[1:] != anchor[:-1]])]
-        row = np.searchsorted(found.first, anchor, "right") - 1
-        hashes = sequence_hashes(found.hashes, GRAM)[anchor].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column("doc").take(pa.array(row))], ["h", "doc"])
+        doc = batch.column("doc").to_numpy(zero_copy_only=False)[found.row]
+        order = np.lexsort((doc, found.hashes))
+        hashes, doc, anchors = found.hashes[order], doc[order], found.anchors[order]
+        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(doc))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(anchors[start].view(np.int64)), pa.array(hashes[start].view(np.int64)), pa.array(doc[start]), pa.array(doc[end - 1]), pa.array(end - start)],
+            ["h", "s", "m", "x", "c"],
+        )
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in blocks(batches, "text"):
+        found = Stretches.find(find(*texts(batch.column("text")), SPACED))
+        if len(found.first):
+            yield pa.RecordBatch.from_arrays([pa.array(found.hashes.view(np.int64)), batch.column("doc").take(pa.array(found.row))], ["s", "doc"])
+
+
+class Entries:
+    """What is known of a document's stretches or windows, by hash."""
+
+    def __init__(self, entries: pa.StructArray, key: str):
+        self.hashes = entries.field(key).to_numpy(zero_copy_only=False).view(np.uint64)
+        order = np.argsort(self.hashes)
+        self.hashes = self.hashes[order]
+        self.values = {f.name: entries.field(f.name).to_numpy(zero_copy_only=False)[order] for f in entries.type}
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each is known, and its place."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.hashes[at] == hashes, at
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text, anchors: a row for each distinct window of a document whose anchor is among its anchors."""
+    """doc, text, stretches: the distinct windows of a document's own stretches that share an anchor with others."""
     for batch in blocks(batches, "text"):
-        found = find(*texts(batch.column("text")), SPACED)
-        at, hashes, anchor = windows_of(found)
-        row = np.searchsorted(found.first, at, "right") - 1
-        grams = sequence_hashes(found.hashes, GRAM)
-        ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        known = batch.column("anchors")
+        found = Stretches.find(find(*texts(batch.column("text")), SPACED))
+        ends = np.searchsorted(found.row, np.arange(batch.num_rows + 1))
+        docs, listed = batch.column("doc").to_pylist(), batch.column("stretches")
         ids, out = [], []
-        for i in range(batch.num_rows):
-            mine = grams[anchor[ends[i] : ends[i + 1]]]
-            kept = hashes[ends[i] : ends[i + 1]][np.isin(mine, known[i].values.to_numpy(zero_copy_only=False).view(np.uint64))]
-            kept = np.unique(kept)
-            out.append(kept)
-            ids.append(np.full(len(kept), i))
+        for i, doc in enumerate(docs):
+            known = Entries(listed[i].values, "s")
+            hit, at = known.find(found.hashes[ends[i] : ends[i + 1]])
+            if not hit.any():
+                continue
+            mine = ends[i] + np.flatnonzero(hit & known.values["several"][at] & (known.values["m"][at] == doc))
+            w = np.unique(found.window_hashes[spread(found.first[mine], found.last[mine] - found.first[mine] + 1)])
+            out.append(w)
+            ids.append(np.full(len(w), i))
         if sum(map(len, out)):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), batch.column("doc").take(pa.array(np.concatenate(ids)))], ["w", "doc"])
 
@@ -99,34 +161,44 @@ _ROUTED = "source long, places int, place int, kind int, doc long, hash long, st
 
 
 def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, hash, text, found (w, m, k): passages (kind 0) and segments (kind 1) for the sources' places."""
+    """doc, hash, text, stretches, windows: passages (kind 0) and segments (kind 1) for the sources' places."""
     for batch in blocks(batches, "text"):
         text = find(*texts(batch.column("text")), SPACED)
-        at, hashes, _ = windows_of(text)
-        row = np.searchsorted(text.first, at, "right") - 1
-        ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        found = Stretches.find(text)
+        ends = np.searchsorted(found.row, np.arange(batch.num_rows + 1))
         out: list[tuple] = []
         docs, own = batch.column("doc").to_pylist(), batch.column("hash").to_pylist()
-        listed = batch.column("found")
+        listed, others = batch.column("stretches"), batch.column("windows")
         for i, doc in enumerate(docs):
-            entries = listed[i].values
-            w, m, k = (entries.field(n).to_numpy(zero_copy_only=False) for n in ("w", "m", "k"))
-            order = np.argsort(w.view(np.uint64))
-            w, m, k = w[order].view(np.uint64), m[order], k[order]
-            mine, places = hashes[ends[i] : ends[i + 1]], at[ends[i] : ends[i + 1]]
-            if not len(mine) or not len(w):
+            a, b = ends[i], ends[i + 1]
+            if a == b:
                 continue
-            to = np.minimum(np.searchsorted(w, mine), len(w) - 1)
-            hit = np.flatnonzero(w[to] == mine)
-            place, source, salts = places[hit], m[to[hit]], k[to[hit]]
-            for a, b in _runs(place, source, salts):
-                first, last = int(place[a]), int(place[b - 1]) + WINDOW
-                words = text.data[text.starts[first] : text.ends[last - 1]].tobytes().decode()
-                s, n = int(source[a]), int(salts[a])
-                if s == doc:
-                    out += [(s, n, j, 0, doc, own[i], first - int(text.first[i]), words) for j in range(n)]
-                else:
-                    out.append((s, n, own[i] % n, 1, doc, own[i], first - int(text.first[i]), words))
+            begin, end = found.first[a], found.last[b - 1] + 1
+            place, of = found.windows[begin:end], found.of[begin:end]
+            stretches = Entries(listed[i].values, "s")
+            hit, at = stretches.find(found.hashes[of])
+            m, k, c = (np.where(hit, stretches.values[n][at], -1) for n in ("m", "k", "c"))
+            m1, k1 = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+            hit2 = np.zeros(len(place), bool)
+            if others[i].is_valid:
+                windows = Entries(others[i].values, "w")
+                hit2, at2 = windows.find(found.window_hashes[begin:end])
+                m1, k1 = windows.values["m"][at2], windows.values["k"][at2]
+            hit2 &= hit & (m == doc)  # elsewhere the stretch says where to look
+            roles = (
+                (0, hit & (m == doc) & (c > 1), m, k),
+                (0, hit2 & (m1 == doc), m1, k1),
+                (1, hit & (m < doc), m, k),
+                (1, hit2 & (m1 < doc), m1, k1),
+            )
+            for kind, chosen, source, places in roles:
+                rows = np.flatnonzero(chosen)
+                for p, q in _runs(place[rows], source[rows], places[rows]):
+                    first, last = int(place[rows[p]]), int(place[rows[q - 1]]) + WINDOW
+                    words = text.data[text.starts[first] : text.ends[last - 1]].tobytes().decode()
+                    s, n = int(source[rows[p]]), int(places[rows[p]])
+                    where = range(n) if kind == 0 else (own[i] % n,)
+                    out += [(s, n, j, kind, doc, own[i], first - int(text.first[i]), words) for j in where]
         if out:
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
             names = [x.split()[0] for x in _ROUTED.split(", ")]
@@ -195,18 +267,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs: doc, hash (of the text), text. doc, hash, start, n: runs of words that go; they may overlap."""
     spark = docs.sparkSession
     known = docs.where("doc is not null and text is not null")
-    anchors = known.select("doc", "text").mapInArrow(_anchors, "h long, doc long")
-    recurring = anchors.groupBy("h").agg(F.min("doc").alias("m"), F.max("doc").alias("x")).where("m < x").select("h")
+    plain = known.select("doc", "text")
+    places = lambda c: F.ceil(F.col(c) / SERVED).cast("int")
+    # one shuffle, by anchor, serves the grouping by stretch and then by anchor
+    each = plain.mapInArrow(_stretches, "h long, s long, m long, x long, c long").repartition("h")
+    each = each.groupBy("h", "s").agg(F.min("m").alias("m"), F.max("x").alias("x"), F.sum("c").alias("c"))
+    by_anchor = each.groupBy("h").agg(F.min("m").alias("m1"), F.max("x").alias("x1"), F.count("*").alias("kinds")).where("m1 < x1")
+    recurring = each.join(by_anchor, "h").select("s", "m", "c", places("c").alias("k"), (F.col("kinds") > 1).alias("several"))
     recurring = freed(written(recurring, spark))
-    listed = anchors.join(recurring, "h", "left_semi").groupBy("doc").agg(F.collect_set("h").alias("anchors"))
+    listed = plain.mapInArrow(_occurrences, "s long, doc long").join(recurring, "s")
+    listed = listed.groupBy("doc").agg(F.collect_list(F.struct("s", "m", "c", "k", "several")).alias("stretches"))
     listed = freed(written(listed, spark))
-    windows = known.select("doc", "text").join(listed, "doc").mapInArrow(_windows, "w long, doc long")
-    windows = freed(written(windows, spark))
+    windows = freed(written(plain.join(listed, "doc").mapInArrow(_windows, "w long, doc long"), spark))
     owners = windows.groupBy("w").agg(F.min("doc").alias("m"), F.max("doc").alias("x"), F.count("*").alias("c")).where("m < x")
-    owners = owners.select("w", "m", F.ceil(F.col("c") / SERVED).cast("int").alias("k"))
-    found = windows.join(owners, "w").groupBy("doc").agg(F.collect_list(F.struct("w", "m", "k")).alias("found"))
-    found = freed(written(found, spark))
-    routed = known.join(found, "doc").select("doc", "hash", "text", "found").mapInArrow(_routed, _ROUTED)
+    shared = windows.join(owners.select("w", "m", places("c").alias("k")), "w").groupBy("doc").agg(F.collect_list(F.struct("w", "m", "k")).alias("windows"))
+    found = freed(written(listed.join(shared, "doc", "left"), spark))
+    routed = known.join(found, "doc").select("doc", "hash", "text", "stretches", "windows").mapInArrow(_routed, _ROUTED)
     routed = routed.repartition("source", "places", "place").sortWithinPartitions("source", "places", "place", "kind")
     return freed(written(routed.mapInArrow(_located, "doc long, hash long, start int, n int"), spark))
 
