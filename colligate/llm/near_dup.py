@@ -15,7 +15,7 @@ probability s ** STEPS. A node that is still large and mixed after LEVELS levels
 
 Recall: a pair of similarity s shares no node in TREES trees with probability (1 - s) ** TREES, 6e-8 at
 0.75. Where all of its nodes are large and mixed, it shares no path in TREES trees with probability
-(1 - s ** (STEPS + 1)) ** (TREES * BRANCHES) or less, 1e-3 at 0.75 and 1e-6 at 0.8. Before the full sets are fetched, pairs whose 64 one-byte minwise samples agree in fewer than
+(1 - s ** (STEPS + 1)) ** (TREES * BRANCHES) or less, 9e-3 at 0.75 and 7e-4 at 0.8. Before the full sets are fetched, pairs whose 64 one-byte minwise samples agree in fewer than
 AGREE places are dropped; a pair of 0.75 falls below with probability 1e-8.
 
 Null texts and texts without words have the empty set, which has no links. Rows that repeat an id are one
@@ -40,8 +40,8 @@ TREES = 12
 SAMPLES = 64
 AGREE = 28
 SMALL = 30
-BRANCHES = 4
-STEPS = 6
+BRANCHES = 2
+STEPS = 5
 LEVELS = 3
 
 
@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
         listed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("trees").alias("trees"), F.first("samples").alias("samples")),
         spark,
     )
-    links = written(_links(spark, docs, classes, percent), spark)
+    links = freed(written(_links(spark, docs, classes, percent), spark))
     of = components(links).groupBy("node").agg(F.min("component").alias("component"))
     degree = links.select("u").union(links.select("v")).groupBy("u").agg(F.count("*").alias("n_links"))
     named = classes.select("h1", "h2", "rep").join(of, F.col("rep") == F.col("node"), "left").join(degree, F.col("rep") == F.col("u"), "left")
@@ -172,8 +172,7 @@ def _links(spark, docs: DataFrame, classes: DataFrame, percent: int) -> DataFram
             played = freed(written(docs.join(ids, "doc_id", "left_semi"), spark))
         found = freed(written(_verified(pairs, sampled, played, percent), spark))
         links = links.union(found)
-        of = components(links).groupBy("node").agg(F.min("component").alias("component"))
-        of = written(of, spark)
+        of = written(_labels(links), spark)
         left = _mixed(nodes, of)
         if level == LEVELS:
             rest = left.select("node", "rep", "component")
@@ -191,6 +190,14 @@ def _links(spark, docs: DataFrame, classes: DataFrame, percent: int) -> DataFram
         small = freed(written(small, spark))
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """node, component: for linked classes one that they are connected with, mostly the least; cheaper than
+    the components, and enough to tell what needs no comparison."""
+    up = links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
+    above = up.select(F.col("node").alias("component"), F.col("component").alias("upper"))
+    return up.join(above, "component", "left").select("node", F.coalesce("upper", "component").alias("component"))
+
+
 def _mixed(nodes: DataFrame, of: DataFrame) -> DataFrame:
     """node, rep, component, size of the nodes with members of several components."""
     nodes = nodes.select("node", "rep")
