@@ -188,7 +188,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 def _searched(sent):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = sent.value
-        for batch in blocks(batches, "cg_text", 16 << 20):
+        for batch in blocks(batches, "cg_text"):
             found = find(*texts(batch.column("cg_text")), LETTERED)
             first, length, item = bench.search(found)
             if len(first):
@@ -211,7 +211,7 @@ def _searched(sent):
 
 def _summed(held: list[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "cg_text", 16 << 20):
+        for batch in blocks(batches, "cg_text"):
             found = find(*texts(batch.column("cg_text")), LETTERED, hashed=False)
             n_words = np.diff(found.first)
             hits, items, digests, n_hit = [], [], [], []
