@@ -136,12 +136,22 @@ def xmlattr(m: Column, autospace: bool = True) -> Column:
     return F.when(out != "", F.concat(F.lit(" "), out)).otherwise(out) if autospace else out
 
 
+def _one_decimal(x: Column) -> Column:
+    """Text with one decimal of a double from 1 to 1024, rounded on its binary value, ties to even."""
+    whole = (x * float(1 << 52)).cast("decimal(20,0)") * F.lit(10).cast("decimal(2,0)")
+    unit, half = F.lit(1 << 52).cast("decimal(17,0)"), F.lit(1 << 51).cast("decimal(17,0)")
+    rest = (whole + half) % unit
+    up = ((whole + half - rest) / unit).cast("long")
+    tenths = F.when((rest == 0) & (up % 2 == 1), up - 1).otherwise(up)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def filesizeformat(n: Column, binary: bool = False) -> Column:
     base = 1024 if binary else 1000
     units = [("KMGTPEZY"[i] if binary or i else "k") + ("iB" if binary else "B") for i in range(8)]
     out = F.when(n == 1, "1 Byte").when(n < base, F.concat(n.cast("long").cast("string"), F.lit(" Bytes")))
     for i, u in enumerate(units):
-        value = F.format_string(f"%.1f {u}", n.cast("double") / float(base ** (i + 1)))
+        value = F.concat(_one_decimal(n.cast("double") / float(base ** (i + 1))), F.lit(f" {u}"))
         out = out.when(n < float(base ** (i + 2)), value) if i < len(units) - 1 else out.otherwise(value)
     return out
 

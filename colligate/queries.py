@@ -303,11 +303,11 @@ def str_wordcount(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", long(strings.wordcount(F.col("text"))).alias("words"), long(strings.character_length(F.col("text"))).alias("chars"))
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;'), '"', '&#34;') AS safe,
-trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<.*?>', '', 'g'), '\\s+', ' ', 'g')) AS bare FROM pages WHERE html NOT LIKE '%&%'""".replace("\\\\", "\\"))
+@query(r"""SELECT page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;'), '"', '&#34;') AS safe,
+trim(regexp_replace(regexp_replace(regexp_replace(replace(html, '&', '+'), '<!--.*?-->', '', 'gs'), '<.*?>', '', 'gs'), '\s+', ' ', 'g')) AS bare FROM pages""")
 def str_escape_striptags(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").where(~F.col("html").contains("&"))
-    return pages.select("page_id", strings.escape(F.col("url")).alias("safe"), strings.striptags(F.col("html")).alias("bare"))
+    html = F.replace(F.col("html"), F.lit("&"), F.lit("+"))
+    return table(spark, d, "pages").select("page_id", strings.escape(F.col("url")).alias("safe"), strings.striptags(html).alias("bare"))
 
 
 @query("""SELECT p_partkey, round_even(p_retailprice, 0) AS near, ceil(p_retailprice) AS up, floor(p_retailprice) AS down, abs(CAST(p_size AS BIGINT) - 25) AS off, CAST(p_size AS BIGINT) AS whole, CAST(p_retailprice AS DOUBLE) AS price FROM part""")
