@@ -141,9 +141,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     keyed = described.select("doc", "number", "h1", "h2")
     firsts = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc", "number")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "f")
     copies = written(keyed.join(firsts, ["h1", "h2"]).where("struct(doc, number) != f").select("doc", "number").distinct(), spark)
-    prefixes = _prefixes(described, counts)
-    pairs = _candidates(prefixes).repartition("doc", "number").join(copies, ["doc", "number"], "left_anti").distinct()
-    pairs = freed(written(pairs, spark))
+    # what is similar to a copy is similar to the first of the copies
+    prefixes = _prefixes(described.join(copies, ["doc", "number"], "left_anti"), counts)
+    pairs = freed(written(_candidates(prefixes).distinct(), spark))
     near = freed(written(_verified(pairs.where("token is null").drop("token"), docs), spark))
     open_ = pairs.where("token is not null").join(near, ["doc", "number"], "left_anti").select("doc", "number", "token").distinct()
     open_ = written(open_, spark)
