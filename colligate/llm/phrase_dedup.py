@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .shared import blocks, freed, mixed, spread, texts, written
 from .words import SPACED, Words, find, sequence_hashes
@@ -272,9 +272,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # one shuffle, by anchor, serves the grouping by stretch and then by anchor
     each = plain.mapInArrow(_stretches, "h long, s long, m long, x long, c long").repartition("h")
     each = each.groupBy("h", "s").agg(F.min("m").alias("m"), F.max("x").alias("x"), F.sum("c").alias("c"))
-    # both sides of the join ask for all columns, so that they share that shuffle
-    by_anchor = each.groupBy("h").agg(F.min("m").alias("m1"), F.max("x").alias("x1"), F.count("s").alias("kinds"), F.sum("c").alias("n")).where("m1 < x1 and n > 1")
-    recurring = each.where("x >= m").join(by_anchor, "h").select("s", "m", "c", places("c").alias("k"), (F.col("kinds") > 1).alias("several"))
+    anchor = Window.partitionBy("h")
+    each = each.select("*", F.min("m").over(anchor).alias("m1"), F.max("x").over(anchor).alias("x1"), F.count("*").over(anchor).alias("kinds"))
+    recurring = each.where("m1 < x1").select("s", "m", "c", places("c").alias("k"), (F.col("kinds") > 1).alias("several"))
     recurring = freed(written(recurring, spark))
     listed = plain.mapInArrow(_occurrences, "s long, doc long").join(recurring, "s")
     listed = listed.groupBy("doc").agg(F.collect_list(F.struct("s", "m", "c", "k", "several")).alias("stretches"))
