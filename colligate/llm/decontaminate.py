@@ -167,10 +167,19 @@ def benchmark_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Ben
         yield Benchmark(ids, held)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", keep: list[str] | None = None) -> DataFrame:
-    """A row for each document: key, the columns of keep, n_words, n_hit, n_items, items_sha256,
-    contaminated, hits (first word and number of words of each covered run) and items."""
-    keep = keep or []
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+    """A row for each document: key, n_words, n_hit, n_items, items_sha256, contaminated, hits (first word and
+    number of words of each covered run) and items."""
+    return _found(docs, benchmark, key, text, item, []).withColumnRenamed("cg_key", key)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+    """The documents without a hit, with all their columns."""
+    found = _found(docs, benchmark, key, text, item, docs.columns).where("not contaminated")
+    return found.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, keep: list[str]) -> DataFrame:
     out = docs.select(*[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)], F.col(key).alias("cg_key"), F.col(text).alias("cg_text"))
     out = out.withColumns({"cg_spans": F.array().cast("array<int>"), "cg_items": F.array().cast("array<string>")})
     schema = out.schema
@@ -179,10 +188,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         out = out.mapInArrow(_searched(sent), schema)
     extra = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits array<int>, items array<string>"
     held = [f for f in schema if f.name not in ("cg_text", "cg_spans", "cg_items")]
-    summed = out.mapInArrow(_summed([f.name for f in held]), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held) + ", " + extra)
-    for i, c in enumerate(keep):
-        summed = summed.withColumnRenamed(f"kept_{i}", c)
-    return summed.withColumnRenamed("cg_key", key if key not in keep else "cg_key")
+    return out.mapInArrow(_summed([f.name for f in held]), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held) + ", " + extra)
 
 
 def _searched(sent):

@@ -137,8 +137,8 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     return Profiles([r.lang for r in found], _unit(prototypes))
 
 
-def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """The table with lang_pred and score (the cosine, at least 0) after its own columns."""
+def identify(docs: DataFrame, profiles: Profiles, text: str = "text", added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The table with the language and the score (the cosine, at least 0) after its own columns."""
     sent = docs.sparkSession.sparkContext.broadcast(profiles)  # DIMENSIONS numbers a language
     own = [f"c{i}" for i in range(len(docs.columns))]
     inner = docs.toDF(*own)
@@ -151,4 +151,4 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema) + ", lang_pred string, score double"
     out = inner.mapInArrow(rows, schema)
-    return out.select(*[F.col(c).alias(n) for c, n in zip(own, docs.columns, strict=True)], "lang_pred", "score")
+    return out.select(*[F.col(c).alias(n) for c, n in zip(own, docs.columns, strict=True)], F.col("lang_pred").alias(added[0]), F.col("score").alias(added[1]))

@@ -158,8 +158,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.union(written(_verified(rest, docs), spark))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The table with text cut to the lines that stay, and n_lines and n_removed after its own columns."""
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The table with text cut to the lines that stay, and its numbers of lines and of those that went."""
     plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text).alias("text"))
     gone = removed_lines(plain).groupBy("doc").agg(F.collect_set("number").alias("gone"))
     own = [f"c{i}" for i in range(len(docs.columns))]
@@ -172,4 +172,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     columns = [(new if c == t else F.col(c)).alias(n) for c, n in zip(own, docs.columns, strict=True)]
     n_lines = F.coalesce(F.size("lines"), F.lit(0))
     n_removed = F.coalesce(F.size("lines") - F.size(kept), F.lit(0))
-    return inner.select(*columns, F.when(F.col(t).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col(t).isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"))
+    return inner.select(*columns, F.when(F.col(t).isNull(), 0).otherwise(n_lines).cast("long").alias(added[0]), F.when(F.col(t).isNull(), 0).otherwise(n_removed).cast("long").alias(added[1]))

@@ -20,15 +20,15 @@ LEAST_SCORE = 0.05
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, without text, or like no language go."""
-    found = language_id.identify(docs, language_id.learn(docs))
-    kept = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    found = language_id.identify(docs, language_id.learn(docs), added=("cg_lang", "cg_score"))
+    kept = (F.col("cg_lang") != language_id.UNKNOWN) & (F.col("cg_score") >= LEAST_SCORE)
     return found.where(kept).select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later matches of earlier lines go from the texts; a document left without any word goes."""
-    found = line_dedup.dedup_lines(docs)
-    kept = (F.col("n_removed") == 0) | F.col("text").rlike(r"\S")
+    found = line_dedup.dedup_lines(docs, added=("cg_lines", "cg_removed"))
+    kept = (F.col("cg_removed") == 0) | F.col("text").rlike(r"\S")
     columns = [F.coalesce(F.char_length("text").cast("long"), F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return found.where(kept).select(*columns)
 
@@ -42,8 +42,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return found.where("not contaminated").select(docs.columns)
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
