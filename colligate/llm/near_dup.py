@@ -43,6 +43,7 @@ SMALL = 30
 BRANCHES = 2
 STEPS = 5
 LEVELS = 3
+OUTSIDE = 2000
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -179,17 +180,31 @@ def _links(spark, docs: DataFrame, classes: DataFrame, percent: int) -> DataFram
             apart = rest.alias("x").join(rest.alias("y"), "node").where("x.rep < y.rep and x.component != y.component")
             return links.union(_verified(apart.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), sampled, played, percent))
         small = left.where(f"size <= {SMALL}").select("node", "rep")
-        large = left.where(f"size > {SMALL}").select("node", "rep")
+        large = left.where(f"size > {SMALL}")
         if level and left.isEmpty():
             return links
-        chosen = F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1)))
-        place = lambda j: F.pmod(F.xxhash64("node", "branch", F.lit(j)), F.lit(SAMPLES)).cast("int")
-        branched = large.join(sampled.select("rep", "samples"), "rep").select("node", "rep", "samples", chosen.alias("branch"))
-        path = F.concat(*[F.substring("samples", place(j) + 1, F.lit(1)) for j in range(STEPS)])
-        nodes = branched.select("rep", F.xxhash64("node", "branch", path).alias("node"))
+        nodes = _branched(large, sampled)
         small = freed(written(small, spark))
 
 
+def _branched(large: DataFrame, sampled: DataFrame) -> DataFrame:
+    """The nodes of the next level: every member takes BRANCHES paths of STEPS further tokens.
+
+    Only pairs of different components matter. Where one component has all but OUTSIDE members of a node at
+    most, those of it that take none of the others' paths are left out.
+    """
+    place = lambda k, j: F.pmod(F.xxhash64("node", F.lit(k), F.lit(j)), F.lit(SAMPLES)).cast("int") + 1
+    path = lambda k: F.concat(*[F.substring("samples", place(k, j), F.lit(1)) for j in range(STEPS)])
+    paths = F.array(*[F.xxhash64("node", F.lit(k), path(k)) for k in range(BRANCHES)])
+    members = large.join(sampled.select("rep", "samples"), "rep").select("node", "rep", paths.alias("paths"), (F.col("component") == F.col("main")).alias("inside"), "outside")
+    few = F.col("outside") <= OUTSIDE
+    others = members.where(~F.col("inside") & few)
+    taken = others.select("node", F.explode("paths").alias("path")).groupBy("node").agg(F.collect_set("path").alias("taken"))
+    met = members.where(F.col("inside") & few).join(taken, "node").where(F.arrays_overlap("paths", "taken"))
+    every = others.select("rep", "paths").union(met.select("rep", "paths")).union(members.where(~few).select("rep", "paths"))
+    return every.select("rep", F.explode("paths").alias("node"))
+
+
 def _labels(links: DataFrame) -> DataFrame:
     """node, component: for linked classes one that they are connected with, mostly the least; cheaper than
     the components, and enough to tell what needs no comparison."""
@@ -199,11 +214,14 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def _mixed(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """node, rep, component, size of the nodes with members of several components."""
+    """node, rep, component, size, main, outside of the nodes with members of several components: main is
+    the component with most members, outside the number of the others."""
     nodes = nodes.select("node", "rep")
     own = nodes.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
-    kinds = own.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
-    return own.join(kinds.select("node", "size"), "node").select("node", "rep", "component", "size")
+    kinds = own.groupBy("node", "component").agg(F.count("*").alias("n"))
+    kinds = kinds.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds"))
+    mixed_ = kinds.where("kinds > 1").select("node", "size", "main", (F.col("size") - F.col("most")).alias("outside"))
+    return own.join(mixed_, "node").select("node", "rep", "component", "size", "main", "outside")
 
 
 def _all_pairs(nodes: DataFrame) -> DataFrame:
