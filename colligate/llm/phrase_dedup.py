@@ -36,6 +36,8 @@ from .words import SPACED, Words, find, sequence_hashes
 
 WINDOW = 13
 GRAM = 5
+#: Bytes of text that the hashing kernels take at once where nothing is grouped: what caches hold.
+KERNEL_BYTES = 512 << 10
 #: Documents that one place serves with the passages of a document.
 SERVED = 4000
 
@@ -47,14 +49,16 @@ def windows_of(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(at):
         none = np.zeros(0, np.int64)
         return none, np.zeros(0, np.uint64), none
-    grams = sequence_hashes(found.hashes, GRAM)
     n = len(found.hashes) - WINDOW + 1
-    least, anchor = grams[:n].copy(), np.arange(n)
+    # the low four bits of a gram's hash give way to those of its place in its text: a least one tells its place
+    base = np.repeat(found.first[:-1], np.diff(found.first))
+    where = (np.arange(len(base)) - base)[: n + WINDOW - GRAM].astype(np.uint64)
+    marked = sequence_hashes(found.hashes, GRAM) & ~np.uint64(15) | where & np.uint64(15)
+    least = marked[:n].copy()
     for j in range(1, WINDOW - GRAM + 1):
-        less = grams[j : j + n] < least
-        least[less] = grams[j : j + n][less]
-        anchor[less] = np.flatnonzero(less) + j
-    return at, sequence_hashes(found.hashes, WINDOW)[at], anchor[at]
+        np.minimum(least, marked[j : j + n], out=least)
+    anchor = at + (((least[at] & np.uint64(15)).astype(np.int64) - (at - base[at])) & 15)
+    return at, sequence_hashes(found.hashes, WINDOW)[at], anchor
 
 
 @dataclass
@@ -86,7 +90,7 @@ class Stretches:
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each stretch of a block: anchor, its hash, and the documents with it."""
-    for batch in blocks(batches, "text", 8 << 20):
+    for batch in blocks(batches, "text"):
         found = Stretches.find(find(*texts(batch.column("text")), SPACED))
         if not len(found.first):
             continue
@@ -103,47 +107,55 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches, "text"):
+    for batch in blocks(batches, "text", KERNEL_BYTES):
         found = Stretches.find(find(*texts(batch.column("text")), SPACED))
         if len(found.first):
             yield pa.RecordBatch.from_arrays([pa.array(found.hashes.view(np.int64)), batch.column("doc").take(pa.array(found.row))], ["s", "doc"])
 
 
 class Entries:
-    """What is known of a document's stretches or windows, by hash."""
+    """What is known of the stretches or windows of a block's documents, by row and hash."""
 
-    def __init__(self, entries: pa.StructArray, key: str):
-        self.hashes = entries.field(key).to_numpy(zero_copy_only=False).view(np.uint64)
-        order = np.argsort(self.hashes)
-        self.hashes = self.hashes[order]
-        self.values = {f.name: entries.field(f.name).to_numpy(zero_copy_only=False)[order] for f in entries.type}
+    def __init__(self, listed: pa.ListArray, key: str):
+        held = listed.flatten()
+        lengths = np.diff(listed.offsets.to_numpy()) * listed.is_valid().to_numpy(zero_copy_only=False)
+        keys = self._keys(np.repeat(np.arange(len(listed)), lengths), held.field(key).to_numpy(zero_copy_only=False).view(np.uint64))
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.values = {f.name: held.field(f.name).to_numpy(zero_copy_only=False)[order] for f in held.type if f.name != key}
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _keys(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        return mixed(hashes ^ mixed(rows.astype(np.uint64) + np.uint64(1)))
+
+    def find(self, rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each is known, and its place."""
-        if not len(self.hashes):
+        if not len(self.keys):
             return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return self.hashes[at] == hashes, at
+        keys = self._keys(rows, hashes)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, at
+
+    def value(self, name: str, hit: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """-1 where not known."""
+        return np.where(hit, self.values[name][at], -1) if len(self.keys) else np.full(len(hit), -1)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc, text, stretches: the distinct windows of a document's own stretches that share an anchor with others."""
-    for batch in blocks(batches, "text"):
+    for batch in blocks(batches, "text", KERNEL_BYTES):
         found = Stretches.find(find(*texts(batch.column("text")), SPACED))
-        ends = np.searchsorted(found.row, np.arange(batch.num_rows + 1))
-        docs, listed = batch.column("doc").to_pylist(), batch.column("stretches")
-        ids, out = [], []
-        for i, doc in enumerate(docs):
-            known = Entries(listed[i].values, "s")
-            hit, at = known.find(found.hashes[ends[i] : ends[i + 1]])
-            if not hit.any():
-                continue
-            mine = ends[i] + np.flatnonzero(hit & known.values["several"][at] & (known.values["m"][at] == doc))
-            w = np.unique(found.window_hashes[spread(found.first[mine], found.last[mine] - found.first[mine] + 1)])
-            out.append(w)
-            ids.append(np.full(len(w), i))
-        if sum(map(len, out)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), batch.column("doc").take(pa.array(np.concatenate(ids)))], ["w", "doc"])
+        doc = batch.column("doc").to_numpy(zero_copy_only=False)
+        known = Entries(batch.column("stretches"), "s")
+        hit, at = known.find(found.row, found.hashes)
+        mine = np.flatnonzero(hit & (known.value("several", hit, at) == 1) & (known.value("m", hit, at) == doc[found.row]))
+        counts = found.last[mine] - found.first[mine] + 1
+        w, owner = found.window_hashes[spread(found.first[mine], counts)], np.repeat(found.row[mine], counts)
+        if len(w):
+            order = np.lexsort((w, owner))
+            w, owner = w[order], owner[order]
+            new = np.concatenate([[True], (w[1:] != w[:-1]) | (owner[1:] != owner[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(w[new].view(np.int64)), pa.array(doc[owner[new]])], ["w", "doc"])
 
 
 def _runs(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -162,43 +174,35 @@ _ROUTED = "source long, places int, place int, kind int, doc long, hash long, st
 
 def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc, hash, text, stretches, windows: passages (kind 0) and segments (kind 1) for the sources' places."""
-    for batch in blocks(batches, "text"):
+    for batch in blocks(batches, "text", KERNEL_BYTES):
         text = find(*texts(batch.column("text")), SPACED)
         found = Stretches.find(text)
-        ends = np.searchsorted(found.row, np.arange(batch.num_rows + 1))
+        doc, own = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("doc", "hash"))
+        place, of = found.windows, found.of
+        row = found.row[of] if len(of) else of
+        stretches, windows = Entries(batch.column("stretches"), "s"), Entries(batch.column("windows"), "w")
+        hit, at = stretches.find(found.row, found.hashes)
+        m, k, c = (stretches.value(n, hit, at)[of] for n in ("m", "k", "c"))
+        hit = hit[of]
+        hit2, at2 = windows.find(row, found.window_hashes)
+        m1, k1 = (windows.value(n, hit2, at2) for n in ("m", "k"))
+        mine = doc[row]
+        hit2 &= hit & (m == mine)  # elsewhere the stretch says where to look
+        roles = (
+            (0, hit & (m == mine) & (c > 1), m, k),
+            (0, hit2 & (m1 == mine), m1, k1),
+            (1, hit & (m < mine), m, k),
+            (1, hit2 & (m1 < mine), m1, k1),
+        )
         out: list[tuple] = []
-        docs, own = batch.column("doc").to_pylist(), batch.column("hash").to_pylist()
-        listed, others = batch.column("stretches"), batch.column("windows")
-        for i, doc in enumerate(docs):
-            a, b = ends[i], ends[i + 1]
-            if a == b:
-                continue
-            begin, end = found.first[a], found.last[b - 1] + 1
-            place, of = found.windows[begin:end], found.of[begin:end]
-            stretches = Entries(listed[i].values, "s")
-            hit, at = stretches.find(found.hashes[of])
-            m, k, c = (np.where(hit, stretches.values[n][at], -1) for n in ("m", "k", "c"))
-            m1, k1 = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-            hit2 = np.zeros(len(place), bool)
-            if others[i].is_valid:
-                windows = Entries(others[i].values, "w")
-                hit2, at2 = windows.find(found.window_hashes[begin:end])
-                m1, k1 = windows.values["m"][at2], windows.values["k"][at2]
-            hit2 &= hit & (m == doc)  # elsewhere the stretch says where to look
-            roles = (
-                (0, hit & (m == doc) & (c > 1), m, k),
-                (0, hit2 & (m1 == doc), m1, k1),
-                (1, hit & (m < doc), m, k),
-                (1, hit2 & (m1 < doc), m1, k1),
-            )
-            for kind, chosen, source, places in roles:
-                rows = np.flatnonzero(chosen)
-                for p, q in _runs(place[rows], source[rows], places[rows]):
-                    first, last = int(place[rows[p]]), int(place[rows[q - 1]]) + WINDOW
-                    words = text.data[text.starts[first] : text.ends[last - 1]].tobytes().decode()
-                    s, n = int(source[rows[p]]), int(places[rows[p]])
-                    where = range(n) if kind == 0 else (own[i] % n,)
-                    out += [(s, n, j, kind, doc, own[i], first - int(text.first[i]), words) for j in where]
+        for kind, chosen, source, places in roles:
+            rows = np.flatnonzero(chosen)
+            for p, q in _runs(place[rows], source[rows], places[rows]):
+                i, first, last = int(row[rows[p]]), int(place[rows[p]]), int(place[rows[q - 1]]) + WINDOW
+                words = text.data[text.starts[first] : text.ends[last - 1]].tobytes().decode()
+                s, n, h, d = int(source[rows[p]]), int(places[rows[p]]), int(own[i]), int(doc[i])
+                where = range(n) if kind == 0 else (h % n,)
+                out += [(s, n, j, kind, d, h, first - int(text.first[i]), words) for j in where]
         if out:
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
             names = [x.split()[0] for x in _ROUTED.split(", ")]
