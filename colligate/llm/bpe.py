@@ -25,10 +25,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import blocks, spread
+from .shared import BLOCK_BYTES, blocks, spread
 
 NO_RANK = np.int64(1 << 40)
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 400_000
+#: Bytes of text whose new chunks are learned together.
+LEARNED_BYTES = 8 << 20
 #: The byte-level pre-token pattern, and white space as Unicode has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "\\t-\\r \x85\xa0  -     　"
@@ -225,15 +227,20 @@ class Encoder:
         parts = self.special.split(text)
         return [c for i, p in enumerate(parts) for c in ([p] if i % 2 else self.chunk.findall(p))]
 
-    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of ids of each text."""
+    def prepare(self, batch: list[str]) -> None:
+        """Learn all chunks of these texts together, as the index has a cost for each active rank."""
         if len(self.places) > CACHED_CHUNKS:
             self._clear()
+        known, missing = self.places, {}
+        for text in batch:
+            missing.update((c, 0) for c in self._chunks(text) if c not in known)
+        if missing:
+            self._learn(list(missing))
+
+    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of ids of each text, of texts that were prepared."""
         split = [self._chunks(x) for x in batch]
         known = self.places
-        missing = list({c: 0 for x in split for c in x if c not in known})
-        if missing:
-            self._learn(missing)
         counts = np.array([len(x) for x in split], np.int64)
         place = np.fromiter((known[c] for x in split for c in x), np.int64, int(counts.sum()))
         lengths = self.lengths[place]
@@ -265,22 +272,27 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(sent.value)
-        for batch in blocks(batches, "text", 8 << 20):
-            found, counts = e.encode(batch.column("text").fill_null("").to_pylist())
-            small, at = found.astype("<u4"), np.concatenate([[0], np.cumsum(counts)])
-            byte_ends = np.concatenate([[0], np.cumsum(e.byte_lengths[found])])[at]
-            data = e.all_bytes[spread(e.byte_starts[found], e.byte_lengths[found])]
-            shas, decoded, texts = [], [], []
-            for i in range(len(counts)):
-                raw = data[byte_ends[i] : byte_ends[i + 1]].tobytes().decode("utf-8", "replace")
-                shas.append(hashlib.sha256(small[at[i] : at[i + 1]].tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(raw.encode()).hexdigest())
-                if ids:
-                    texts.append(raw)
-            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
+        for whole in blocks(batches, "text", LEARNED_BYTES):
+            e.prepare(whole.column("text").fill_null("").to_pylist())
+            yield from map(encoded, blocks(iter([whole]), "text", BLOCK_BYTES // 4))
+
+    def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        e = encoder(sent.value)
+        found, counts = e.encode(batch.column("text").fill_null("").to_pylist())
+        small, at = found.astype("<u4"), np.concatenate([[0], np.cumsum(counts)])
+        byte_ends = np.concatenate([[0], np.cumsum(e.byte_lengths[found])])[at]
+        data = e.all_bytes[spread(e.byte_starts[found], e.byte_lengths[found])]
+        shas, decoded, texts = [], [], []
+        for i in range(len(counts)):
+            raw = data[byte_ends[i] : byte_ends[i + 1]].tobytes().decode("utf-8", "replace")
+            shas.append(hashlib.sha256(small[at[i] : at[i + 1]].tobytes()).hexdigest())
+            decoded.append(hashlib.sha256(raw.encode()).hexdigest())
             if ids:
-                columns += [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(small.astype(np.int64)).cast(pa.int32())), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                texts.append(raw)
+        columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
+        if ids:
+            columns += [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(small.astype(np.int64)).cast(pa.int32())), pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * ids
     picked = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
