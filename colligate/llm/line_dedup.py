@@ -90,10 +90,10 @@ def _described(lines: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def _prefixes(described: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc, number, n, token, pos, salt: the prefix tokens of every line."""
+    """doc, number, n, token, pos, salt (-1 unless the token is hot): the prefix tokens of every line."""
     rows = described.select("doc", "number", "n", F.posexplode("prefix").alias("pos", "token"))
     hot = int(np.log2(max(counts.sum() * HOT_SHARE, 1024)) * 64)
-    salt = F.when(F.shiftright("token", 52) >= hot, F.pmod(F.xxhash64("doc", "number"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salt = F.when(F.shiftright("token", 52) >= hot, F.pmod(F.xxhash64("doc", "number"), F.lit(SALTS)).cast("int")).otherwise(-1)
     return rows.withColumn("salt", salt)
 
 
@@ -105,19 +105,29 @@ def _allowed(a: str, b: str) -> Column:
 
 
 def _candidates(prefixes: DataFrame) -> DataFrame:
-    """b, a: a line and an earlier one of a shared token; or b, token where more earlier ones are there."""
+    """doc, number, a_doc, a_number: a line and an earlier one of a shared token; or doc, number, token where
+    more earlier ones are there."""
     rows = prefixes.select("token", "salt", "doc", "number", F.struct("doc", "number", "n", "pos").alias("b"))
     order = Window.partitionBy("token", "salt").orderBy("doc", "number")
     seen = rows.select("token", "salt", "b", F.first("b").over(order).alias("first"), F.lag("b").over(order).alias("last"), F.row_number().over(order).alias("at"))
-    met = seen.where("last is not null")
-    pick = lambda of, a: of.where(_allowed("b", a)).select(F.col("b.doc"), F.col("b.number"), F.col(f"{a}.doc").alias("a_doc"), F.col(f"{a}.number").alias("a_number"), F.lit(None).cast("long").alias("token"))
-    more = met.where("at > 3").select("b.doc", "b.number", F.lit(None).cast("long").alias("a_doc"), F.lit(None).cast("int").alias("a_number"), "token")
-    both = met.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("a"), "b")
+
+    def pair(a: str, token: Column) -> Column:
+        other = F.lit(None).cast("long"), F.lit(None).cast("int")
+        doc, number = (F.col(f"{a}.doc"), F.col(f"{a}.number")) if a else other
+        return F.struct(F.col("b.doc").alias("doc"), F.col("b.number").alias("number"), doc.alias("a_doc"), number.alias("a_number"), token.alias("token"))
+
+    none = F.lit(None).cast("long")
+    found = F.array(
+        F.when(_allowed("b", "first"), pair("first", none)),
+        F.when((F.col("last") != F.col("first")) & _allowed("b", "last"), pair("last", none)),
+        F.when(F.col("at") > 3, pair("", F.col("token"))),
+    )
+    met = seen.where("last is not null").select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("p")).select("p.*")
     # salts of a hot token meet by their first lines
-    split = seen.where("at = 1").groupBy("token").agg(F.min("b").alias("first"), F.sort_array(F.collect_list("b")).alias("each")).where("size(each) > 1")
+    split = seen.where("salt >= 0 and at = 1").groupBy("token").agg(F.min("b").alias("first"), F.collect_list("b").alias("each")).where("size(each) > 1")
     firsts = split.select("token", "first", F.explode("each").alias("b")).where("b != first")
-    more_salts = firsts.select("b.doc", "b.number", F.lit(None).cast("long").alias("a_doc"), F.lit(None).cast("int").alias("a_number"), "token")
-    return pick(both, "a").union(more).union(pick(firsts, "first")).union(more_salts)
+    found = F.array(F.when(_allowed("b", "first"), pair("first", none)), pair("", F.col("token")))
+    return met.union(firsts.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("p")).select("p.*"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
