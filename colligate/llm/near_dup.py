@@ -43,7 +43,7 @@ SMALL = 30
 BRANCHES = 2
 STEPS = 5
 LEVELS = 3
-OUTSIDE = 2000
+OUTSIDE = 100
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
