@@ -14,7 +14,8 @@ overlap that 0.75 needs (positional filter), and the smaller set must be at leas
 No token emits all pairs of its lines. Copies of a line are found by the hash of their words first. Then
 each line meets the first and the previous line of each of its prefix tokens. Only lines that are left
 unresolved there, with more earlier lines at some token, meet all earlier ones at those tokens. A token
-that a large share of all lines has is dealt out by salt, and the first lines of the salts meet again.
+that a large share of all lines has is dealt out by salt for the first step; as a salt shows only some of
+the earlier lines, each of its lines but the token's first meets all earlier ones where still unresolved.
 
 Null texts are left as they are and have no lines. A null key comes before all others. Rows that repeat a
 key are one document: they share decisions by line number. Extra columns are carried along.
@@ -33,6 +34,8 @@ SHINGLE = 5
 BUCKETS = 1 << 16
 #: A token with more than this share of all tokens is hot; there are fewer than its inverse.
 HOT_SHARE = 1 / 4096
+#: A token with fewer lines than this isn't hot, however small the table.
+HOT_LEAST = 1024
 SALTS = 64
 LOW = (1 << 52) - 1
 
@@ -92,7 +95,7 @@ def _described(lines: DataFrame, counts: np.ndarray) -> DataFrame:
 def _prefixes(described: DataFrame, counts: np.ndarray) -> DataFrame:
     """doc, number, n, token, pos, salt (-1 unless the token is hot): the prefix tokens of every line."""
     rows = described.select("doc", "number", "n", F.posexplode("prefix").alias("pos", "token"))
-    hot = int(np.log2(max(counts.sum() * HOT_SHARE, 1024)) * 64)
+    hot = int(np.log2(max(counts.sum() * HOT_SHARE, HOT_LEAST)) * 64)
     salt = F.when(F.shiftright("token", 52) >= hot, F.pmod(F.xxhash64("doc", "number"), F.lit(SALTS)).cast("int")).otherwise(-1)
     return rows.withColumn("salt", salt)
 
@@ -120,7 +123,8 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
     found = F.array(
         F.when(_allowed("b", "first"), pair("first", none)),
         F.when((F.col("last") != F.col("first")) & _allowed("b", "last"), pair("last", none)),
-        F.when(F.col("at") > 3, pair("", F.col("token"))),
+        # within a salt, the lines before are only some of the token's earlier ones
+        F.when((F.col("at") > 3) | ((F.col("salt") >= 0) & (F.col("at") > 1)), pair("", F.col("token"))),
     )
     met = seen.where("last is not null").select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("p")).select("p.*")
     # salts of a hot token meet by their first lines

@@ -265,3 +265,22 @@ def test_lines_meet_beyond_the_first_and_the_previous(spark):
     held = [(i, x) for i, x in enumerate(lines)] + [(50, " ".join(near)), (51, "A b\n a B ")]
     found = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(held, "doc_id long, text string")).collect()}
     assert found[50] == 1 and found[51] == 1 and sum(found.values()) == 2
+
+
+def test_lines_of_hot_tokens_meet_across_salts(spark, monkeypatch):
+    """Near copies whose shared prefix tokens are all hot, dealt out so that each salt has few lines."""
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 0)
+    monkeypatch.setattr(line_dedup, "HOT_LEAST", 4)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    passages = [[word() for _ in range(9)] for _ in range(6)]
+    held = []
+    for i in range(120):
+        one, two = rng.sample(passages, 2)
+        own = [word() for _ in range(rng.randrange(4))]
+        held.append((i, " ".join(one + two + own)))
+    wanted = {d: len(n) for d, n in brute.lines(held).items()}
+    for salts in (3, 16, 64):
+        monkeypatch.setattr(line_dedup, "SALTS", salts)
+        found = line_dedup.dedup_lines(spark.createDataFrame(held, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.n_removed for r in found if r.n_removed} == wanted, salts
