@@ -234,6 +234,22 @@ def test_near_duplicates_in_large_mixed_nodes(spark, monkeypatch):
     assert got(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(held), key=repr)
 
 
+def test_near_duplicates_lose_few_links_over_all_branchings(spark):
+    """Links of exactly 0.75 in nodes that stay large and mixed: the paths of the code, three branchings deep."""
+    rng = np.random.default_rng(3)
+    n, trees = 400, near_dup.TREES
+    one = rng.integers(0, 256, (n, near_dup.SAMPLES), np.uint8)
+    two = np.where(rng.random(one.shape) < 0.75, one, one ^ 255)
+    sampled = spark.createDataFrame([(2 * i + k, 1, bytearray(s[i].tobytes())) for i in range(n) for k, s in enumerate((one, two))], "rep long, n long, samples binary")
+    shares = rng.random((n, trees)) < 0.75
+    nodes = spark.createDataFrame([(2 * i + k, (i * trees + t) << 4 | t) for i in range(n) for t in range(trees) if shares[i, t] for k in (0, 1)], "rep long, node long")
+    for _ in range(near_dup.LEVELS):
+        large = nodes.select("node", "rep", F.col("rep").alias("component"), F.lit(-1).cast("long").alias("main"), F.lit(near_dup.OUTSIDE + 1).alias("outside"))
+        nodes = near_dup._branched(large, sampled).localCheckpoint()
+    met = nodes.groupBy("node", F.floor(F.col("rep") / 2).alias("pair")).agg(F.count_distinct("rep").alias("c")).where("c = 2")
+    assert n - met.select("pair").distinct().count() <= 4
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (20, 20)] + [(i, i + 1) for i in range(100, 140)]
     found = components.components(spark.createDataFrame(links, "u long, v long"))
