@@ -32,11 +32,12 @@ def op6_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no images, so each vector of embeddings gives one. Of every row whose id is divisible
-    by 20, an edited crop is looked up among the images of all rows."""
+    by 20, an edited crop is looked up among the images of all rows. Rows with a query are the copies found,
+    rows with an image tell its class."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     images = image_copies.rendered(vectors, "vec_id", "embedding")
     asked = image_copies.rendered(vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", edited=True)
-    return image_copies.find_copies(asked, images, "id", "image")
+    return image_copies.copies_and_members(asked, images, "id", "image")
 
 
 def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,20 @@ def test_images(spark):
     assert image_copies.find_copies(asked.where("false"), images, "id", "image").count() == 0
 
 
+def test_image_query_returns_every_member(spark, tmp_path):
+    """Of equal images only the class is paired, so the query's result must say which images are in it."""
+    from colligate.llm import queries
+
+    rows = [(i, [float((i * 7 + k) % 11) / 10 + i for k in range(16)]) for i in range(1, 10)] + [(i, [3.1] * 16) for i in (20, 21, 22, 22)] + [(30, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = queries.op2_image_copies(spark, str(tmp_path)).collect()
+    of = {r.image: r.class_id for r in found if r.image is not None}
+    assert of == {i: i for i in range(1, 10)} | {20: 20, 21: 20, 22: 20}
+    classes = {r.class_id for r in found if r["query"] == 20}
+    assert classes == {20} and {i for i, c in of.items() if c in classes} == {20, 21, 22}
+    assert sum(r.image is not None for r in found) == 12
+
+
 def test_personal_data(spark, docs, rows):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     digits = lambda s: re.sub(r"[^0-9]", "", s)
