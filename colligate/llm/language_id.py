@@ -11,7 +11,7 @@ linear in the trigram counts, a block of texts is a small matrix of counts times
 trigrams that occur in it.
 
 Training takes at most SAMPLE_ROWS rows in expectation, by a hash of the key, of those that may be
-learned from. Prediction takes every whole text. Null texts and texts without letters are und, score 0.
+learned from. Languages share them evenly: those below the even share keep all of their rows. Prediction takes every whole text. Null texts and texts without letters are und, score 0.
 With no training rows every text with letters is und. Rows that repeat stay; other columns are kept out.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,15 +111,28 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _most_each(counts: Iterable[int], rows: int) -> float:
+    """The bound on the rows of a language with which all languages together have at most so many rows."""
+    left, ordered = rows, sorted(counts)
+    for i, n in enumerate(ordered):
+        if n * (len(ordered) - i) > left:
+            return left / (len(ordered) - i)
+        left -= n
+    return float(rows)
+
+
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Profiles:
     """Prototypes of all languages of a sample of sample_rows rows (all, if there are fewer).
 
     A row of DIMENSIONS sums for each language goes to the driver.
     """
     rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
-    n = labelled.count()
-    share = 1.0 if n <= sample_rows else sample_rows / n
-    rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "lang")
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    most = _most_each(counts.values(), sample_rows)
+    if max(counts.values(), default=0) > most:
+        limits = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1, most / n) * (1 << 40)))])
+        rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < limits[F.col("lang")])
+    rows = rows.select("text", "lang")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

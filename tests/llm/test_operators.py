@@ -224,6 +224,14 @@ def test_language(spark, docs):
     assert language_id.identify(docs.where("false"), profiles).count() == 0
 
 
+def test_rare_languages_are_learned_from_all_their_rows(spark):
+    names = ["aa", "bb", "cc", "dd", "ee"]
+    held = [(i, f"words of row {i}", "en") for i in range(600)] + [(1000 + i, f"some text {n}", n) for i, n in enumerate(names * 2)]
+    profiles = language_id.learn(spark.createDataFrame(held, "doc_id long, text string, lang string"), sample_rows=60)
+    assert profiles.languages == [*names, "en"]
+    assert language_id._most_each([600, 2, 2, 2, 2, 2], 60) == 50
+
+
 def test_near_duplicates(docs, rows):
     found = near_dup.near_duplicates(docs)
     assert got(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near([r[:2] for r in rows]), key=repr)
