@@ -5,26 +5,28 @@ stands between spaces, in lower case. A line goes when an earlier line has a Jac
 more with it, both as they are in the input; earlier means a smaller key, or in one document a smaller
 line number. Lines without words stay.
 
-Tokens are ordered by rarity: by the count of their hash bucket over all lines (BUCKETS counts, the only
-thing that goes to the driver), then by hash. Two lines that are similar share a token among the first
+Equal lines are found first, by two hashes of the line in lower case; a later one goes, and only the first
+one takes part from there on, as what is similar to a copy is similar to the first of the copies.
+
+Tokens are ordered by rarity: by the count of their hash bucket over all those lines (BUCKETS counts, the
+only thing that goes to the driver), then by hash. Two lines that are similar share a token among the first
 n - ceil(0.75 n) + 1 of both (prefix filter); what the places of a shared token still allow must reach the
 overlap that 0.75 needs (positional filter), and the smaller set must be at least 0.75 of the larger
 (length filter). Pairs that pass are verified on their whole token sets.
 
-No token emits all pairs of its lines. Copies of a line are found by the hash of their words first. Then
-each line meets the first and the previous line of each of its prefix tokens. Only lines that are left
-unresolved there, with more earlier lines at some token, meet all earlier ones at those tokens. A token
-that a large share of all lines has is dealt out by salt for the first step; as a salt shows only some of
-the earlier lines, each of its lines but the token's first meets all earlier ones where still unresolved.
+No token emits all pairs of its lines. Each line meets the first and the previous line of each of its
+prefix tokens. Only lines that are left unresolved there, with more earlier lines at some token, meet all
+earlier ones at those tokens, dealt out by salt where many do. A token that a large share of all lines has
+is dealt out by salt for the first step; as a salt shows only some of the earlier lines, each of its lines
+but the token's first meets all earlier ones where still unresolved.
 
 Null texts are left as they are and have no lines. A null key comes before all others. Rows that repeat a
-key are one document: they share decisions by line number. Extra columns are carried along.
+key are one document: they share decisions by line number. Extra columns are carried along; one that has
+the name of an added column gives way to it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -37,28 +39,32 @@ HOT_SHARE = 1 / 4096
 #: A token with fewer lines than this isn't hot, however small the table.
 HOT_LEAST = 1024
 SALTS = 64
+#: Lines that meet all earlier ones of a token in one task.
+OPEN_EACH = 256
+#: Steps of rarity for each doubling of a count, so that 11 bits hold any count.
+STEPS = 32
 LOW = (1 << 52) - 1
+NULL_KEY = -(1 << 63)
 
 
-def _word_hashes(line: Column) -> Column:
-    return F.transform(F.array_remove(F.split(F.lower(line), " "), ""), lambda w: F.xxhash64(w))
+def _words(lines: DataFrame) -> DataFrame:
+    """line gives way to words."""
+    return lines.withColumn("words", F.array_remove(F.split(F.lower("line"), " "), "")).drop("line").where(F.size("words") > 0)
 
 
-def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once: a lambda's parameter, where a column's name may be put in place."""
-    return F.get(F.transform(F.array(value), f), 0)
+def _at(i: Column) -> Column:
+    """The hash of the shingle from word i on; of all words where there are fewer than five."""
+    return F.xxhash64(*[F.get(F.col("words"), i + j) for j in range(SHINGLE)])
 
 
-def _shingles(hashes: Column) -> Column:
-    span = lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(SHINGLE)])
-    several = F.transform(F.sequence(F.lit(0), F.size(hashes) - SHINGLE), span)
-    some = F.when(F.size(hashes) >= SHINGLE, several).when(F.size(hashes) > 0, F.array(F.xxhash64(hashes)))
-    return F.array_distinct(some.otherwise(F.array().cast("array<bigint>")))
+def _places() -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))
 
 
 def with_shingles(lines: DataFrame) -> DataFrame:
-    """Adds shingles, the distinct token hashes of line, and drops lines without words."""
-    return lines.withColumn("shingles", _bound(_word_hashes(F.col("line")), _shingles)).where(F.size("shingles") > 0)
+    """line gives way to shingles, its distinct token hashes; lines without words are dropped."""
+    hashed = _words(lines).withColumn("shingles", F.transform(_places(), _at)).drop("words")
+    return hashed.withColumn("shingles", F.array_distinct("shingles"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -66,38 +72,46 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc", F.posexplode(F.split("text", "\n")).alias("number", "line"))
 
 
-def bucket_counts(shingled: DataFrame) -> np.ndarray:
-    bucket = F.pmod(F.col("s"), F.lit(BUCKETS)).cast("int")
-    counts = shingled.select(F.explode("shingles").alias("s")).groupBy(bucket.alias("b")).count().collect()  # BUCKETS rows
+def first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc, number, line of every line that no earlier one equals but for case; doc, number of those that one does.
+
+    Lines of white space alone are in neither.
+    """
+    spark = docs.sparkSession
+    low = F.lower("line")
+    hashed = lines_of(docs).where("trim(line) <> ''").select("doc", "number", F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(1), low).alias("h2"))
+    # one row a line, in short: its place in the text
+    firsts = hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc", "number")).alias("f")).select("f.doc", "f.number")
+    firsts = firsts.groupBy("doc").agg(F.collect_list("number").alias("firsts"))
+    marked = docs.where("text is not null").join(firsts, "doc", "left")
+    lines = marked.select("doc", F.coalesce("firsts", F.array().cast("array<int>")).alias("firsts"), F.posexplode(F.split("text", "\n")).alias("number", "line"))
+    lines = lines.where("trim(line) <> ''").select("doc", "number", "line", F.array_contains("firsts", F.col("number")).alias("first"))
+    lines = freed(written(lines.withColumn("line", F.when(F.col("first"), F.col("line"))), spark))
+    return lines.where("first").select("doc", "number", "line"), lines.where("not first").select("doc", "number").distinct()
+
+
+def bucket_counts(lines: DataFrame) -> np.ndarray:
+    """lines: line. The number of shingles in each bucket."""
+    found = _words(lines).select("words", F.explode(_places()).alias("i")).select(F.pmod(_at(F.col("i")), F.lit(BUCKETS)).cast("int").alias("b"))
+    counts = found.groupBy("b").count()
+    # packed by thousands: BUCKETS numbers in a few rows
+    packed = counts.groupBy((F.col("b") / 1024).cast("int")).agg(F.collect_list("b").alias("b"), F.collect_list("count").alias("n")).collect()
     out = np.zeros(BUCKETS, np.int64)
-    for r in counts:
-        out[r.b] = r["count"]
+    for r in packed:
+        out[r.b] = r.n
     return out
 
 
-def _described(lines: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc, number, h1, h2, n, prefix: hashes of a line's words, the number of its tokens, and its prefix."""
-    rank = F.lit(np.minimum(np.log2(np.maximum(counts, 1)) * 64, 2047).astype(np.int64))
-    bucket = lambda s: F.pmod(s, F.lit(BUCKETS)).cast("int")
-    token = lambda s: F.shiftleft(F.get(rank, bucket(s)), 52).bitwiseOR(s.bitwiseAND(F.lit(LOW)))
-    first = lambda n: n - F.floor((3 * n + 3) / 4).cast("int") + 1
-    cut = lambda tokens: F.struct(F.size(tokens).alias("n"), F.slice(tokens, F.lit(1), first(F.size(tokens))).alias("prefix"))
-
-    def described(hashes: Column) -> Column:
-        tokens = F.sort_array(F.transform(_shingles(hashes), token))
-        keys = F.struct(F.xxhash64(hashes).alias("h1"), F.xxhash64(F.lit(1), F.size(hashes), hashes).alias("h2"))
-        return F.struct(keys.alias("keys"), _bound(tokens, cut).alias("cut"))
-
-    found = lines.select("doc", "number", _bound(_word_hashes(F.col("line")), described).alias("d"))
-    return found.select("doc", "number", "d.keys.*", "d.cut.*").where("n > 0")
-
-
-def _prefixes(described: DataFrame, counts: np.ndarray) -> DataFrame:
+def _prefixes(lines: DataFrame, counts: np.ndarray) -> DataFrame:
     """doc, number, n, token, pos, salt (-1 unless the token is hot): the prefix tokens of every line."""
-    rows = described.select("doc", "number", "n", F.posexplode("prefix").alias("pos", "token"))
-    hot = int(np.log2(max(counts.sum() * HOT_SHARE, HOT_LEAST)) * 64)
+    rank = F.lit(np.minimum(np.log2(np.maximum(counts, 1)) * STEPS, 2047).astype(np.int32))
+    token = lambda s: F.shiftleft(F.get(rank, F.pmod(s, F.lit(BUCKETS)).cast("int")).cast("long"), 52).bitwiseOR(s.bitwiseAND(F.lit(LOW)))
+    ordered = with_shingles(lines).select("doc", "number", F.sort_array(F.transform("shingles", token)).alias("tokens"))
+    n = F.size("tokens")
+    cut = ordered.select("doc", "number", n.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), n - ((3 * n + 3) / 4).cast("int") + 1)).alias("pos", "token"))
+    hot = int(np.log2(max(counts.sum() * HOT_SHARE, HOT_LEAST)) * STEPS)
     salt = F.when(F.shiftright("token", 52) >= hot, F.pmod(F.xxhash64("doc", "number"), F.lit(SALTS)).cast("int")).otherwise(-1)
-    return rows.withColumn("salt", salt)
+    return cut.withColumn("salt", salt)
 
 
 def _allowed(a: str, b: str) -> Column:
@@ -120,9 +134,11 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
         return F.struct(F.col("b.doc").alias("doc"), F.col("b.number").alias("number"), doc.alias("a_doc"), number.alias("a_number"), token.alias("token"))
 
     none = F.lit(None).cast("long")
+    place = lambda x: F.struct(f"{x}.doc", f"{x}.number")
     found = F.array(
-        F.when(_allowed("b", "first"), pair("first", none)),
-        F.when((F.col("last") != F.col("first")) & _allowed("b", "last"), pair("last", none)),
+        # a key that repeats has several lines of one place, which aren't compared with each other
+        F.when((place("first") < place("b")) & _allowed("b", "first"), pair("first", none)),
+        F.when((F.col("last") != F.col("first")) & (place("last") < place("b")) & _allowed("b", "last"), pair("last", none)),
         # within a salt, the lines before are only some of the token's earlier ones
         F.when((F.col("at") > 3) | ((F.col("salt") >= 0) & (F.col("at") > 1)), pair("", F.col("token"))),
     )
@@ -134,56 +150,57 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
     return met.union(firsts.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("p")).select("p.*"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """doc, number of the lines that are similar to the earlier line they are paired with."""
-    at = lambda number: F.get(F.split("text", "\n"), F.col(number))
-    texts = docs.where("text is not null")
-    one = pairs.join(texts, "doc").select("doc", "number", "a_doc", "a_number", at("number").alias("line"))
-    one = with_shingles(one.where("line is not null")).select("doc", "number", "a_doc", "a_number", F.col("shingles").alias("mine"))
-    two = one.join(texts.withColumnRenamed("doc", "a_doc"), "a_doc").select("doc", "number", "mine", at("a_number").alias("line"))
-    two = with_shingles(two.where("line is not null"))
-    both = F.size(F.array_intersect("mine", "shingles"))
-    return two.where(100 * both >= 75 * (F.size("mine") + F.size("shingles") - both)).select("doc", "number").distinct()
+    spark = lines.sparkSession
+    met = pairs.select("doc", "number").union(pairs.select("a_doc", "a_number")).distinct()
+    sets = written(with_shingles(lines.join(met, ["doc", "number"], "left_semi")), spark)
+    other = sets.select(F.col("doc").alias("a_doc"), F.col("number").alias("a_number"), F.col("shingles").alias("theirs"))
+    both = pairs.join(sets, ["doc", "number"]).join(other, ["a_doc", "a_number"])
+    both = both.select("doc", "number", F.size("shingles").alias("n"), F.size("theirs").alias("m"), F.size(F.array_intersect("shingles", "theirs")).alias("c"))
+    return both.where("100 * c >= 75 * (n + m - c)").select("doc", "number").distinct()
+
+
+def _all_earlier(open_: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs of open lines (doc, number, token) with all earlier lines of their tokens.
+
+    The open lines of a token are dealt to a task for each OPEN_EACH of them, which its other lines all go to.
+    """
+    dealt = open_.groupBy("token").agg(F.ceil(F.count("*") / OPEN_EACH).cast("int").alias("tasks"))
+    at = prefixes.drop("salt").join(dealt, "token")
+    here = at.join(open_, ["doc", "number", "token"]).select("token", F.pmod(F.xxhash64("doc", "number"), F.col("tasks")).cast("int").alias("task"), F.struct("doc", "number", "n", "pos").alias("b"))
+    there = at.select("token", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.struct("doc", "number", "n", "pos").alias("a"))
+    rest = here.join(there, ["token", "task"]).where("struct(a.doc, a.number) < struct(b.doc, b.number)").where(_allowed("b", "a"))
+    return rest.select("b.doc", "b.number", F.col("a.doc").alias("a_doc"), F.col("a.number").alias("a_number")).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """docs: doc, text. doc, number of every line that goes."""
     spark = docs.sparkSession
-    lines = lines_of(docs)
-    counts = bucket_counts(lines.select(_bound(_word_hashes(F.col("line")), _shingles).alias("shingles")))
-    described = freed(written(_described(lines, counts), spark))
-    keyed = described.select("doc", "number", "h1", "h2")
-    firsts = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc", "number")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "f")
-    copies = written(keyed.join(firsts, ["h1", "h2"]).where("struct(doc, number) != f").select("doc", "number").distinct(), spark)
-    # what is similar to a copy is similar to the first of the copies
-    prefixes = _prefixes(described.join(copies, ["doc", "number"], "left_anti"), counts)
+    lines, copies = first_lines(docs)
+    prefixes = _prefixes(lines, bucket_counts(lines.select("line")))
     pairs = freed(written(_candidates(prefixes).distinct(), spark))
-    near = freed(written(_verified(pairs.where("token is null").drop("token"), docs), spark))
-    open_ = pairs.where("token is not null").join(near, ["doc", "number"], "left_anti").select("doc", "number", "token").distinct()
-    open_ = written(open_, spark)
+    near = freed(written(_verified(pairs.where("token is null").drop("token"), lines), spark))
+    open_ = written(pairs.where("token is not null").join(near, ["doc", "number"], "left_anti").select("doc", "number", "token").distinct(), spark)
     gone = copies.union(near)
     if open_.isEmpty():
         return gone
-    at = prefixes.drop("salt").join(open_.select("token").distinct(), "token", "left_semi")
-    here = at.join(open_, ["doc", "number", "token"]).select("token", F.struct("doc", "number", "n", "pos").alias("b"))
-    there = at.select("token", F.struct("doc", "number", "n", "pos").alias("a"))
-    rest = here.join(there, "token").where("struct(a.doc, a.number) < struct(b.doc, b.number)").where(_allowed("b", "a"))
-    rest = rest.select("b.doc", "b.number", F.col("a.doc").alias("a_doc"), F.col("a.number").alias("a_number")).distinct()
-    return gone.union(written(_verified(rest, docs), spark))
+    rest = written(_all_earlier(open_, prefixes), spark)
+    return gone.union(written(_verified(rest, lines), spark))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """The table with text cut to the lines that stay, and its numbers of lines and of those that went."""
-    plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text).alias("text"))
+    id_ = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NULL_KEY))
+    plain = docs.select(id_(key).alias("doc"), F.col(text).alias("text"))
     gone = removed_lines(plain).groupBy("doc").agg(F.collect_set("number").alias("gone"))
     own = [f"c{i}" for i in range(len(docs.columns))]
-    inner = docs.toDF(*own)
     k, t = (own[docs.columns.index(c)] for c in (key, text))
-    inner = inner.withColumn("doc", F.coalesce(F.col(k).cast("long"), F.lit(-(1 << 63)))).join(gone, "doc", "left")
-    inner = inner.withColumn("lines", F.split(t, "\n"))
-    kept = F.filter("lines", lambda x, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
-    new = F.when(F.col("gone").isNull(), F.col(t)).otherwise(F.array_join(kept, "\n"))
-    columns = [(new if c == t else F.col(c)).alias(n) for c, n in zip(own, docs.columns, strict=True)]
-    n_lines = F.coalesce(F.size("lines"), F.lit(0))
-    n_removed = F.coalesce(F.size("lines") - F.size(kept), F.lit(0))
-    return inner.select(*columns, F.when(F.col(t).isNull(), 0).otherwise(n_lines).cast("long").alias(added[0]), F.when(F.col(t).isNull(), 0).otherwise(n_removed).cast("long").alias(added[1]))
+    inner = docs.toDF(*own)
+    inner = inner.withColumn("doc", id_(k)).join(gone, "doc", "left").withColumn("lines", F.split(t, "\n"))
+    kept = F.filter("lines", lambda x, i: ~F.array_contains("gone", i))
+    inner = inner.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
+    new = F.when(F.col("gone").isNull(), F.col(t)).otherwise(F.array_join("kept", "\n"))
+    columns = [(new if c == t else F.col(c)).alias(n) for c, n in zip(own, docs.columns, strict=True) if n not in added]
+    n_removed = F.coalesce(F.size("lines") - F.size("kept"), F.lit(0))
+    return inner.select(*columns, F.coalesce(F.when(F.col(t).isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias(added[0]), F.when(F.col(t).isNull(), 0).otherwise(n_removed).cast("long").alias(added[1]))
