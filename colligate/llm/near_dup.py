@@ -4,21 +4,25 @@ A document's set are its distinct five-word shingles. Documents of equal sets fo
 stands for it. Each of TREES independent trees deals the classes to nodes by one minwise token. Then, level
 by level:
 
-* every member of a node is compared with the node's first member, and links are confirmed on full sets;
+* every member of a node is compared with one member of it, another in each node, and links are confirmed
+  on full sets;
 * classes that are connected need no further comparison with each other, so a node is done when all its
-  members are connected;
+  members are connected. Where most members of a node are, the others are compared with PIVOTS of those;
 * of the other nodes, small ones (up to SMALL members) are compared exhaustively, and members of large
   ones take BRANCHES paths of STEPS further minwise tokens each, which lead to the nodes of the next level.
+  Members of a node's largest component only follow those of their paths that other members take too.
 
 Documents that only share a frequent passage part on the way: a path keeps a pair of similarity s with
-probability s ** STEPS. A node that is still large and mixed after LEVELS levels is compared exhaustively.
+probability s ** STEPS. In a node that is still large and mixed after LEVELS levels, the members outside of
+its largest component are compared with all others.
 
 Recall: a pair of similarity s shares no node in TREES trees with probability (1 - s) ** TREES, 6e-8 at
 0.75. Where all of its nodes stay large and mixed, it branches LEVELS times, and all of its BRANCHES ** LEVELS
 paths in all trees may part. A simulation of 20,000 pairs, with the places as they are drawn here from OWN
 samples of each tree's own, lost 8 in 10,000 at exactly 0.75 and none at 0.8 after three branchings; the
-target is at most 1 in 1,000 at 0.75. Before the full sets are fetched, pairs whose SAMPLES one-byte minwise samples
-agree in fewer than AGREE places are dropped; a pair of 0.75 falls below with probability 1e-20.
+target is at most 1 in 1,000 at 0.75. Before the full sets are fetched, pairs whose SAMPLES one-byte minwise
+samples agree in fewer than agree places are dropped; a pair of 0.75 agrees in fewer than AGREE with
+probability 1e-20, and agree=0 drops none.
 
 Null texts and texts without words have the empty set, which has no links. Rows that repeat an id are one
 document with several sets. Rows with a null id are linked with nothing and keep a null component. Empty
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
-from .shared import blocks, freed, mixed, spread, texts, written
+from .shared import blocks, bounded, freed, mixed, spread, texts, written
 from .words import SPACED_FOLDED, find, sequence_hashes
 
 SHINGLE = 5
@@ -47,7 +51,9 @@ SMALL = 30
 BRANCHES = 2
 STEPS = 2
 LEVELS = 3
-OUTSIDE = 100
+PIVOTS = 8
+#: Rounds of joining stars between levels; the components at the end are whole.
+ROUNDS = 3
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,12 +116,15 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            one, two = (texts(batch.column(c))[0].reshape(-1, SAMPLES) for c in ("samples_a", "samples_b"))
-            keep = pa.array((one == two).sum(1) >= AGREE)
-            yield batch.select(["a", "b"]).filter(keep)
+def _agreeing(agree: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, two = (texts(batch.column(c))[0].reshape(-1, SAMPLES) for c in ("samples_a", "samples_b"))
+                keep = pa.array((one == two).sum(1) >= agree)
+                yield batch.select(["a", "b"]).filter(keep)
+
+    return rows
 
 
 def _confirmed(percent: int):
@@ -133,9 +142,9 @@ def _confirmed(percent: int):
     return rows
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text", agree: int = AGREE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and n_links (confirmed links of its class) for every row."""
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     described = docs.mapInArrow(_described, "doc_id long, n_shingles long, h1 long, h2 long, trees array<int>, samples binary")
     described = written(described, spark)
@@ -144,7 +153,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
         listed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("trees").alias("trees"), F.first("samples").alias("samples")),
         spark,
     )
-    links = freed(written(_links(spark, docs, classes, percent), spark))
+    links = freed(written(_links(spark, docs, classes, percent, agree), spark))
     of = components(links).groupBy("node").agg(F.min("component").alias("component"))
     degree = links.select("u").union(links.select("v")).groupBy("u").agg(F.count("*").alias("n_links"))
     named = classes.select("h1", "h2", "rep").join(of, F.col("rep") == F.col("node"), "left").join(degree, F.col("rep") == F.col("u"), "left")
@@ -156,39 +165,37 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
     )
 
 
-def _links(spark, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _links(spark, docs: DataFrame, classes: DataFrame, percent: int, agree: int) -> DataFrame:
     """Confirmed links u, v between classes, enough to connect all that are similar."""
     sampled = classes.select("rep", "n", "samples")
     nodes = classes.select("rep", F.posexplode("trees")).select("rep", _of_tree(F.xxhash64("pos", "col"), F.col("pos")).alias("node"))
-    played = None
     links = spark.createDataFrame([], "u long, v long")
     of = spark.createDataFrame([], "node long, component long")
-    small = None
+    small = played = None
     for level in range(LEVELS + 1):
-        mixed_nodes = _mixed(nodes, of)
-        nodes = written(mixed_nodes, spark)
-        firsts = nodes.groupBy("node").agg(F.min("rep").alias("first"))
-        pairs = nodes.join(firsts, "node").where("rep > first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
-        if small is not None:
-            pairs = pairs.union(_all_pairs(_mixed(small, of)))
+        nodes = written(_mixed(nodes, of), spark)
         if played is None:
             # texts of documents that share a node with another one, from here on the only ones that are read
             ids = nodes.select(F.col("rep").alias("doc_id")).distinct()
             played = freed(written(docs.join(ids, "doc_id", "left_semi"), spark))
-        found = freed(written(_verified(pairs, sampled, played, percent), spark))
-        links = links.union(found)
-        of = written(_labels(links), spark)
-        left = _mixed(nodes, of)
+        firsts = nodes.groupBy("node").agg(F.min_by("rep", F.xxhash64("rep", "node")).alias("first"))
+        pairs = nodes.join(firsts, "node").where("rep <> first").select(F.least("first", "rep").alias("a"), F.greatest("first", "rep").alias("b"))
+        if small is not None:
+            pairs = pairs.union(_all_pairs(_mixed(small, of)))
+        links = links.union(freed(written(_verified(pairs, sampled, played, percent, agree), spark)))
+        of = components(links, ROUNDS)
+        left = written(_mixed(nodes, of), spark)
+        pairs = _with_pivots(left.where(f"size > {SMALL}"))
+        if not pairs.isEmpty():
+            links = links.union(freed(written(_verified(pairs, sampled, played, percent, agree), spark)))
+            of = components(links, ROUNDS)
+            left = written(_mixed(left, of), spark)
         if level == LEVELS:
-            rest = left.select("node", "rep", "component")
-            apart = rest.alias("x").join(rest.alias("y"), "node").where("x.rep < y.rep and x.component != y.component")
-            return links.union(_verified(apart.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), sampled, played, percent))
-        small = left.where(f"size <= {SMALL}").select("node", "rep")
-        large = left.where(f"size > {SMALL}")
+            return links.union(_verified(_rest(left), sampled, played, percent, agree))
         if level and left.isEmpty():
             return links
-        nodes = _branched(large, sampled)
-        small = freed(written(small, spark))
+        small = left.where(f"size <= {SMALL}").select("node", "rep")
+        nodes = _branched(left.where(f"size > {SMALL}"), sampled)
 
 
 def _of_tree(node: Column, tree: Column) -> Column:
@@ -196,31 +203,36 @@ def _of_tree(node: Column, tree: Column) -> Column:
     return F.shiftleft(F.shiftright(node, 4), 4).bitwiseOR(tree.cast("long"))
 
 
+def _with_pivots(large: DataFrame) -> DataFrame:
+    """Pairs a, b of members outside of a node's largest component, where that has most members, and PIVOTS of its."""
+    most = large.where("2 * outside < size")
+    inside = F.col("component") == F.col("main")
+    pivots = most.where(inside).groupBy("node").agg(*[F.min_by("rep", F.xxhash64("rep", "node", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)])
+    pivots = pivots.select("node", F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)])).alias("pivots"))
+    met = most.where(~inside).select("node", "rep").join(pivots, "node").select("rep", F.explode("pivots").alias("pivot"))
+    return met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+
+
 def _branched(large: DataFrame, sampled: DataFrame) -> DataFrame:
     """The nodes of the next level: every member takes BRANCHES paths of STEPS further tokens.
 
-    Only pairs of different components matter. Where one component has all but OUTSIDE members of a node at
-    most, those of it that take none of the others' paths are left out.
+    Only pairs of different components matter, so members of a node's largest component are left out where
+    no other member takes their path.
     """
+    spark = large.sparkSession
     tree = F.col("node").bitwiseAND(F.lit(15))
     place = lambda k, j: (tree * OWN + F.pmod(F.xxhash64("node", F.lit(k), F.lit(j)), F.lit(OWN))).cast("int") + 1
     path = lambda k: F.concat(*[F.substring("samples", place(k, j), F.lit(1)) for j in range(STEPS)])
-    paths = F.array(*[_of_tree(F.xxhash64("node", F.lit(k), path(k)), tree) for k in range(BRANCHES)])
-    members = large.join(sampled.select("rep", "samples"), "rep").select("node", "rep", paths.alias("paths"), (F.col("component") == F.col("main")).alias("inside"), "outside")
-    few = F.col("outside") <= OUTSIDE
-    others = members.where(~F.col("inside") & few)
-    taken = others.select("node", F.explode("paths").alias("path")).groupBy("node").agg(F.collect_set("path").alias("taken"))
-    met = members.where(F.col("inside") & few).join(taken, "node").where(F.arrays_overlap("paths", "taken"))
-    every = others.select("rep", "paths").union(met.select("rep", "paths")).union(members.where(~few).select("rep", "paths"))
-    return every.select("rep", F.explode("paths").alias("node"))
-
-
-def _labels(links: DataFrame) -> DataFrame:
-    """node, component: for linked classes one that they are connected with, mostly the least; cheaper than
-    the components, and enough to tell what needs no comparison."""
-    up = links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
-    above = up.select(F.col("node").alias("component"), F.col("component").alias("upper"))
-    return up.join(above, "component", "left").select("node", F.coalesce("upper", "component").alias("component"))
+    paths = [_of_tree(F.xxhash64("node", F.lit(k), path(k)), tree).alias(f"p{k}") for k in range(BRANCHES)]
+    members = large.join(sampled.select("rep", "samples"), "rep").select("rep", (F.col("component") == F.col("main")).alias("inside"), *paths)
+    members = written(members, spark)
+    every = None
+    for k in range(BRANCHES):
+        of_path = members.select("rep", "inside", F.col(f"p{k}").alias("node"))
+        others = of_path.where("not inside").select("rep", "node")
+        met = of_path.where("inside").select("rep", "node").join(others.select("node").distinct(), "node", "left_semi").select("rep", "node")
+        every = others.union(met) if every is None else every.union(others).union(met)
+    return every
 
 
 def _mixed(nodes: DataFrame, of: DataFrame) -> DataFrame:
@@ -234,6 +246,15 @@ def _mixed(nodes: DataFrame, of: DataFrame) -> DataFrame:
     return own.join(mixed_, "node").select("node", "rep", "component", "size", "main", "outside")
 
 
+def _rest(left: DataFrame) -> DataFrame:
+    """Pairs of different components of a node, one of them outside of its largest."""
+    inside = F.col("component") == F.col("main")
+    one = left.where(~inside).select("node", F.col("rep").alias("a"), F.col("component").alias("of"))
+    two = left.select("node", F.col("rep").alias("b"), F.col("component").alias("other"), inside.alias("inside"))
+    met = one.join(two, "node").where("of <> other and (inside or a < b)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _all_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs of different components within nodes of at most SMALL members."""
     members = nodes.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rep", "component"))).alias("m"))
@@ -241,12 +262,12 @@ def _all_pairs(nodes: DataFrame) -> DataFrame:
     return members.select(F.explode(F.flatten(F.transform("m", pair))).alias("p")).select("p.a", "p.b")
 
 
-def _verified(pairs: DataFrame, sampled: DataFrame, played: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sampled: DataFrame, played: DataFrame, percent: int, agree: int) -> DataFrame:
     """Of the pairs a, b of documents those that are similar, as u, v; sizes and samples are looked at first."""
     one = sampled.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("samples").alias("samples_a"))
     two = sampled.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("samples").alias("samples_b"))
     near = pairs.distinct().join(one, "a").join(two, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    near = near.select("a", "b", "samples_a", "samples_b").mapInArrow(_agreeing, "a long, b long")
+    near = near.select("a", "b", "samples_a", "samples_b").mapInArrow(_agreeing(agree), "a long, b long")
     one, two = (played.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = near.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_confirmed(percent), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()

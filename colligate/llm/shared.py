@@ -12,7 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a Python kernel holds at once; a longer single text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Bytes of an Arrow batch that goes to a Python worker; a longer single row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most BATCH_BYTES (Spark's own bound of 64 MB counts for each task)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
 
 
 def work_dir(spark: SparkSession) -> str:

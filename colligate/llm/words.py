@@ -51,7 +51,7 @@ def _powers(base: int, size: int) -> np.ndarray:
 
 
 def powers(base: int, size: int) -> np.ndarray:
-    return _powers(base, 1 << max(22, (size - 1).bit_length()))[:size] if size else np.zeros(0, np.uint64)
+    return _powers(base, 1 << max(20, (size - 1).bit_length()))[:size] if size else np.zeros(0, np.uint64)
 
 
 @dataclass

@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 from colligate.llm import bpe, components, decontaminate, id_shards, image_copies, language_id, line_dedup, near_dup, phrase_dedup, pii, token_counts  # noqa: E402
 from colligate.llm.queries import vocabulary  # noqa: E402
-from colligate.llm.shared import work_dir  # noqa: E402
+from colligate.llm.shared import work_dir, written  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hits array<int>, n_words string, doc string, value int"
@@ -236,6 +236,33 @@ def test_near_duplicates(docs, rows):
     found = near_dup.near_duplicates(docs)
     assert got(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near([r[:2] for r in rows]), key=repr)
     assert near_dup.near_duplicates(docs.where("false")).count() == 0
+    assert got(near_dup.near_duplicates(docs, agree=0), "doc_id", "component_id") == sorted(((x[0], x[2]) for x in brute.near([r[:2] for r in rows])), key=repr)
+
+
+def test_near_duplicates_of_a_cloud(spark, monkeypatch):
+    """Edits of one text, many of them just above or below the threshold of each other, in a table at sf0.01."""
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(120)]
+    held = []
+    for i in range(150):
+        w = list(base)
+        for at in rng.sample(range(120), rng.randrange(1, 7)):
+            w[at] = word()
+        held.append((i, " ".join(w)))
+    held += [(1000 + i, " ".join(base[10:40] + [word() for _ in range(80)])) for i in range(40)]
+    found = near_dup.near_duplicates(spark.createDataFrame(held, "doc_id long, text string"))
+    assert got(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(held), key=repr)
+
+
+def test_near_duplicates_find_all_links_of_a_table(spark):
+    """Every document's class at sf0.01, against all pairs that share a shingle."""
+    held = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    wanted = {x[0]: x[2] for x in brute.near(held)}
+    found = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(held, "doc_id long, text string")).collect()}
+    linked = {d for d, c in wanted.items() if d != c}
+    assert sum(found[d] == wanted[d] for d in linked) >= 0.99 * len(linked) and all(found[d] == d for d in set(wanted) - linked - set(wanted.values()))
 
 
 def test_near_duplicates_in_large_mixed_nodes(spark, monkeypatch):
@@ -266,8 +293,8 @@ def test_near_duplicates_lose_few_links_over_all_branchings(spark):
     shares = rng.random((n, trees)) < 0.75
     nodes = spark.createDataFrame([(2 * i + k, (i * trees + t) << 4 | t) for i in range(n) for t in range(trees) if shares[i, t] for k in (0, 1)], "rep long, node long")
     for _ in range(near_dup.LEVELS):
-        large = nodes.select("node", "rep", F.col("rep").alias("component"), F.lit(-1).cast("long").alias("main"), F.lit(near_dup.OUTSIDE + 1).alias("outside"))
-        nodes = near_dup._branched(large, sampled).localCheckpoint()
+        large = nodes.select("node", "rep", F.col("rep").alias("component"), F.lit(-1).cast("long").alias("main"))
+        nodes = written(near_dup._branched(large, sampled), spark)
     met = nodes.groupBy("node", F.floor(F.col("rep") / 2).alias("pair")).agg(F.count_distinct("rep").alias("c")).where("c = 2")
     assert n - met.select("pair").distinct().count() <= 4
 
@@ -278,6 +305,9 @@ def test_components(spark):
     of = {r.node: r.component for r in found.collect()}
     assert (of[3], of[9], of[140]) == (1, 5, 100) and 20 not in of
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
+    parts = {r.node: r.component for r in components.components(chain, 2).collect()}
+    assert sorted(parts) == list(range(301)) and all(c <= n for n, c in parts.items()) and len(set(parts.values())) < 150
 
 
 def test_lines(docs, rows):
