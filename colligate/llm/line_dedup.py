@@ -43,27 +43,29 @@ SALTS = 64
 OPEN_EACH = 256
 #: Steps of rarity for each doubling of a count, so that 11 bits hold any count.
 STEPS = 32
-LOW = (1 << 52) - 1
 NULL_KEY = -(1 << 63)
 
 
-def _words(lines: DataFrame) -> DataFrame:
-    """line gives way to words."""
-    return lines.withColumn("words", F.array_remove(F.split(F.lower("line"), " "), "")).drop("line").where(F.size("words") > 0)
+def _hashes(lines: DataFrame) -> DataFrame:
+    """lines: with a line that isn't white space alone, which gives way to h, the hashes of its words."""
+    words = F.split(F.lower("line"), " ")
+    spaced = F.col("line").contains("  ") | F.col("line").startswith(" ") | F.col("line").endswith(" ")
+    words = lines.withColumn("words", F.when(spaced, F.array_remove(words, "")).otherwise(words)).drop("line")
+    return words.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
 
 
 def _at(i: Column) -> Column:
     """The hash of the shingle from word i on; of all words where there are fewer than five."""
-    return F.xxhash64(*[F.get(F.col("words"), i + j) for j in range(SHINGLE)])
+    return F.xxhash64(*[F.get(F.col("h"), i + j) for j in range(SHINGLE)])
 
 
 def _places() -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))
+    return F.sequence(F.lit(0), F.greatest(F.size("h") - SHINGLE, F.lit(0)))
 
 
 def with_shingles(lines: DataFrame) -> DataFrame:
-    """line gives way to shingles, its distinct token hashes; lines without words are dropped."""
-    hashed = _words(lines).withColumn("shingles", F.transform(_places(), _at)).drop("words")
+    """lines: with a line that isn't white space alone, which gives way to shingles, its distinct token hashes."""
+    hashed = _hashes(lines).withColumn("shingles", F.transform(_places(), _at)).drop("h")
     return hashed.withColumn("shingles", F.array_distinct("shingles"))
 
 
@@ -86,13 +88,13 @@ def first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marked = docs.where("text is not null").join(firsts, "doc", "left")
     lines = marked.select("doc", F.coalesce("firsts", F.array().cast("array<int>")).alias("firsts"), F.posexplode(F.split("text", "\n")).alias("number", "line"))
     lines = lines.where("trim(line) <> ''").select("doc", "number", "line", F.array_contains("firsts", F.col("number")).alias("first"))
-    lines = freed(written(lines.withColumn("line", F.when(F.col("first"), F.col("line"))), spark))
+    lines = written(lines.withColumn("line", F.when(F.col("first"), F.col("line"))), spark)
     return lines.where("first").select("doc", "number", "line"), lines.where("not first").select("doc", "number").distinct()
 
 
 def bucket_counts(lines: DataFrame) -> np.ndarray:
     """lines: line. The number of shingles in each bucket."""
-    found = _words(lines).select("words", F.explode(_places()).alias("i")).select(F.pmod(_at(F.col("i")), F.lit(BUCKETS)).cast("int").alias("b"))
+    found = _hashes(lines).select("h", F.explode(_places()).alias("i")).select(_at(F.col("i")).bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
     counts = found.groupBy("b").count()
     # packed by thousands: BUCKETS numbers in a few rows
     packed = counts.groupBy((F.col("b") / 1024).cast("int")).agg(F.collect_list("b").alias("b"), F.collect_list("count").alias("n")).collect()
@@ -104,13 +106,13 @@ def bucket_counts(lines: DataFrame) -> np.ndarray:
 
 def _prefixes(lines: DataFrame, counts: np.ndarray) -> DataFrame:
     """doc, number, n, token, pos, salt (-1 unless the token is hot): the prefix tokens of every line."""
-    rank = F.lit(np.minimum(np.log2(np.maximum(counts, 1)) * STEPS, 2047).astype(np.int32))
-    token = lambda s: F.shiftleft(F.get(rank, F.pmod(s, F.lit(BUCKETS)).cast("int")).cast("long"), 52).bitwiseOR(s.bitwiseAND(F.lit(LOW)))
+    rank = F.lit(np.minimum(np.log2(np.maximum(counts, 1)) * STEPS, 2047).astype(np.int64) << 52)
+    token = lambda s: F.coalesce(F.get(rank, s.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)).bitwiseOR(F.shiftrightunsigned(s, 12))
     ordered = with_shingles(lines).select("doc", "number", F.sort_array(F.transform("shingles", token)).alias("tokens"))
     n = F.size("tokens")
     cut = ordered.select("doc", "number", n.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), n - ((3 * n + 3) / 4).cast("int") + 1)).alias("pos", "token"))
     hot = int(np.log2(max(counts.sum() * HOT_SHARE, HOT_LEAST)) * STEPS)
-    salt = F.when(F.shiftright("token", 52) >= hot, F.pmod(F.xxhash64("doc", "number"), F.lit(SALTS)).cast("int")).otherwise(-1)
+    salt = F.when(F.shiftrightunsigned("token", 52) >= hot, F.pmod(F.xxhash64("doc", "number"), F.lit(SALTS)).cast("int")).otherwise(-1)
     return cut.withColumn("salt", salt)
 
 
@@ -121,33 +123,56 @@ def _allowed(a: str, b: str) -> Column:
     return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * most >= 3 * (n1 + n2))
 
 
-def _candidates(prefixes: DataFrame) -> DataFrame:
-    """doc, number, a_doc, a_number: a line and an earlier one of a shared token; or doc, number, token where
-    more earlier ones are there."""
-    rows = prefixes.select("token", "salt", "doc", "number", F.struct("doc", "number", "n", "pos").alias("b"))
-    order = Window.partitionBy("token", "salt").orderBy("doc", "number")
-    seen = rows.select("token", "salt", "b", F.first("b").over(order).alias("first"), F.lag("b").over(order).alias("last"), F.row_number().over(order).alias("at"))
+#: Kinds of rows: a pair of lines; a line that meets more earlier ones of a token; one that they meet; the
+#: first one of a salt.
+PAIR, OPEN, MET, FIRST = range(4)
 
-    def pair(a: str, token: Column) -> Column:
-        other = F.lit(None).cast("long"), F.lit(None).cast("int")
-        doc, number = (F.col(f"{a}.doc"), F.col(f"{a}.number")) if a else other
-        return F.struct(F.col("b.doc").alias("doc"), F.col("b.number").alias("number"), doc.alias("a_doc"), number.alias("a_number"), token.alias("token"))
 
-    none = F.lit(None).cast("long")
-    place = lambda x: F.struct(f"{x}.doc", f"{x}.number")
+def _candidates(prefixes: DataFrame) -> DataFrame:
+    """kind, doc, number, and of a pair a_doc, a_number: a line and an earlier one that has a token of its; of
+    the other kinds token, n, pos: all lines of the tokens that have more lines than pairs are made of."""
+    rows = prefixes.select("token", "salt", F.struct("doc", "number", "n", "pos").alias("b"))
+    order = Window.partitionBy("token", "salt").orderBy("b.doc", "b.number")
+    second = F.when(F.col("at") == 4, F.lag("b", 2).over(order))
+    seen = rows.select("token", "salt", "b", F.first("b").over(order).alias("first"), F.lag("b").over(order).alias("last"), F.row_number().over(order).alias("at"))
+    seen = seen.withColumn("second", second)
+    hot = F.col("salt") >= 0
     found = F.array(
-        # a key that repeats has several lines of one place, which aren't compared with each other
-        F.when((place("first") < place("b")) & _allowed("b", "first"), pair("first", none)),
-        F.when((F.col("last") != F.col("first")) & (place("last") < place("b")) & _allowed("b", "last"), pair("last", none)),
+        F.when(_earlier("first") & _allowed("b", "first"), _pair("first")),
+        F.when((F.col("last") != F.col("first")) & _earlier("last") & _allowed("b", "last"), _pair("last")),
         # within a salt, the lines before are only some of the token's earlier ones
-        F.when((F.col("at") > 3) | ((F.col("salt") >= 0) & (F.col("at") > 1)), pair("", F.col("token"))),
+        F.when((F.col("at") > 3) | (hot & (F.col("at") > 1)), _member(OPEN, "b")),
+        F.when(hot & (F.col("at") == 1), _member(FIRST, "b")),
+        *[F.when(~hot & (F.col("at") == 4), _member(MET, x)) for x in ("first", "second", "last")],
     )
-    met = seen.where("last is not null").select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("p")).select("p.*")
-    # salts of a hot token meet by their first lines
-    split = seen.where("salt >= 0 and at = 1").groupBy("token").agg(F.min("b").alias("first"), F.collect_list("b").alias("each")).where("size(each) > 1")
-    firsts = split.select("token", "first", F.explode("each").alias("b")).where("b != first")
-    found = F.array(F.when(_allowed("b", "first"), pair("first", none)), pair("", F.col("token")))
-    return met.union(firsts.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("p")).select("p.*"))
+    return seen.where("last is not null or salt >= 0").select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("p")).select("p.*")
+
+
+def _earlier(a: str) -> Column:
+    """A key that repeats has several lines of one place, which aren't compared with each other."""
+    return F.struct(f"{a}.doc", f"{a}.number") < F.struct("b.doc", "b.number")
+
+
+def _row(kind: int, doc: Column, number: Column, **other: Column) -> Column:
+    kinds = {"a_doc": "long", "a_number": "int", "token": "long", "n": "int", "pos": "int"}
+    return F.struct(F.lit(kind).alias("kind"), doc.alias("doc"), number.alias("number"), *[other.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+
+def _pair(a: str) -> Column:
+    return _row(PAIR, F.col("b.doc"), F.col("b.number"), a_doc=F.col(f"{a}.doc"), a_number=F.col(f"{a}.number"))
+
+
+def _member(kind: int, a: str) -> Column:
+    return _row(kind, *(F.col(f"{a}.{c}") for c in ("doc", "number")), token=F.col("token"), n=F.col(f"{a}.n"), pos=F.col(f"{a}.pos"))
+
+
+def _across_salts(candidates: DataFrame) -> DataFrame:
+    """The first lines of a hot token's salts, at most SALTS: each but the token's first meets that, and is open."""
+    firsts = candidates.where(f"kind = {FIRST}").select("token", F.struct("doc", "number", "n", "pos").alias("b"))
+    split = firsts.groupBy("token").agg(F.min("b").alias("first"), F.collect_list("b").alias("each")).where("size(each) > 1")
+    split = split.select("token", "first", F.explode("each").alias("b")).where("b <> first")
+    found = F.array(F.when(_earlier("first") & _allowed("b", "first"), _pair("first")), _member(OPEN, "b"))
+    return split.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("p")).select("p.*")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -161,14 +186,15 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return both.where("100 * c >= 75 * (n + m - c)").select("doc", "number").distinct()
 
 
-def _all_earlier(open_: DataFrame, prefixes: DataFrame) -> DataFrame:
+def _all_earlier(open_: DataFrame, members: DataFrame) -> DataFrame:
     """The pairs of open lines (doc, number, token) with all earlier lines of their tokens.
 
     The open lines of a token are dealt to a task for each OPEN_EACH of them, which its other lines all go to.
     """
     dealt = open_.groupBy("token").agg(F.ceil(F.count("*") / OPEN_EACH).cast("int").alias("tasks"))
-    at = prefixes.drop("salt").join(dealt, "token")
-    here = at.join(open_, ["doc", "number", "token"]).select("token", F.pmod(F.xxhash64("doc", "number"), F.col("tasks")).cast("int").alias("task"), F.struct("doc", "number", "n", "pos").alias("b"))
+    at = members.select("token", "doc", "number", "n", "pos").join(dealt, "token")
+    here = at.join(open_, ["doc", "number", "token"], "left_semi").distinct()
+    here = here.select("token", F.pmod(F.xxhash64("doc", "number"), F.col("tasks")).cast("int").alias("task"), F.struct("doc", "number", "n", "pos").alias("b"))
     there = at.select("token", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.struct("doc", "number", "n", "pos").alias("a"))
     rest = here.join(there, ["token", "task"]).where("struct(a.doc, a.number) < struct(b.doc, b.number)").where(_allowed("b", "a"))
     return rest.select("b.doc", "b.number", F.col("a.doc").alias("a_doc"), F.col("a.number").alias("a_number")).distinct()
@@ -178,14 +204,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """docs: doc, text. doc, number of every line that goes."""
     spark = docs.sparkSession
     lines, copies = first_lines(docs)
-    prefixes = _prefixes(lines, bucket_counts(lines.select("line")))
-    pairs = freed(written(_candidates(prefixes).distinct(), spark))
-    near = freed(written(_verified(pairs.where("token is null").drop("token"), lines), spark))
-    open_ = written(pairs.where("token is not null").join(near, ["doc", "number"], "left_anti").select("doc", "number", "token").distinct(), spark)
+    freed(lines)
+    candidates = freed(written(_candidates(_prefixes(lines, bucket_counts(lines.select("line")))), spark))
+    candidates = candidates.union(written(_across_salts(candidates), spark))
+    pairs = written(candidates.where(f"kind = {PAIR}").select("doc", "number", "a_doc", "a_number").distinct(), spark)
+    near = freed(written(_verified(pairs, lines), spark))
     gone = copies.union(near)
+    members = candidates.where(f"kind <> {PAIR}")
+    open_ = written(members.where(f"kind = {OPEN}").select("doc", "number", "token").join(near, ["doc", "number"], "left_anti").distinct(), spark)
     if open_.isEmpty():
         return gone
-    rest = written(_all_earlier(open_, prefixes), spark)
+    rest = freed(written(_all_earlier(open_, members), spark))
     return gone.union(written(_verified(rest, lines), spark))
 
 
