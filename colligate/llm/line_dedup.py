@@ -204,8 +204,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """docs: doc, text. doc, number of every line that goes."""
     spark = docs.sparkSession
     lines, copies = first_lines(docs)
+    counts = bucket_counts(lines.select("line"))
     freed(lines)
-    candidates = freed(written(_candidates(_prefixes(lines, bucket_counts(lines.select("line")))), spark))
+    candidates = freed(written(_candidates(_prefixes(lines, counts)), spark))
     candidates = candidates.union(written(_across_salts(candidates), spark))
     pairs = written(candidates.where(f"kind = {PAIR}").select("doc", "number", "a_doc", "a_number").distinct(), spark)
     near = freed(written(_verified(pairs, lines), spark))
