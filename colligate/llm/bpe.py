@@ -25,12 +25,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import BLOCK_BYTES, blocks, spread
+from .shared import BLOCK_BYTES, blocks, bounded, spread
 
 NO_RANK = np.int64(1 << 40)
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 200_000
 #: Bytes of text whose new chunks are learned together.
-LEARNED_BYTES = 8 << 20
+LEARNED_BYTES = 4 << 20
 #: The byte-level pre-token pattern, and white space as Unicode has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "\\t-\\r \x85\xa0  -     　"
@@ -261,20 +261,20 @@ def encoder(file: str) -> Encoder:
     return _encoders[key]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, and with ids=True the ids and the decoded text.
+def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, with ids=True the ids, and with decoded=True the decoded text.
 
     tokenizer: a byte-level BPE file that the driver can open. The hashes are over the ids as little-endian
     unsigned 32-bit integers and the decoded text in UTF-8.
     """
     with open(tokenizer, encoding="utf-8") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())  # one tokenizer's file, a few MB
+        sent = bounded(docs.sparkSession).sparkContext.broadcast(f.read())  # one tokenizer's file, a few MB
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(sent.value)
         for whole in blocks(batches, "text", LEARNED_BYTES):
             e.prepare(whole.column("text").fill_null("").to_pylist())
-            yield from map(encoded, blocks(iter([whole]), "text", BLOCK_BYTES // 4))
+            yield from map(encoded, blocks(iter([whole]), "text", BLOCK_BYTES))
 
     def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
         e = encoder(sent.value)
@@ -282,20 +282,22 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
         small, at = found.astype("<u4"), np.concatenate([[0], np.cumsum(counts)])
         byte_ends = np.concatenate([[0], np.cumsum(e.byte_lengths[found])])[at]
         data = e.all_bytes[spread(e.byte_starts[found], e.byte_lengths[found])]
-        shas, decoded, texts = [], [], []
+        shas, decoded_shas, texts = [], [], []
         for i in range(len(counts)):
             raw = data[byte_ends[i] : byte_ends[i + 1]].tobytes().decode("utf-8", "replace")
             shas.append(hashlib.sha256(small[at[i] : at[i + 1]].tobytes()).hexdigest())
-            decoded.append(hashlib.sha256(raw.encode()).hexdigest())
-            if ids:
+            decoded_shas.append(hashlib.sha256(raw.encode()).hexdigest())
+            if decoded:
                 texts.append(raw)
-        columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
+        columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded_shas, pa.string())]
         if ids:
-            columns += [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(small.astype(np.int64)).cast(pa.int32())), pa.array(texts, pa.string())]
+            columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found.astype(np.int32))))
+        if decoded:
+            columns.append(pa.array(texts, pa.string()))
         return pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * ids
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids + ["decoded"] * decoded
     picked = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
     return picked.mapInArrow(rows, schema)

@@ -27,7 +27,7 @@ def op5_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return bpe.encode_documents(docs, vocabulary("byte_bpe_50k.json"), ids=False)
+    return bpe.encode_documents(docs, vocabulary("byte_bpe_50k.json"), ids=False, decoded=False)
 
 
 def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
