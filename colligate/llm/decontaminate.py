@@ -10,8 +10,8 @@ the array is built over the runs of such words. That leaves out no match. Words
 of the benchmark's vocabulary; a training word gets its number by a 64-bit hash, and every match is then
 confirmed on the words themselves.
 
-The benchmark is taken in blocks of at most BENCHMARK_BYTES of text, each sent to all executors and
-searched in a pass of its own over the documents.
+The benchmark is taken in blocks of at most BENCHMARK_BYTES of text, each sent to all executors; a pass over
+the documents searches BLOCKS_A_PASS of them.
 
 Null texts and texts without words have no words and no hits. An item without words has no window. Items
 that repeat an id count once. A null item id is written as the word null. Rows that repeat stay; documents
@@ -27,11 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import blocks, spread, texts
+from .shared import blocks, bounded, spread, texts
 from .words import LETTERED, Words, find, sequence_hashes
 
 WINDOW = 10
 BENCHMARK_BYTES = 4 << 20
+BLOCKS_A_PASS = 4
+#: Bytes of training text under one suffix array.
+SHARD_BYTES = 2 << 20
 
 
 class Suffixes:
@@ -83,7 +86,10 @@ class Benchmark:
             word = found.text(i, LETTERED)
             if place.setdefault(n, word) != word:
                 raise ValueError("two benchmark words have one hash")
-        self.words = [b"", *(place[n] for n in range(1, len(self.hashes) + 1))]
+        words = [b"", *(place[n] for n in range(1, len(self.hashes) + 1))]
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(words), np.uint8)
         self.near = np.zeros(1 << 16, bool)
         self.near[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
         self.ids = ["null" if x is None else str(x) for x in ids]
@@ -145,11 +151,26 @@ class Benchmark:
             depth += 1
         at, who, length = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 3
         first, item, suffix = where[at], self.item[who], self.suffix[who]
-        right = np.array([self._same(found, f, s, n) for f, s, n in zip(first.tolist(), suffix.tolist(), length.tolist(), strict=True)], bool)
+        right = self._same(found, symbols, first, length)
         return first[right], length[right], item[right]
 
-    def _same(self, found: Words, first: int, suffix: int, n: int) -> bool:
-        return all(found.text(first + k, LETTERED) == self.words[self.numbers[suffix + k]] for k in range(n))
+    def _same(self, found: Words, symbols: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether all words of a match are what their numbers stand for; every matched word is compared once."""
+        covered = np.zeros(len(symbols) + 1, np.int64)
+        np.add.at(covered, first, 1)
+        np.add.at(covered, first + length, -1)
+        at = np.flatnonzero(np.cumsum(covered[:-1]))
+        sizes = found.ends[at] - found.starts[at]
+        wrong = sizes != self.sizes[symbols[at]]
+        same = np.flatnonzero(~wrong)
+        mine = LETTERED.folded[found.data[spread(found.starts[at[same]], sizes[same])]]
+        theirs = self.letters[spread(self.begins[symbols[at[same]]], sizes[same])]
+        of = np.repeat(same, sizes[same])
+        wrong[of[mine != theirs]] = True
+        bad = np.zeros(len(symbols) + 1, np.int64)
+        bad[at[wrong] + 1] = 1
+        bad = np.cumsum(bad)
+        return bad[first + length] == bad[first]
 
 
 def benchmark_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Benchmark]:
@@ -183,29 +204,34 @@ def _found(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str
     out = docs.select(*[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)], F.col(key).alias("cg_key"), F.col(text).alias("cg_text"))
     out = out.withColumns({"cg_spans": F.array().cast("array<int>"), "cg_items": F.array().cast("array<string>")})
     schema = out.schema
-    for block in benchmark_blocks(benchmark, item, text):
-        sent = docs.sparkSession.sparkContext.broadcast(block)  # at most BENCHMARK_BYTES of text
-        out = out.mapInArrow(_searched(sent), schema)
+    spark = bounded(docs.sparkSession)
+    sent = [spark.sparkContext.broadcast(block) for block in benchmark_blocks(benchmark, item, text)]  # at most BENCHMARK_BYTES of text each
+    for i in range(0, len(sent), BLOCKS_A_PASS):
+        out = out.mapInArrow(_searched(sent[i : i + BLOCKS_A_PASS]), schema)
     extra = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits array<int>, items array<string>"
     held = [f for f in schema if f.name not in ("cg_text", "cg_spans", "cg_items")]
     return out.mapInArrow(_summed([f.name for f in held]), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held) + ", " + extra)
 
 
-def _searched(sent):
+def _searched(sent: list):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = sent.value
-        for batch in blocks(batches, "cg_text"):
+        for batch in blocks(batches, "cg_text", SHARD_BYTES):
             found = find(*texts(batch.column("cg_text")), LETTERED)
-            first, length, item = bench.search(found)
-            if len(first):
-                spans = batch.column("cg_spans").to_pylist()
-                items = batch.column("cg_items").to_pylist()
+            spans = items = None
+            for bench in (x.value for x in sent):
+                first, length, item = bench.search(found)
+                if not len(first):
+                    continue
+                if spans is None:
+                    spans = batch.column("cg_spans").to_pylist()
+                    items = batch.column("cg_items").to_pylist()
                 doc = np.searchsorted(found.first, first, "right") - 1
                 hit = sorted(set(zip(doc.tolist(), (first - found.first[doc]).tolist(), length.tolist(), strict=True)))
                 for d, f, n in hit:
                     spans[d] += [f, n]
                 for d, i in sorted(set(zip(doc.tolist(), item.tolist(), strict=True))):
                     items[d].append(bench.ids[i])
+            if spans is not None:
                 columns = {"cg_spans": spans, "cg_items": items}
                 batch = pa.RecordBatch.from_arrays(
                     [pa.array(columns[f.name], f.type) if f.name in columns else batch.column(f.name) for f in batch.schema], schema=batch.schema

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .bpe import byte_letters
 from .shared import blocks, mixed, partitions_for, spread, texts, work_dir, written
@@ -37,6 +37,8 @@ MAGIC = b"CGIDX1\0\0"
 FOOTER = struct.Struct("<8sqqqqq")
 #: Bytes of input on disk for each shard; ids take about 1.3 times as much.
 SHARD_BYTES = 32 << 20
+#: Shards that are summed together before their sums are.
+SUMMED = 4096
 CACHED_WORDS = 600_000
 LEVELS = 64
 
@@ -362,16 +364,20 @@ def read_shards(spark: SparkSession, shards: ShardSet) -> DataFrame:
     return files.mapInArrow(rows, "doc_id long, shard long, place long, start long, n_tokens long, ids_crc32 long")
 
 
+def bases_of(totals: DataFrame) -> DataFrame:
+    """totals: shard, ids. shard, base: the ids of all shards before it, summed by SUMMED shards and then by shard."""
+    rows = totals.withColumn("part", F.floor(F.col("shard") / SUMMED))
+    before = (Window.unboundedPreceding, -1)
+    parts = rows.groupBy("part").agg(F.sum("ids").alias("ids"))  # a row for SUMMED shards
+    parts = parts.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(*before)), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("shard").rowsBetween(*before)), F.lit(0))
+    return rows.select("shard", "part", own.alias("own")).join(parts, "part").select("shard", (F.col("base") + F.col("own")).alias("base"))
+
+
 def documents_of(spark: SparkSession, shards: ShardSet) -> DataFrame:
-    """read_shards with start counted from the first shard on. One number a shard goes to the driver."""
+    """read_shards with start counted from the first shard on."""
     found = written(read_shards(spark, shards), spark)
-    totals = found.groupBy("shard").agg(F.sum("n_tokens").alias("ids")).orderBy("shard").collect()
-    before, rows = 0, []
-    for r in totals:
-        rows.append((r.shard, before))
-        before += r.ids
-    bases = spark.createDataFrame(rows, "shard long, base long")
-    return found.join(F.broadcast(bases), "shard").select(  # one row a shard
+    return found.join(bases_of(found.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))), "shard").select(
         "doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "shard", "place"
     )
 

@@ -12,7 +12,8 @@ trigrams that occur in it.
 
 Training takes at most SAMPLE_ROWS rows in expectation, by a hash of the key, of those that may be
 learned from. Languages share them evenly: those below the even share keep all of their rows. Prediction takes every whole text. Null texts and texts without letters are und, score 0.
-With no training rows every text with letters is und. Rows that repeat stay; other columns are kept out.
+With no training rows every text with letters is und. Rows that repeat stay; other columns are carried along,
+and one that has the name of an added column gives way to it.
 """
 
 from __future__ import annotations
@@ -164,4 +165,4 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", added: tup
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema) + ", lang_pred string, score double"
     out = inner.mapInArrow(rows, schema)
-    return out.select(*[F.col(c).alias(n) for c, n in zip(own, docs.columns, strict=True)], F.col("lang_pred").alias(added[0]), F.col("score").alias(added[1]))
+    return out.select(*[F.col(c).alias(n) for c, n in zip(own, docs.columns, strict=True) if n not in added], F.col("lang_pred").alias(added[0]), F.col("score").alias(added[1]))

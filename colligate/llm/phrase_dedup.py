@@ -39,7 +39,9 @@ GRAM = 5
 #: Bytes of text that the hashing kernels take at once where nothing is grouped: what caches hold.
 KERNEL_BYTES = 512 << 10
 #: Documents that one place serves with the passages of a document.
-SERVED = 4000
+SERVED = 500
+#: Distinct words in one automaton, which are its letters; there are some 1.1 million code points.
+LETTERS = 1_000_000
 
 
 def windows_of(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,33 +212,47 @@ def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class PhraseAutomaton:
-    """All windows of some passages, a letter for each of their words."""
+    """All windows of some passages, a letter for each of their words; several automata where letters run out."""
 
     def __init__(self):
-        import ahocorasick
+        self.parts: list[tuple] = []
 
-        self.automaton = ahocorasick.Automaton()
-        self.letters: dict[bytes, str] = {}
+    def _open(self) -> tuple:
+        import ahocorasick
 
-    def _letter(self, word: bytes) -> str:
-        n = len(self.letters) + 1
-        return self.letters.setdefault(word, chr(n if n < 0xD800 else n + 0x800))
+        self.parts.append((ahocorasick.Automaton(), {}))
+        return self.parts[-1]
 
     def add(self, passage: str) -> None:
-        line = "".join(map(self._letter, passage.encode().split()))
+        words = passage.encode().split()
+        step = LETTERS - WINDOW + 1
+        for first in range(0, max(1, len(words) - WINDOW + 1), step):
+            self._add(words[first : first + LETTERS])
+
+    def _add(self, words: list[bytes]) -> None:
+        automaton, letters = self.parts[-1] if self.parts else self._open()
+        if len(letters) + len(words) > LETTERS and letters:
+            automaton, letters = self._open()
+        for w in words:
+            n = len(letters) + 1
+            letters.setdefault(w, chr(n if n < 0xD800 else n + 0x800))
+        line = "".join([letters[w] for w in words])
         for i in range(len(line) - WINDOW + 1):
-            self.automaton.add_word(line[i : i + WINDOW], 1)
+            automaton.add_word(line[i : i + WINDOW], 1)
 
     def ready(self) -> PhraseAutomaton:
-        self.automaton.make_automaton()
+        for automaton, _ in self.parts:
+            automaton.make_automaton()
         return self
 
     def occurrences(self, words: list[bytes]) -> list[int]:
-        """The first words of all windows in these words."""
-        if not len(self.automaton):
-            return []
-        line = "".join([self.letters.get(w, "\0") for w in words])
-        return [end - WINDOW + 1 for end, _ in self.automaton.iter(line)]
+        """The first words of all windows in these words, in ascending order."""
+        found: set[int] = set()
+        for automaton, letters in self.parts:
+            if len(automaton):
+                line = "".join([letters.get(w, "\0") for w in words])
+                found.update(end - WINDOW + 1 for end, _ in automaton.iter(line))
+        return sorted(found)
 
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

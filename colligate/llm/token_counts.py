@@ -1,8 +1,8 @@
 """Token counts under a unigram model, by dynamic programming over a trie of distinct pre-tokens.
 
 The words of a block of texts (between white space) are reduced to distinct ones, each with the word mark
-before it, and inserted into a trie level by level. Every node, that is every prefix that words share, gets
-its forward score once: the best log-probability of cutting the prefix into pieces, and the number of
+before it, and inserted into a trie level by level, until few words are left, which share next to nothing
+and go on from their nodes alone. Every node, that is every prefix that words share, gets its forward score once: the best log-probability of cutting the prefix into pieces, and the number of
 pieces of that cut (of equal scores, the fewest). The node where a word ends has the word's count; a text's
 count is the sum over its words.
 
@@ -14,6 +14,7 @@ taken whole. Columns other than key and text are not read.
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ BYTE_COST = -25.0
 MARK = "▁".encode()
 FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
 FILTER_BITS = 21
+#: Where no more words than this are left, each goes on alone from its node: a level costs as much as so many bytes.
+ALONE = 100
 
 
 @dataclass
@@ -38,6 +41,7 @@ class Pieces:
     scores: np.ndarray
     near: np.ndarray
     longest: int
+    table: dict[bytes, float]
 
     @staticmethod
     def of(pieces: list[tuple[bytes, float]]) -> Pieces:
@@ -47,7 +51,7 @@ class Pieces:
         order = np.argsort(hashes)
         near = np.zeros(1 << FILTER_BITS, bool)
         near[_slot(hashes)] = True
-        return Pieces(hashes[order], np.array([s for _, s in pieces])[order], near, max(len(p) for p, _ in pieces))
+        return Pieces(hashes[order], np.array([s for _, s in pieces])[order], near, max(len(p) for p, _ in pieces), dict(pieces))
 
     @staticmethod
     def read(path: str) -> Pieces:
@@ -79,7 +83,7 @@ def counts_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Pi
     tails = [np.zeros(1, np.uint64)]  # hash of the last l bytes of each node, for l = 0, 1, ...
     above: list[np.ndarray] = [np.zeros(1, np.int64)]  # ancestors l levels up, as rows of that level
     depth = 0
-    while len(word):
+    while len(word) > ALONE:
         byte = np.full(len(word), MARK[depth], np.int64) if depth < len(MARK) else data[starts[word] + depth - len(MARK)].astype(np.int64)
         keys, node = np.unique(node << 8 | byte, return_inverse=True)
         parent, letter = keys >> 8, (keys & 255).astype(np.uint64) + np.uint64(1)
@@ -105,9 +109,29 @@ def counts_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Pi
         done = lengths[word] == depth
         out[word[done]] = count[node[done]]
         word, node = word[~done], node[~done]
+    for w, n in zip(word.tolist(), node.tolist(), strict=True):
+        known = min(depth, pieces.longest - 1) + 1
+        best = [(float(scores[-1 - i][above[i][n]]), int(counts[-1 - i][above[i][n]])) for i in reversed(range(known))]
+        text = MARK + data[starts[w] : ends[w]].tobytes()
+        out[w] = _alone(text, depth, best, pieces)
     return out
 
 
+def _alone(word: bytes, depth: int, best: list[tuple[float, int]], pieces: Pieces) -> int:
+    """The count of a word from its prefix of depth bytes on. best: score and count of that prefix, last, and of those before it."""
+    best, table = collections.deque(best, pieces.longest), pieces.table
+    for end in range(depth + 1, len(word) + 1):
+        score, count = best[-1][0] + BYTE_COST, best[-1][1] + 1
+        for n in range(1, min(end, pieces.longest) + 1):
+            own = table.get(word[end - n : end])
+            if own is not None:
+                s, c = best[-n][0] + own, best[-n][1] + 1
+                if s > score or s == score and c < count:
+                    score, count = s, c
+        best.append((score, count))
+    return best[-1][1]
+
+
 def count_tokens(docs: DataFrame, pieces: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens for every row. pieces: a sentencepiece file that the driver can open."""
     sent = docs.sparkSession.sparkContext.broadcast(Pieces.read(pieces))  # one model's pieces

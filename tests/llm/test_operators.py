@@ -77,15 +77,65 @@ def test_wide_vocabularies_take_four_bytes(spark, docs, monkeypatch):
     assert shards.width == 2 and id_shards.documents_of(spark, shards).count() == docs.count()
 
 
-def test_images(spark):
-    vectors = spark.createDataFrame([(i, [float((i * 7 + k) % 11) / 10 + i for k in range(16)]) for i in range(40)] + [(40, [3.1] * 16), (41, [3.1] * 16), (42, None), (None, [1.0] * 16)], "vec_id long, embedding array<float>")
-    images = image_copies.rendered(vectors, "vec_id", "embedding").union(spark.createDataFrame([(90, bytearray(b"P5 broken")), (91, bytearray(b""))], "id long, image binary"))
+def _brute_copies(asked, images):
+    """All pairs of images, all pairs of their corners."""
+    described = lambda rows: [(i, *image_copies.describe(image_copies.parse(x))[:2]) for i, x in rows if image_copies.parse(x) is not None]
+    found, held = set(), described(images)
+    for q, p, b in described(asked):
+        for i, p2, b2 in held:
+            near = np.argwhere(np.bitwise_count(b[:, None] ^ b2[None]).sum(2) <= image_copies.MOST_BITS)
+            if len(near) and image_copies.consensus(p[near[:, 0]], p2[near[:, 1]]) >= image_copies.LEAST_INLIERS:
+                found.add((q, i))
+    return found
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    return spark.createDataFrame([(i, [float((i * 7 + k) % 11) / 10 + i for k in range(16)]) for i in range(40)] + [(40, [3.1] * 16), (41, [3.1] * 16), (42, None), (None, [1.0] * 16)], "vec_id long, embedding array<float>")
+
+
+def test_images(spark, vectors):
+    images = image_copies.rendered(vectors, "vec_id", "embedding").union(spark.createDataFrame([(90, bytearray(b"P5 broken")), (91, bytearray(b"")), (7, None)], "id long, image binary"))
+    images = images.union(images.where("id = 3"))
     asked = image_copies.rendered(vectors.where("vec_id % 4 = 0"), "vec_id", "embedding", edited=True)
-    found = image_copies.find_copies(asked, images, "id", "image").collect()
-    assert {r["query"] for r in found} >= {0, 4, 8, 12, 16, 20, 24, 28, 32, 36, 40} - {next((q for q in range(0, 37, 4) if q not in {r["query"] for r in found}), -1)}
-    assert all(r["query"] == r.class_id for r in found)
-    assert image_copies.image_classes(images, "id", "image").where("class_id = 40").first().n_images == 2
+    found = {(r["query"], r.class_id) for r in image_copies.find_copies(asked, images, "id", "image").collect()}
+    held = lambda df: [(r.id, bytes(r.image)) for r in df.where("id is not null and image is not null and id <> 41").collect()]
+    wanted = _brute_copies(held(asked), held(images))
+    assert found <= wanted and len(found) >= 0.95 * len(wanted) and all(q == i for q, i in found)
+    assert {q for q, _ in wanted} == set(range(0, 41, 4))
+    assert {tuple(r) for r in image_copies.class_members(images).where("image in (40, 41, 90)").collect()} == {(40, 40), (41, 40), (90, 90)}
     assert image_copies.find_copies(asked.where("false"), images, "id", "image").count() == 0
+    assert image_copies.find_copies(asked, images.where("false"), "id", "image").count() == 0
+
+
+@pytest.mark.parametrize("change, least", [("turned", 0.9), ("smaller", 0.8), ("crop", 0.8), ("noisy", 0.9)])
+def test_images_of_other_sizes_and_angles(spark, change, least):
+    rng = np.random.default_rng(4)
+    plain, edited = [], []
+    for i in range(30):
+        image = image_copies.resized(rng.uniform(0, 255, (40, 40)).astype(np.float32), 4)
+        for x, y, w, h, c in zip(*(rng.integers(a, b, 12) for a, b in ((0, 140), (0, 140), (8, 40), (8, 40), (0, 255))), strict=True):
+            image[y : y + h, x : x + w] = c
+        plain.append((i, bytearray(image_copies.graymap(image))))
+        if change == "turned":
+            image = np.rot90(image)
+        elif change == "smaller":
+            image = image_copies.resized(image, 0.75)
+        elif change == "crop":
+            image = image[40:120, 40:120]
+        else:
+            image = image * 0.7 + 40 + rng.normal(0, 4, image.shape)
+        edited.append((i, bytearray(image_copies.graymap(image))))
+    asked, images = (spark.createDataFrame(x, "id long, image binary") for x in (edited, plain))
+    found = image_copies.find_copies(asked, images).collect()
+    assert all(r["query"] == r.class_id for r in found) and len(found) >= least * 30
+
+
+def test_different_images_of_one_id(spark, vectors):
+    images = image_copies.rendered(vectors.where("vec_id in (1, 2, 5)"), "vec_id", "embedding")
+    asked = image_copies.rendered(vectors.where("vec_id in (1, 2, 5)"), "vec_id", "embedding", edited=True)
+    both = images.withColumn("id", F.when(F.col("id") == 5, 5).otherwise(1))
+    assert {(r["query"], r.class_id) for r in image_copies.find_copies(asked, both).collect()} == {(1, 1), (2, 1), (5, 5)}
 
 
 def test_image_query_returns_every_member(spark, tmp_path):
@@ -202,12 +252,49 @@ def test_token_counts(docs, rows):
     ends = np.cumsum([len(w.encode()) for w in words])
     starts = ends - [len(w.encode()) for w in words]
     assert token_counts.counts_of(data, starts, ends, pieces).tolist() == [count(w) for w in words]
-    found = token_counts.count_tokens(docs, vocabulary("piece_bpe_32k.model"))
-    assert got(found, "doc_id", "n_words") == sorted(((d, len(brute.SPACED.findall(t or ""))) for d, t, _ in rows), key=repr)
+    few = [token_counts.counts_of(data, starts[i : i + 1], ends[i : i + 1], pieces)[0] for i in range(len(words))]
+    assert few == [count(w) for w in words]
+    path = vocabulary("piece_bpe_32k.model")
+    pieces = token_counts.Pieces.read(path)
+    table = pieces.table
+    cache = {}
+    wanted = [(d, len(w), sum(cache[x] if x in cache else cache.setdefault(x, count(x)) for x in w)) for d, w in ((d, brute.SPACED.findall(t or "")) for d, t, _ in rows)]
+    found = token_counts.count_tokens(docs, path)
+    assert got(found, "doc_id", "n_words", "n_tokens") == sorted(wanted, key=repr)
     assert found.where("text is null" if "text" in found.columns else "n_words = 0 and n_tokens <> 0").count() == 0
     assert token_counts.count_tokens(docs.where("false"), vocabulary("piece_bpe_32k.model")).count() == 0
 
 
+def test_token_counts_of_long_words_take_time_by_byte(monkeypatch):
+    import time
+
+    pieces = token_counts.Pieces.read(vocabulary("piece_bpe_32k.model"))
+    word = np.random.default_rng(1).integers(97, 123, 200_000).astype(np.uint8)
+    began = time.perf_counter()
+    alone = token_counts.counts_of(word, np.array([0]), np.array([len(word)]), pieces)
+    assert time.perf_counter() - began < 10
+    monkeypatch.setattr(token_counts, "ALONE", 0)
+    assert token_counts.counts_of(word[:2000], np.array([0]), np.array([2000]), pieces)[0] < alone[0]
+
+
+def test_shard_bases(spark, monkeypatch):
+    monkeypatch.setattr(id_shards, "SUMMED", 3)
+    totals = spark.createDataFrame([(i, 10 * i + 1) for i in range(11) if i != 4], "shard long, ids long")
+    wanted, before = {}, 0
+    for r in totals.orderBy("shard").collect():
+        wanted[r.shard], before = before, before + r.ids
+    assert {r.shard: r.base for r in id_shards.bases_of(totals).collect()} == wanted
+
+
+def test_phrases_with_more_words_than_letters(monkeypatch):
+    monkeypatch.setattr(phrase_dedup, "LETTERS", 40)
+    words = [b"w%d" % i for i in range(300)]
+    automaton = phrase_dedup.PhraseAutomaton()
+    automaton.add(b" ".join(words).decode())
+    automaton.add(b" ".join(words[5:25]).decode())
+    assert automaton.ready().occurrences([b"x", *words[100:150], b"x"]) == list(range(1, 39))
+
+
 def test_language(spark, docs):
     labelled = spark.read.parquet(f"{SF}/documents.parquet")
     held_out = language_id.held_out(F.col("doc_id"))
@@ -219,6 +306,9 @@ def test_language(spark, docs):
     for key in ((2000, None), (2001, ""), (2002, " \n\t "), (None, None)):
         assert (edge[key].lang_pred, edge[key].score) == ("und", 0.0)
     assert all(0 <= r.score <= 1 for r in edge.values())
+    clash = docs.withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit(2))
+    found = language_id.identify(clash, profiles)
+    assert found.columns == [*docs.columns, "lang_pred", "score"] and found.schema["score"].dataType.typeName() == "double"
     empty = language_id.learn(labelled.where("false"))
     assert language_id.identify(docs, empty).where("lang_pred <> 'und'").count() == 0
     assert language_id.identify(docs.where("false"), profiles).count() == 0
@@ -307,7 +397,9 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
     chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
     parts = {r.node: r.component for r in components.components(chain, 2).collect()}
-    assert sorted(parts) == list(range(301)) and all(c <= n for n, c in parts.items()) and len(set(parts.values())) < 150
+    assert sorted(parts) == list(range(301)) and all(c <= n for n, c in parts.items())
+    stars = spark.createDataFrame([(i, j) for i in (7, 23, 60) for j in range(100) if (i + j) % 3], "u long, v long")
+    assert len({r.component for r in components.components(stars, 3).collect()}) == 1
 
 
 def test_lines(docs, rows):
@@ -320,6 +412,9 @@ def test_lines(docs, rows):
         assert any(r.text == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[r.doc_id]) for t in original)
     assert len(found) == len(rows) and found[0].__fields__[: len(docs.columns)] == docs.columns
     assert line_dedup.dedup_lines(docs.where("false")).count() == 0
+    clash = docs.where("doc_id < 5").withColumn("n_lines", F.lit("x")).withColumn("n_removed", F.lit(2))
+    found = line_dedup.dedup_lines(clash)
+    assert found.columns == [*docs.columns, "n_lines", "n_removed"] and found.where("n_lines > 0").count() == clash.count()
 
 
 def test_lines_meet_beyond_the_first_and_the_previous(spark):

@@ -5,6 +5,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 import corpus_pipeline
 from colligate.llm.shared import written
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,5 +36,21 @@ def test_stages_keep_columns_and_decide_as_brute_force_does(spark):
     assert five.count() == four.count() and five.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
 
 
+def test_stages_take_any_table(spark):
+    """Nulls in every column, repeated rows, ties, empty texts, columns whose names clash, no rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(12)
+    first = docs.first()
+    extra = [(None, None, None, None, None), (None, first.text, "en", None, 1), (900, "", None, "s", 0), (901, first.text, None, None, None), (901, first.text, None, None, None)]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema))
+    docs = docs.withColumn("cg_lang", F.lit(1)).withColumn("CG_REMOVED", F.lit("x")).withColumn("hits", F.array(F.lit(1)))
+    for held in (docs, docs.where("false")):
+        held = written(held, spark)
+        for name, stage in corpus_pipeline.STAGES:
+            after = written(stage(spark, held, SF), spark)
+            assert name == "bpe" or after.columns == docs.columns
+            held = after if name != "bpe" else held
+    assert docs.where("doc_id = 901").count() == 2
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).where("n_tokens > 0").count() > 100
