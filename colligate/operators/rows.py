@@ -58,22 +58,33 @@ def unique(df: DataFrame, attribute: str, order: Order, case_sensitive: bool = F
     return firsts.select("first.row.*")
 
 
-def total(df: DataFrame, attribute: str, start: object = 0, exact: bool = False) -> DataFrame:
-    """One row, total. exact: floating point sums without loss, by way of decimals. Integers raise on overflow."""
+def totals(df: DataFrame, **sums: tuple[str, bool]) -> DataFrame:
+    """One row with a sum of each attribute, all from one pass: name=(attribute, exact), as total has it."""
+    return df.agg(*[_total(df, attribute, 0, exact).alias(name) for name, (attribute, exact) in sums.items()])
+
+
+def _total(df: DataFrame, attribute: str, start: object, exact: bool) -> Column:
     kind = df.schema[attribute].dataType
     value = F.col(attribute).cast("long") if isinstance(kind, T.BooleanType) else F.col(attribute)
     if exact:
         value = value.cast("decimal(38,12)")
     found = F.coalesce(F.sum(value), F.lit(0)) + F.lit(start)
-    return df.agg((found.cast("double") if exact else found).alias("total"))
+    return found.cast("double") if exact else found
+
+
+def total(df: DataFrame, attribute: str, start: object = 0, exact: bool = False) -> DataFrame:
+    """One row, total. exact: floating point sums without loss, by way of decimals. Integers raise on overflow."""
+    return df.agg(_total(df, attribute, start, exact).alias("total"))
 
 
 def _extreme(df: DataFrame, attribute: str, order: Order, case_sensitive: bool, largest: bool) -> DataFrame:
-    key = _key(df, attribute, case_sensitive)
-    held = df.where(F.col(attribute).isNotNull()).select(key.alias("k"), _rank(df, order).alias("o"), F.struct(*df.columns).alias("row"))
-    # of equal keys the first row wins: the extreme key is one row, joined back to the rows that have it
-    by = held.agg((F.max("k") if largest else F.min("k")).alias("m"))
-    return held.join(F.broadcast(by), held["k"] == by["m"]).agg(F.min_by("row", "o").alias("row")).where("row is not null").select("row.*")
+    key, row = _key(df, attribute, case_sensitive), F.struct(*df.columns)
+    held = df.where(F.col(attribute).isNotNull())
+    if not largest:
+        return held.agg(F.min_by(row, F.struct(key.alias("k"), _rank(df, order).alias("o"))).alias("row")).where("row is not null").select("row.*")
+    # of equal keys the first row wins, so each key has its first row before the keys are compared
+    firsts = held.groupBy(key.alias("k")).agg(F.min_by(row, _rank(df, order)).alias("row"))
+    return firsts.agg(F.max_by("row", "k").alias("row")).where("row is not null").select("row.*")
 
 
 def smallest(df: DataFrame, attribute: str, order: Order, case_sensitive: bool = False) -> DataFrame:
