@@ -1,5 +1,6 @@
+"""Records of the part and events tables, through every format and back."""
+
 import datetime
-from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,65 +12,93 @@ from colligate.plans.validation import validate
 from colligate.sinks import records as sinks
 from colligate.sources import records as sources
 
+SF = "/root/testdata/sf0.001"
 C = parse_schema(
     """
-enum Side <uint8> { Buy = 1; Sell = 2; }
-flags Perm { Read; Write; Exec; }
-composite Meta { i32 seq; }
-union Choice { [name(buyOrder), alias(oldBuy)] uint32 buy; [name(sellOrder)] string sell; }
-message Order {
-  [name("order-id"), alias("legacy-id")] uint32 id; Side side; optional bool active default true;
-  optional nullable string symbol; optional u64 big; optional decimal price; optional duration span;
-  optional datetime at; optional list<i32> v; optional set<i32> st; optional map<string,i32> m;
-  optional Meta meta; optional Perm p default Read; optional i16[2] fx; optional Choice ch; optional time t;
-  optional money mo; optional uuid u; optional bigint bi; optional date d;
+schema Catalogue [version(1)];
+enum Grade <uint8> { ECONOMY = 10; STANDARD = 20; PROMO = 30; MEDIUM = 40; LARGE = 50; SMALL = 60; }
+flags Shelf { Top; Front; Sale; }
+composite Tag { double retail; }
+union Origin { [name(madeBy), alias(maker)] string brand; int32 number; }
+message Part {
+  [name("part-key"), alias(partkey)] int64 p_partkey; string p_name; Grade p_type; int32 p_size; optional Tag tag;
+  optional Shelf shelf default Front; optional nullable string note; optional list<string> words;
+  optional map<string,int64> stock; optional Origin origin; optional uint64 code;
 }
+message Event { int64 event_id; datetime ts; optional date day; optional duration lag; optional decimal value; optional time clock; }
 """
 )
-FULL = """{"order-id":7,"side":"Sell","symbol":null,"big":18446744073709551615,"price":123.4500,"span":"1h30m5s250ms",
-"at":"Sat, 04 Mar 2006 13:27:54 GMT","v":[1,2,1],"st":[3,1,3,2,1],"m":{"a":1},"meta":{"seq":5},"p":"Read|Exec","fx":[1,2],
-"ch":{"oldBuy":4},"t":"1:02:03.5","mo":{"amount":"12.5","currency":"EUR"},"u":"123E4567-e89b-12d3-a456-426614174000",
-"bi":"000123456789012345678901234567890","d":"2024-02-29"}"""
+
+
+@pytest.fixture(scope="module")
+def parts(spark):
+    """The part table as records: some without a note, some with a NULL one, by number or by brand."""
+    p, size = spark.read.parquet(f"{SF}/part.parquet"), F.col("p_size")
+    grades = F.create_map(*[F.lit(x) for n, v in C.enums["Grade"].items for x in (n, v)])
+    record = F.struct(
+        "p_partkey", "p_name", grades[F.col("p_type")].cast("int").alias("p_type"), "p_size", F.struct(F.col("p_retailprice").alias("retail")).alias("tag"), (size % 7 + 1).alias("shelf"),
+        F.when(size % 3 == 0, F.concat(F.lit('a "b", <'), "p_name")).alias("note"), F.split("p_name", " ").alias("words"), F.create_map(F.lit("east"), F.col("p_partkey"), F.lit("west"), size.cast("long")).alias("stock"),
+        F.struct(F.when(size % 2 == 0, F.col("p_brand")).alias("brand"), F.when(size % 2 == 1, size).alias("number")).alias("origin"), F.lit(None).cast(C.spark_type(TypeRef("uint64"))).alias("code"),
+    )
+    return p.where(F.col("p_type").isin(*[n for n, _ in C.enums["Grade"].items])).select(record.alias("record"))
 
 
 def raw(spark, *texts):
     return spark.createDataFrame([(t,) for t in texts], "raw string")
 
 
-def test_json_binds_every_type(spark):
-    r = sources.read_json(raw(spark, FULL), "raw", C, "Order").first().record
-    assert (r.id, r.side, r.active, r.symbol, r.big) == (7, 2, True, None, Decimal(2**64 - 1))
-    assert (r.price, r.span, r.at) == (Decimal("123.45"), 5405250, datetime.datetime(2006, 3, 4, 13, 27, 54))
-    assert (r.v, r.st, r.m, r.meta.seq, r.p, r.fx, r.ch.buy) == ([1, 2, 1], [3, 1, 2], {"a": 1}, 5, 5, [1, 2], 4)
-    assert (r.t, r.mo.currency, r.u[:8], r.bi, r.d) == ("01:02:03.500", "EUR", "123e4567", "123456789012345678901234567890", datetime.date(2024, 2, 29))
+def shown(df):
+    return sorted(df.select(F.to_json("record").alias("j")).toPandas()["j"])
+
+
+@pytest.mark.parametrize("format", ["json", "yaml", "csv"])
+def test_a_table_of_records_survives(spark, parts, format):
+    if format == "csv":
+        flat = parts.select(*sinks.flattened(C, "Part", F.col("record"), *sinks.csv_shape(parts, C, "Part")))
+        assert {"tag.retail", "words[1]", "origin.madeBy"} <= set(flat.columns)
+        back = sources.bind_csv(flat, C, "Part")
+    else:
+        write, read = (sinks.to_json, sources.read_json) if format == "json" else (sinks.to_yaml, sources.read_yaml)
+        back = read(parts.select(write(C, "Part", F.col("record")).alias("raw")), "raw", C, "Part")
+    assert parts.count() > 20 and shown(back) == shown(parts)
+
 
+def test_names_enums_flags_defaults_and_unions(spark):
+    r = sources.read_json(raw(spark, '{"partkey":9,"p_name":"n","p_type":"PROMO","p_size":1,"shelf":"Top|Sale","origin":{"maker":"x"},"code":18446744073709551615}', '{"part-key":"8","p_name":"","p_type":60,"p_size":-1,"origin":{"number":4}}'), "raw", C, "Part")
+    one, two = (x.record for x in r.collect())
+    assert (one.p_partkey, one.p_type, one.shelf, one.origin.brand, one.code) == (9, 30, 5, "x", 2**64 - 1)
+    assert (two.p_partkey, two.p_type, two.shelf, two.origin.number, two.note) == (8, 60, 2, 4, None)
 
-def test_absent_null_and_wrong_values_are_told_apart(spark):
-    rows = ['{"legacy-id":1,"side":2,"active":null}', '{"side":"Buy","order-id":5000000000,"ch":{"buyOrder":1,"sellOrder":"x"},"meta":{}}', "nope", "[]", None]
-    found = [{(e.path, e.message) for e in r.errors} for r in sources.read_json(raw(spark, *rows), "raw", C, "Order", mode="quarantine").collect()]
-    assert found[0] == {("active", "is null")}
-    assert found[1] == {("id", "is no uint32"), ("meta.seq", "is missing"), ("ch", "needs exactly one variant")}
-    assert found[2] == found[3] == found[4] == {("Order", "is no object")}
-    assert sources.read_json(raw(spark, *rows), "raw", C, "Order", mode="drop").count() == 0
-    with pytest.raises(Exception, match="is null"):
-        sources.read_json(raw(spark, rows[0]), "raw", C, "Order").collect()
+
+def test_events_with_times(spark):
+    texts = ('{"event_id":1,"ts":"Tue, 31 Dec 2019 23:59:58 GMT","day":"2020-02-29","lag":"2d1h5ms","value":-0.1250,"clock":"7:08:09.5"}', '{"event_id":2,"ts":"2020-01-01T00:00:00Z","lag":"26:00:01"}')
+    one, two = (x.record for x in sources.read_json(raw(spark, *texts), "raw", C, "Event").collect())
+    assert (one.ts, one.day, one.lag, float(one.value), one.clock) == (datetime.datetime(2019, 12, 31, 23, 59, 58), datetime.date(2020, 2, 29), 176400005, -0.125, "07:08:09.500")
+    assert (two.ts, two.lag, two.day) == (datetime.datetime(2020, 1, 1), 93601000, None)
+
+
+def test_what_is_wrong_is_named(spark):
+    rows = ['{"event_id":null,"ts":"2020-01-01"}', '{"ts":"2020-01-01"}', '{"event_id":1.5,"ts":"2020-01-01"}', "{", "[1]", None]
+    found = [{e.path for e in r.errors} for r in sources.read_json(raw(spark, *rows), "raw", C, "Event", mode="quarantine").collect()]
+    assert found == [{"event_id"}] * 3 + [{"Event"}] * 3
+    assert sources.read_json(raw(spark, *rows), "raw", C, "Event", mode="drop").count() == 0
+    with pytest.raises(Exception, match="event_id"):
+        sources.read_json(raw(spark, rows[0]), "raw", C, "Event").collect()
 
 
 def test_strict_options(spark):
-    rows = raw(spark, '{"order-id":"7","side":"Buy"}', '{"order-id":7,"side":"Buy","zz":1}')
-    exact = sources.read_json(rows, "raw", C, "Order", mode="quarantine", exact=True).collect()
-    assert [bool(r.errors) for r in exact] == [True, False]
-    known = sources.read_json(rows, "raw", C, "Order", mode="quarantine", reject_unknown=True).collect()
-    assert [bool(r.errors) for r in known] == [False, True]
+    rows = raw(spark, '{"event_id":"3","ts":"2020-01-01"}', '{"event_id":3,"ts":"2020-01-01","more":[]}')
+    for options, wanted in (({}, [False, False]), ({"exact": True}, [True, False]), ({"reject_unknown": True}, [False, True])):
+        assert [bool(r.errors) for r in sources.read_json(rows, "raw", C, "Event", mode="quarantine", **options).collect()] == wanted
 
 
 @pytest.mark.parametrize(
     "path,ids",
-    [("$.orders[*]", [7, 12, 13]), ("$.orders[0,1]", [7, 12]), ("$.orders[1]", [12]), ("$.orders[-1]", [13]), ("$.orders[1:]", [12, 13]), ("$.orders[@.order-id >= 12]", [12, 13]), ('$["orders"][?(@["order-id"] > 7 && @.side == "Sell")]', [13])],
+    [("$.log[*]", [4, 5, 6, 7]), ("$.log[3,0]", [7, 4]), ("$.log[2]", [6]), ("$.log[-2]", [6]), ("$.log[1:3]", [5, 6]), ("$.log[@.event_id > 5]", [6, 7]), ('$["log"][?(@["event_id"] >= 5 && @.kind == "b")]', [5, 7])],
 )
 def test_paths(spark, path, ids):
-    rows = raw(spark, '{"orders":[{"order-id":7,"side":"Buy"},{"order-id":12,"side":2},{"order-id":13,"side":"Sell"}]}')
-    assert [r.record.id for r in sources.read_json(rows, "raw", C, "Order", select="path", path=path).collect()] == ids
+    log = ",".join(f'{{"event_id":{i},"ts":"2020-01-01","kind":"{"ab"[i % 2]}"}}' for i in range(4, 8))
+    assert sorted(r.record.event_id for r in sources.read_json(raw(spark, f'{{"log":[{log}]}}'), "raw", C, "Event", select="path", path=path).collect()) == sorted(ids)
 
 
 def test_path_errors_and_limits():
@@ -85,44 +114,32 @@ def test_query_limit(spark):
         row_filter("nope == 1", ["a"])
 
 
-def test_csv_unflattens_filters_and_flattens(spark, tmp_path):
-    f = tmp_path / "o.csv"
-    f.write_bytes(b'order-id,side,symbol,meta.seq,fx[0],fx[1],v[0],v[1],m.a,m.b,ch.oldBuy\r\n1,Sell,"W,XYZ",5,1,2,7,8,1,2,3\r\n2,Buy,"W""XYZ",,3,4,9,,,4,5\r\n')
-    one, two = (r.record for r in sources.read_csv(spark, str(f), C, "Order").collect())
-    assert (one.symbol, one.meta.seq, one.fx, one.v, one.m, one.ch.buy) == ("W,XYZ", 5, [1, 2], [7, 8], {"a": 1, "b": 2}, 3)
-    assert (two.symbol, two.meta, two.v, two.m) == ('W"XYZ', None, [9], {"b": 4})
-    for where, ids in (('symbol == "W,XYZ"', [1]), (r'symbol == "W\"XYZ"', [2]), ('side == "Sell" || meta.seq == 5', [1])):
-        assert [r.record.id for r in sources.read_csv(spark, str(f), C, "Order", where=where).collect()] == ids
-    held = sources.read_json(raw(spark, FULL), "raw", C, "Order").select("record")
-    columns = sinks.flattened(C, "Order", F.col("record"), *sinks.csv_shape(held, C, "Order"))
-    flat = held.select(*columns)
-    assert {"meta.seq", "fx[1]", "v[2]", "m.a", "ch.buyOrder"} <= set(flat.columns)
-    assert sources.bind_csv(flat, C, "Order").first().record == held.first().record
+def test_csv_files(spark, tmp_path):
+    f = tmp_path / "parts.csv"
+    f.write_bytes(b'partkey,p_name,p_type,p_size,words[0],words[1],stock.east,origin.number\r\n5,"ring, ""red""",SMALL,3,ring,red,70,12\r\n6,cog,LARGE,4,cog,,,\r\n')
+    read = lambda **options: [r.record for r in sources.read_csv(spark, str(f), C, "Part", **options).collect()]
+    one, two = read()
+    assert (one.p_name, one.words, one.stock, one.origin.number) == ('ring, "red"', ["ring", "red"], {"east": 70}, 12)
+    assert (two.words, two.stock or None, two.origin) == (["cog"], None, None)
+    for where, ids in (('p_type == "LARGE"', [6]), (r'p_name == "ring, \"red\""', [5]), ('p_size == 3 || p_name == "cog"', [5, 6])):
+        assert [r.p_partkey for r in read(where=where)] == ids
 
 
 def test_xml_and_yaml(spark):
-    x = raw(spark, '<Order order-id="4"><side>Sell</side><v>1</v><v>2</v><meta><seq>9</seq></meta><symbol>a &amp; <![CDATA[b]]></symbol></Order>')
-    r = sources.bind_xml(x, "raw", C, "Order").first().record
-    assert (r.id, r.side, r.v, r.meta.seq, r.symbol) == (4, 2, [1, 2], 9, "a & b")
-    nested = raw(spark, '<r><Order order-id="4"><side>Sell</side></Order><q><Order order-id="5"><side>Buy</side></Order></q></r>')
-    assert [r.record.id for r in sources.select_xml(nested, "raw", "//Order", C, "Order").collect()] == [4, 5]
-    y = raw(spark, "order-id: 3\nside: Sell\nv: [1, 2]\nd: 2024-01-02\n")
-    r = sources.read_yaml(y, "raw", C, "Order").first().record
-    assert (r.id, r.v, r.d) == (3, [1, 2], datetime.date(2024, 1, 2))
-
-
-def test_json_and_yaml_round_trip(spark):
-    held = sources.read_json(raw(spark, FULL), "raw", C, "Order").select("record")
-    for write, read in ((sinks.to_json, sources.read_json), (sinks.to_yaml, sources.read_yaml)):
-        text = held.select(write(C, "Order", F.col("record")).alias("raw"))
-        assert read(text, "raw", C, "Order").first().record == held.first().record
+    x = raw(spark, '<Part part-key="4" p_size="2"><p_name>a &lt; <![CDATA[b & c]]></p_name><p_type>PROMO</p_type><words>u</words><words>v</words><tag><retail>1.5</retail></tag></Part>')
+    r = sources.bind_xml(x, "raw", C, "Part").first().record
+    assert (r.p_partkey, r.p_name, r.p_type, r.words, r.tag.retail) == (4, "a < b & c", 30, ["u", "v"], 1.5)
+    nested = raw(spark, "<day><Event event_id='1'><ts>2020-01-01</ts></Event><hour><Event event_id='2'><ts>2020-01-02</ts></Event></hour></day>")
+    assert [r.record.event_id for r in sources.select_xml(nested, "raw", "//Event", C, "Event").collect()] == [1, 2]
+    y = raw(spark, "event_id: 3\nts: 2020-01-03\nday: 2020-01-03\n")
+    assert sources.read_yaml(y, "raw", C, "Event").first().record.day == datetime.date(2020, 1, 3)
 
 
 def test_validation_goes_through_nested_values(spark):
-    p = parse_schema('message In { @Min(3) int32 q; } message P { @Min(1) @Max(120) uint64 age; @Size(min = 2, max = 8) @Pattern("^[a-z]+$") string name; optional list<In> ins; optional map<string,In> mp; optional In one; }')
-    rows = raw(spark, '{"age":0,"name":"A","ins":[{"q":5},{"q":1}],"mp":{"k":{"q":1}},"one":{"q":2}}', '{"age":5,"name":"abc"}')
-    bad, good = validate(sources.read_json(rows, "raw", p, "P"), p, "P").collect()
-    assert [(v.path, v.rule) for v in bad.violations] == [("age", "min"), ("name", "size"), ("name", "pattern"), ("ins[1].q", "min"), ("mp.k.q", "min"), ("one.q", "min")]
+    p = parse_schema('message Box { @Max(9) int32 w; } message Crate { @Min(2) uint32 n; @Size(min = 1, max = 3) @Pattern("^[x-z]*$") string mark; optional list<Box> boxes; optional map<string,Box> named; optional Box lid; }')
+    rows = raw(spark, '{"n":1,"mark":"abcd","boxes":[{"w":9},{"w":10}],"named":{"q":{"w":11}},"lid":{"w":12}}', '{"n":2,"mark":"xyz"}')
+    bad, good = validate(sources.read_json(rows, "raw", p, "Crate"), p, "Crate").collect()
+    assert [(v.path, v.rule) for v in bad.violations] == [("n", "min"), ("mark", "size"), ("mark", "pattern"), ("boxes[1].w", "max"), ("named.q.w", "max"), ("lid.w", "max")]
     assert good.is_valid
 
 
@@ -137,7 +154,7 @@ def test_format_admission():
 
 
 def test_deep_equality(spark):
-    ref = TypeRef("set", (TypeRef("int32"),))
-    df = spark.createDataFrame([([1, 2], [2, 1]), ([1], [2])], "a array<int>, b array<int>")
-    rows = df.select(same_value(C, ref, F.col("a"), F.col("b")).alias("same"), (value_hash(C, ref, F.col("a")) == value_hash(C, ref, F.col("b"))).alias("h")).collect()
-    assert [(r.same, r.h) for r in rows] == [(True, True), (False, False)]
+    for ref, pairs in ((TypeRef("set", (TypeRef("string"),)), [(["x", "y"], ["y", "x"], True), (["x"], ["x", "y"], False), (None, None, True)]), (TypeRef("list", (TypeRef("string"),)), [(["x", "y"], ["y", "x"], False)])):
+        df = spark.createDataFrame([(a, b, w) for a, b, w in pairs], "a array<string>, b array<string>, wanted boolean")
+        same, hashes = same_value(C, ref, F.col("a"), F.col("b")), [value_hash(C, ref, F.col(c)) for c in "ab"]
+        assert df.where((same != F.col("wanted")) | ((hashes[0] == hashes[1]) != F.col("wanted"))).count() == 0
