@@ -7,13 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import written
 
 
-def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links: u, v, numbers. A row for each number in them: node, component (the least it reaches).
 
     Each round groups by node with partial aggregation and writes the links it leaves to the shared
     folder; only a count and a checksum go to the driver. The number of rounds grows with the logarithm
-    of the longest path. After at most so many rounds as given, components may still be in parts, but no
-    two of them in one.
+    of the longest path.
 
     A null in a link is an error of the caller's; links that repeat count once; no links give no rows.
     """
@@ -22,17 +21,11 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     edges, seen = written(edges, spark), None
     while True:
         n, total = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if rounds == 0 and n and (n, total) != seen:
-            up = edges.groupBy("u").agg(F.min("v").alias("v"))
-            above = up.select(F.col("u").alias("v"), F.col("v").alias("w"))
-            named = up.join(above, "v", "left").select(F.col("u").alias("node"), F.coalesce("w", "v").alias("component"))
-            tops = edges.select("v").distinct().join(up.select(F.col("u").alias("v")), "v", "left_anti")
-            return written(named.union(tops.select("v", "v")), spark)
         if (n, total) == seen or not n:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 edges.select("v", "v").distinct()
             )
-        seen, rounds = (n, total), None if rounds is None else rounds - 1
+        seen = n, total
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()

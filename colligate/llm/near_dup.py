@@ -7,7 +7,8 @@ by level:
 * every member of a node is compared with one member of it, another in each node, and links are confirmed
   on full sets;
 * classes that are connected need no further comparison with each other, so a node is done when all its
-  members are connected. Where most members of a node are, the others are compared with PIVOTS of those;
+  members are connected. At the first level, where most members of a node are, the others are compared with
+  PIVOTS of those;
 * of the other nodes, small ones (up to SMALL members) are compared exhaustively, and members of large
   ones take BRANCHES paths of STEPS further minwise tokens each, which lead to the nodes of the next level.
   Members of a node's largest component only follow those of their paths that other members take too.
@@ -18,9 +19,9 @@ its largest component are compared with all others.
 
 Recall: a pair of similarity s shares no node in TREES trees with probability (1 - s) ** TREES, 6e-8 at
 0.75. Where all of its nodes stay large and mixed, it branches LEVELS times, and all of its BRANCHES ** LEVELS
-paths in all trees may part. A simulation of 20,000 pairs, with the places as they are drawn here from OWN
-samples of each tree's own, lost 8 in 10,000 at exactly 0.75 and none at 0.8 after three branchings; the
-target is at most 1 in 1,000 at 0.75. Before the full sets are fetched, pairs whose SAMPLES one-byte minwise
+paths in all trees may part. A path of STEPS samples holds for a pair of similarity s with s ** STEPS, so a level keeps it with
+1 - (1 - s ** STEPS) ** BRANCHES, 0.80 at 0.75, and nine nodes lose it over both levels in 1 of 10,000 cases;
+the target is at most 1 in 1,000 at exactly 0.75. Before the full sets are fetched, pairs whose SAMPLES one-byte minwise
 samples agree in fewer than agree places are dropped; a pair of 0.75 agrees in fewer than AGREE with
 probability 1e-20, and agree=0 drops none.
 
@@ -48,12 +49,10 @@ OWN = 16
 SAMPLES = TREES * OWN
 AGREE = 84
 SMALL = 30
-BRANCHES = 2
-STEPS = 2
-LEVELS = 3
+BRANCHES = 3
+STEPS = 3
+LEVELS = 2
 PIVOTS = 8
-#: Rounds of joining stars between levels; the components at the end are whole.
-ROUNDS = 3
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -183,12 +182,12 @@ def _links(spark, docs: DataFrame, classes: DataFrame, percent: int, agree: int)
         if small is not None:
             pairs = pairs.union(_all_pairs(_mixed(small, of)))
         links = links.union(freed(written(_verified(pairs, sampled, played, percent, agree), spark)))
-        of = components(links, ROUNDS)
+        of = _labels(links)
         left = written(_mixed(nodes, of), spark)
-        pairs = _with_pivots(left.where(f"size > {SMALL}"))
-        if not pairs.isEmpty():
+        if level == 0:
+            pairs = _with_pivots(left.where(f"size > {SMALL}"))
             links = links.union(freed(written(_verified(pairs, sampled, played, percent, agree), spark)))
-            of = components(links, ROUNDS)
+            of = _labels(links)
             left = written(_mixed(left, of), spark)
         if level == LEVELS:
             return links.union(_verified(_rest(left), sampled, played, percent, agree))
@@ -203,6 +202,18 @@ def _of_tree(node: Column, tree: Column) -> Column:
     return F.shiftleft(F.shiftright(node, 4), 4).bitwiseOR(tree.cast("long"))
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """node, component: for linked classes one that they are connected with, mostly the least; cheaper than
+    the components, and enough to tell what needs no comparison."""
+    spark = links.sparkSession
+    both = written(links.union(links.select("v", "u")), spark)
+    near = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    second = both.join(near.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("m"))
+    second = written(second, spark)
+    above = second.select(F.col("u").alias("m"), F.col("m").alias("upper"))
+    return written(second.join(above, "m", "left").select(F.col("u").alias("node"), F.least("m", "upper").alias("component")), spark)
+
+
 def _with_pivots(large: DataFrame) -> DataFrame:
     """Pairs a, b of members outside of a node's largest component, where that has most members, and PIVOTS of its."""
     most = large.where("2 * outside < size")
