@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -729,6 +729,20 @@ class Loop:
     previtem = property(lambda self: self._before if self.index0 else Undefined("previtem"))
     nextitem = property(lambda self: x if (x := self._peek()) is not KeyError else Undefined("nextitem"))
 
+    def __len__(self) -> int:
+        return self.length
+
+    def __bool__(self) -> bool:
+        return True
+
+    def __iter__(self) -> Iterator:
+        """Draws what the loop has left, which then is over: each item with the loop itself."""
+        while (x := self._next()) is not KeyError:
+            yield x, self
+
+    def __repr__(self) -> str:
+        return f"<LoopContext {self.index}/{self.length}>"
+
     def cycle(self, *args: Any) -> Any:
         if not args:
             raise TemplateError("nothing to cycle through")
@@ -790,35 +804,48 @@ class Template:
 
 
 class Macro:
-    def __init__(self, render: Render, name: str, parameters: list, body: list, scope: Scope, caller: bool = False):
-        self.r, self.name, self.parameters, self.body, self.scope, self.caller = render, name, parameters, body, scope, caller
-        self.arguments = tuple(n for n, _ in parameters)
+    def __init__(self, render: Render, name: str | None, parameters: list, body: list, scope: Scope):
+        self.r, self.name, self.parameters, self.body, self.scope = render, name, parameters, body, scope
+        self.arguments, self.autoescape = tuple(n for n, _ in parameters), render.autoescape
         used = repr(body)
-        self.catch_varargs, self.catch_kwargs, self.uses_caller = ("('name', '%s')" % n in used for n in ("varargs", "kwargs", "caller"))
+        self.catch_varargs, self.catch_kwargs, uses = ("('name', '%s')" % n in used for n in ("varargs", "kwargs", "caller"))
+        self.explicit_caller = "caller" in self.arguments
+        self.caller = uses and not self.explicit_caller
 
     def __call__(self, *args: Any, **kwargs: Any) -> Any:
         scope = Scope(self.scope)
         args = list(args)
-        caller = kwargs.pop("caller", KeyError) if "caller" not in self.arguments else KeyError
-        if caller is not KeyError and not self.uses_caller:
+        caller = kwargs.pop("caller", None) if self.caller else None
+        if "caller" in kwargs and not self.explicit_caller and not self.catch_kwargs:
             raise TypeError(f"{self.name} takes no caller")
+        later = []
         for i, (n, e) in enumerate(self.parameters):
+            scope.values[n] = Undefined(n, self.r.strict)
             if i < len(args):
-                if n in kwargs:
+                if n in kwargs and not self.catch_kwargs:
                     raise TypeError(f"{n} is given twice")
                 scope.values[n] = args[i]
             elif n in kwargs:
                 scope.values[n] = kwargs.pop(n)
-            else:
-                scope.values[n] = self.r.eval(e, scope) if e is not None else Undefined(n, self.r.strict)
+            elif e is not None:
+                later.append((n, e))
+        for n, e in later:  # a default sees what was given, and the defaults before it
+            scope.values[n] = self.r.eval(e, scope)
         rest = args[len(self.parameters) :]
         if rest and not self.catch_varargs or kwargs and not self.catch_kwargs:
             raise TypeError(f"{self.name} has too many arguments")
         scope.values["varargs"], scope.values["kwargs"] = tuple(rest), kwargs
-        if self.uses_caller:
-            scope.values["caller"] = caller if caller is not KeyError else Undefined("caller", self.r.strict)
-        out = self.r.body(self.body, scope)
-        return Safe(out) if self.r.autoescape else out
+        if self.caller:
+            scope.values["caller"] = caller if caller is not None else Undefined("caller", self.r.strict)
+        called, self.r.autoescape = self.r.autoescape, self.autoescape
+        try:
+            out = self.r.body(self.body, scope)
+        finally:
+            self.r.autoescape = called
+        return Safe(out) if called else out
+
+    def __repr__(self) -> str:
+        return f"<Macro {self.name!r}>" if self.name else "<Macro anonymous>"
 
 
 class Render:
@@ -974,7 +1001,7 @@ class Render:
         return ""
 
     def do_call(self, n: tuple, scope: Scope) -> str:
-        caller = Macro(self, "caller", n[1], n[3], scope, True)
+        caller = Macro(self, None, n[1], n[3], scope)
         e = n[2]
         f = self.eval(e[1], scope)
         args, kwargs = self.arguments(e[2], scope)
@@ -1175,12 +1202,23 @@ class Render:
             raise TemplateSyntaxError(f"no filter is named {name}")
         if isinstance(value, Undefined) and value.strict and name not in ("default", "d"):
             str(value)
+        if name == "replace" and self.env.filters[name] is FILTERS["replace"]:
+            return self.replaced(value, *args, **kwargs)
         found = self.env.filters[name](value, *args, **kwargs)
         if self.autoescape and name == "join":
             xs = list(value) if not isinstance(value, str) else list(value)
             found = Safe(str(escaped(args[0] if args else kwargs.get("d", ""))).join(str(escaped(x)) for x in xs)) if "attribute" not in kwargs and len(args) < 2 else found
         return found
 
+    def replaced(self, s: Any, old: Any, new: Any, count: int | None = None) -> Any:
+        """Plain text without autoescape; with it, markup on either side makes markup of all."""
+        n = -1 if count is None else count
+        if not self.autoescape:
+            return str(text(s)).replace(str(text(old)), str(text(new)), n)
+        if isinstance(s, Safe) or isinstance(old, Safe) or isinstance(new, Safe):
+            return Safe(str(escaped(s)).replace(str(old) if isinstance(old, Safe) else str(text(old)), str(escaped(new)), n))
+        return text(s).replace(text(old), text(new), n)
+
     def mapped(self, _: str, xs: Any, args: list, kwargs: dict) -> Any:
         if not args and "attribute" in kwargs:
             from .rendering import path
@@ -1259,9 +1297,9 @@ class Render:
     def on_bin(self, e: tuple, scope: Scope) -> Any:
         a, b = self.eval(e[2], scope), self.eval(e[3], scope)
         if e[1] == "~":
-            if self.autoescape or isinstance(a, Safe) or isinstance(b, Safe):
+            if self.autoescape:
                 return Safe(str(escaped(a)) + str(escaped(b)))
-            return text(a) + text(b)
+            return str(text(a)) + str(text(b))
         return self._checked(_ARITHMETIC[e[1]](self._number(a), self._number(b)))
 
 

@@ -33,6 +33,21 @@ CASES = [
     ("{{ 1000|filesizeformat }}|{{ 'a b/c'|urlencode }}|{{ {'a': '<'}|tojson }}|{{ '<b>x</b>'|striptags }}", '1.0 kB|a%20b/c|{"a": "\\u003c"}|x'),
     ("{% trans n=2 %}{{ n }} item{% pluralize %}{{ n }} items{% endtrans %}", "2 items"),
     ("{% for x in [1,[2]] recursive %}{{ loop(x) if x is iterable else x }}{% endfor %}", "12"),
+    # loops as values
+    ("{% for city in ['Rome', 'Oslo'] %}{% set l = loop %}{{ l }}{{ [l]|length }}{{ l|length }}{{ l is iterable }} {% endfor %}", "<LoopContext 1/2>12True <LoopContext 2/2>12True "),
+    ("{% for n in [5, 6, 7] %}{{ n }}>{% for m, l in loop %}{{ m }}.{{ l.index }},{% endfor %}{% endfor %}", "5>6.2,7.3,"),
+    # macros as values, their callers, defaults and escaping
+    ("{% macro price(net, tax=net) %}{{ net }}+{{ tax }}{% endmacro %}{{ price }}|{{ price(3) }}|{{ price.arguments|join }}|{{ price(tax=1) }}", "<Macro 'price'>|3+3|nettax|+1"),
+    ("{% macro box() %}[{{ caller('in') }}]{% endmacro %}{% call(where) box() %}{{ where }}{% endcall %}{{ box.caller }}{{ box.explicit_caller }}", "[in]TrueFalse"),
+    ("{% macro kept(a) %}{{ a }}{{ kwargs }}{% endmacro %}{{ kept(1, a=2, b=3) }}", "1{'a': 2, 'b': 3}"),
+    ("{% macro raw(t) %}{{ t }}{% endmacro %}{% autoescape true %}{{ raw('<i>') }}{{ '<i>' }}{% endautoescape %}", "<i>&lt;i&gt;"),
+    # namespaces are no mappings, and show themselves
+    ("{% set box = namespace(n=[1]) %}{{ box }}{{ box is mapping }}{{ box == namespace(n=[1]) }}{{ box is sameas(box) }}", "<Namespace {'n': [1]}>FalseFalseTrue"),
+    # markup keeps to itself
+    ("{% set m = '<p>'|safe %}{{ [m] }}|{{ m[1:] is escaped }}|{{ (m * 2) is escaped }}|{{ m ~ '<q>' }}", "[Markup('<p>')]|True|True|<p><q>"),
+    ("{% autoescape true %}{{ '<p>'|safe|replace('p', '<') }}|{{ '<p>'|replace('p', 'q') }}{% endautoescape %}", "<&lt;>|&lt;q&gt;"),
+    # identity is not equality
+    ("{% set x = [1] %}{{ x is sameas(x) }}|{{ x is sameas([1]) }}|{{ x is eq([1]) }}|{{ none is sameas(other=none) }}|{{ 2 is in(seq=[1, 2]) }}", "True|False|True|True|True"),
 ]
 
 
