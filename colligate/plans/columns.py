@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import dataclass
 from typing import Any
 
@@ -248,13 +249,13 @@ def compile_column(template: str, row: Column, kind: T.StructType, environment:
 
 
 def render_rows(df: DataFrame, template: str, name: str = "rendered", environment: Environment | None = None, by_value: bool = False) -> DataFrame:
-    """A column of the template's text for each row."""
+    """A column of the template's text for each row; with a warning, in Python where it has no column form."""
     env = environment or Environment()
     if not by_value:
         try:
             return df.withColumn(name, compile_column(template, F.struct(*df.columns), df.schema, env))
-        except NotTyped:
-            pass
+        except NotTyped as why:
+            warnings.warn(f"the template is rendered row by row in Python: {why} has no column form", stacklevel=2)
     templates, options = env.templates, env.options
     filters, tests, extra, messages = env.filters, env.tests, env.globals, env.messages
 

@@ -152,12 +152,14 @@ def bind_csv(df: DataFrame, contract: Contract, type_name: str, where: str | Non
     return admitted(df.withColumns({"record": bound.value, "errors": bound.errors.cast(ERRORS)}), mode)
 
 
-def read_csv(spark, path: str, contract: Contract, type_name: str, where: str | None = None, mode: str = "failfast", row: int | None = None) -> DataFrame:
-    """Files with a header. row: the index of the only row to take, in file order of a single file."""
-    first = spark.read.option("multiLine", True).option("escape", '"').csv(path, header=True)
-    df = first.withColumn("cg_row", F.monotonically_increasing_id()) if row is not None else first
+def read_csv(spark, path: str, contract: Contract, type_name: str, where: str | None = None, mode: str = "failfast", row: int | None = None, multi_line: bool = True) -> DataFrame:
+    """Files with a header. multi_line: fields may hold line breaks; without it, files are split among tasks.
+    row: the index of the only row to take of a single file, which is read as one."""
+    if row is not None and not multi_line:
+        raise ValueError("a row's index is known only where a file is read as one")
+    df = spark.read.option("multiLine", multi_line).option("escape", '"').csv(path, header=True)
     if row is not None:
-        df = df.orderBy("cg_row").offset(row).limit(1).drop("cg_row")
+        df = df.withColumn("cg_row", F.monotonically_increasing_id()).where(F.col("cg_row") == row).drop("cg_row")
     return bind_csv(df, contract, type_name, where, mode).select("record", *(["errors"] if mode == "quarantine" else []))
 
 

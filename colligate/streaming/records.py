@@ -1,8 +1,8 @@
 """Incremental binding: a stream of raw records, bound and filtered as the batch route does it.
 
 A callback sees every record of a micro-batch in turn and answers CONTINUE, STOP (no more callbacks, the
-stream goes on), CANCEL (the query stops) or ERROR (the query fails). Its effect on Spark's side is by
-micro-batch. Callbacks run on the driver over one partition at a time; use on_batch for distributed work.
+stream goes on), CANCEL (the query stops, and the micro-batch it is in isn't committed) or ERROR (the query
+fails). Callbacks run on the driver over one partition at a time; use on_batch for distributed work.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ import enum
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.schema import Contract
@@ -52,16 +53,44 @@ def read_csv(spark: SparkSession, path: str, header: list[str], where: str | Non
 
 
 def bound(stream: DataFrame, contract: Contract, type_name: str, format: str = "json", column: str = "value", limits: Limits = Limits(), **options) -> DataFrame:
-    """Adds record to the stream; records over the limit fail it."""
+    """Adds record to the stream; records and fields over the limits fail it."""
     select = options.get("select", "all" if format == "csv" else "root")
     if select not in SUPPORTED.get(format, ()):
         raise ValueError(f"{format} streams can't select {select}")
     if format == "csv":
-        return bind_csv(stream, contract, type_name, **options)
-    too_long = F.octet_length(column) > limits.record_bytes
-    stream = stream.withColumn(column, F.when(too_long, F.raise_error(F.lit("a record is too long")).cast("string")).otherwise(F.col(column)))
+        names = [f.name for f in stream.schema if isinstance(f.dataType, T.StringType)]
+        size = sum((F.coalesce(F.octet_length(f"`{n}`"), F.lit(0)) for n in names), F.lit(0))
+        stream = stream.withColumns({n: _within(F.col(f"`{n}`"), size, limits.record_bytes, "record") for n in names[:1]})
+        return _fields_within(bind_csv(stream, contract, type_name, **options), limits)
+    stream = stream.withColumn(column, _within(F.col(column), F.octet_length(column), limits.record_bytes, "record"))
     readers = {"json": read_json, "yaml": read_yaml, "xml": bind_xml}
-    return readers[format](stream, column, contract, type_name, **options)
+    return _fields_within(readers[format](stream, column, contract, type_name, **options), limits)
+
+
+def _within(value: Column, size: Column, most: int, what: str) -> Column:
+    return F.when(size > most, F.raise_error(F.lit(f"a {what} is too long")).cast("string")).otherwise(value)
+
+
+def _fields_within(stream: DataFrame, limits: Limits) -> DataFrame:
+    """Fails where a text anywhere in record is longer than a field may be."""
+
+    def longest(x: Column, kind: T.DataType) -> Column | None:
+        if isinstance(kind, T.StringType):
+            return F.coalesce(F.octet_length(x), F.lit(0))
+        if isinstance(kind, T.StructType):
+            found = [y for f in kind.fields if (y := longest(x[f.name], f.dataType)) is not None]
+            return F.greatest(*found, F.lit(0)) if found else None
+        if isinstance(kind, T.MapType):
+            return longest(F.map_values(x), T.ArrayType(kind.valueType))
+        if isinstance(kind, T.ArrayType) and longest(F.lit(None), kind.elementType) is not None:
+            return F.coalesce(F.array_max(F.transform(x, lambda y: longest(y, kind.elementType))), F.lit(0))
+        return None
+
+    size = longest(F.col("record"), stream.schema["record"].dataType)
+    if size is None:
+        return stream
+    kind = stream.schema["record"].dataType.simpleString()
+    return stream.withColumn("record", F.when(size > limits.field_bytes, F.raise_error(F.lit("a field is too long")).cast(kind)).otherwise(F.col("record")))
 
 
 def run(stream: DataFrame, callback: Callable[[Row], Action], limits: Limits = Limits(), checkpoint: str | None = None) -> tuple[int, Action]:
@@ -78,12 +107,18 @@ def run(stream: DataFrame, callback: Callable[[Row], Action], limits: Limits = L
             state["last"] = callback(row)
             if state["last"] == Action.ERROR:
                 raise RuntimeError("the callback failed the stream")
-            if state["last"] in (Action.STOP, Action.CANCEL):
+            if state["last"] == Action.CANCEL:
+                raise RuntimeError("the callback cancelled the stream")
+            if state["last"] == Action.STOP:
                 state["silent"] = True
                 return
 
     query = _start(stream, each, checkpoint)
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if state["last"] != Action.CANCEL:
+            raise
     return state["seen"], state["last"]
 
 

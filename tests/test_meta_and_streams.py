@@ -83,6 +83,10 @@ def test_streams(spark, tmp_path):
     seen = []
     n, last = streams.run(stream(), lambda r: (seen.append(r.a), streams.Action.STOP if r.a == 2 else streams.Action.CONTINUE)[1])
     assert (seen, n, last) == ([1, 2], 2, streams.Action.STOP)
+    seen = []
+    n, last = streams.run(stream(), lambda r: (seen.append(r.a), streams.Action.CANCEL)[1], checkpoint=str(tmp_path / "at"))
+    assert (seen, n, last) == ([1], 1, streams.Action.CANCEL)
+    assert streams.run(stream(), lambda r: streams.Action.CONTINUE, checkpoint=str(tmp_path / "at"))[0] == 3  # nothing was committed
     with pytest.raises(Exception, match="failed the stream"):
         streams.run(stream(), lambda r: streams.Action.ERROR)
     with pytest.raises(Exception, match="too many"):
@@ -90,6 +94,12 @@ def test_streams(spark, tmp_path):
     assert sorted(r.a for r in streams.retained(stream(), "cg_kept").collect()) == [1, 2, 3]
     with pytest.raises(ValueError):
         streams.bound(streams.read_lines(spark, str(tmp_path / "in")), c, "R", "xml", select="path")
+    long = parse_schema("message R { optional int32 a; optional list<string> t; }")
+    (tmp_path / "long").mkdir()
+    (tmp_path / "long" / "x.json").write_text('{"t":["x","' + "y" * 50 + '"]}\n')
+    for limits, what in ((streams.Limits(field_bytes=49), "field"), (streams.Limits(record_bytes=60), "record")):
+        with pytest.raises(Exception, match=f"{what} is too long"):
+            streams.retained(streams.bound(streams.read_lines(spark, str(tmp_path / "long")), long, "R", limits=limits).select("record.*"), f"cg_{what}")
     (tmp_path / "csv").mkdir()
     (tmp_path / "csv" / "x.csv").write_text("a,b\n1,x\n2,y\n")
     rows = streams.bound(streams.read_csv(spark, str(tmp_path / "csv"), ["a", "b"], 'b == "y"'), c, "R", "csv")

@@ -121,6 +121,7 @@ def test_csv_files(spark, tmp_path):
     one, two = read()
     assert (one.p_name, one.words, one.stock, one.origin.number) == ('ring, "red"', ["ring", "red"], {"east": 70}, 12)
     assert (two.words, two.stock or None, two.origin) == (["cog"], None, None)
+    assert [r.p_partkey for r in read(row=1)] == [6] and [r.p_partkey for r in read(multi_line=False)] == [5, 6]
     for where, ids in (('p_type == "LARGE"', [6]), (r'p_name == "ring, \"red\""', [5]), ('p_size == 3 || p_name == "cog"', [5, 6])):
         assert [r.p_partkey for r in read(where=where)] == ids
 
