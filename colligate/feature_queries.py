@@ -346,3 +346,36 @@ def reflection_of_fields(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT * FROM (VALUES ('Flag', 0, 'R', CAST(1 AS BIGINT), false), ('Flag', 1, 'A', 2, false), ('Flag', 2, 'N', 3, false), ('Traits', 0, 'Big', 1, true), ('Traits', 1, 'Cheap', 2, true), ('Traits', 2, 'Even', 4, true)) AS t(enum, position, item, value, flags)")
 def reflection_of_enums(spark: SparkSession, d: str) -> DataFrame:
     return describe.enum_items(spark, CONTRACT).select("enum", "position", "item", "value", "flags")
+
+
+_TABLES = parse_schema("""
+schema Tables [version(1)];
+[db_table(customer)] message Customer { [db_primary_key(1)] int64 key; string name; optional double balance; }
+[db_table(orders), db_foreign_key(fk_customer, Customer, customer, key)] message Order { [db_primary_key(1)] int64 key; int64 customer; optional string note; }
+service Shop { Place: Order -> Customer throws Order; }
+""")
+
+
+@query("""SELECT * FROM (VALUES ('Customer', 'key', 'BIGINT', true), ('Customer', 'name', 'STRING', true), ('Customer', 'balance', 'DOUBLE', false), ('orders', 'key', 'BIGINT', true), ('orders', 'customer', 'BIGINT', true), ('orders', 'note', 'STRING', false)) AS t(owner, name, kind, required) WHERE owner = 'orders' UNION ALL
+SELECT 'customer', 'key', 'BIGINT', true UNION ALL SELECT 'customer', 'name', 'STRING', true UNION ALL SELECT 'customer', 'balance', 'DOUBLE', false""")
+def ddl_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of the tables that the contract's DDL makes, read from its text."""
+    text = spark.createDataFrame([(describe.ddl(_TABLES, "spark"),)], "ddl string").select(F.explode(F.split("ddl", ";")).alias("s"))
+    made = text.select(F.regexp_extract("s", r"(?s)CREATE TABLE\s+(?:IF NOT EXISTS\s+)?`(\w+)`", 1).alias("owner"), F.regexp_extract_all("s", F.lit(r"`(\w+)` ([A-Z]+)( NOT NULL)?"), F.lit(0)).alias("lines")).where("owner <> ''")
+    line = made.select("owner", F.explode("lines").alias("line"))
+    part = lambda i: F.regexp_extract("line", r"`(\w+)` ([A-Z]+)( NOT NULL)?", i)
+    return line.select("owner", part(1).alias("name"), part(2).alias("kind"), (part(3) != "").alias("required")).where("kind <> 'USING'")
+
+
+@query("""SELECT * FROM (VALUES ('/Shop/Place', 'post', 'Order')) AS t(path, verb, request)""")
+def openapi_paths(spark: SparkSession, d: str) -> DataFrame:
+    import json
+
+    doc = describe.openapi(_TABLES)
+    found = [(path, verb, json.dumps(op["requestBody"]).rpartition("/")[2].split('"')[0]) for path, verbs in doc["paths"].items() for verb, op in verbs.items()]
+    return spark.createDataFrame(found, "path string, verb string, request string")
+
+
+@query("SELECT * FROM (VALUES ('Shop', 'service', 'Place', 'Order', 'Customer', 'Order')) AS t(service, kind, method, request, response, throws)")
+def reflection_of_methods(spark: SparkSession, d: str) -> DataFrame:
+    return describe.methods(spark, _TABLES).withColumn("throws", F.array_join("throws", ","))
