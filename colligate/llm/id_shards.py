@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .bpe import byte_letters
-from .shared import blocks, mixed, partitions_for, spread, texts, work_dir, written
+from .shared import blocks, bounded, mixed, partitions_for, spread, texts, work_dir, written
 
 MAGIC = b"CGIDX1\0\0"
 FOOTER = struct.Struct("<8sqqqqq")
@@ -292,7 +292,7 @@ class ShardSet:
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> ShardSet:
     """Encode every text and write the shards. tokenizer: a file that the driver can open."""
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         file = f.read()
     from tokenizers import Tokenizer

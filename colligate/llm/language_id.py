@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import blocks
+from .shared import blocks, bounded
 
 DIMENSIONS = 1024
 OTHER_LETTERS = 101
@@ -153,7 +153,7 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text", added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The table with the language and the score (the cosine, at least 0) after its own columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(profiles)  # DIMENSIONS numbers a language
+    sent = bounded(docs.sparkSession).sparkContext.broadcast(profiles)  # DIMENSIONS numbers a language
     own = [f"c{i}" for i in range(len(docs.columns))]
     inner = docs.toDF(*own)
     at = own[docs.columns.index(text)]

@@ -31,13 +31,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import blocks, freed, mixed, spread, texts, written
+from .shared import blocks, bounded, freed, mixed, spread, texts, written
 from .words import SPACED, Words, find, sequence_hashes
 
 WINDOW = 13
 GRAM = 5
 #: Bytes of text that the hashing kernels take at once where nothing is grouped: what caches hold.
 KERNEL_BYTES = 512 << 10
+#: Bytes of text whose stretches are grouped before they are shuffled, so that a frequent one is one row of each.
+GROUPED_BYTES = 8 << 20
 #: Documents that one place serves with the passages of a document.
 SERVED = 500
 #: Distinct words in one automaton, which are its letters; there are some 1.1 million code points.
@@ -91,14 +93,17 @@ class Stretches:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each stretch of a block: anchor, its hash, and the documents with it."""
-    for batch in blocks(batches, "text"):
-        found = Stretches.find(find(*texts(batch.column("text")), SPACED))
-        if not len(found.first):
+    """A row for each stretch of GROUPED_BYTES of text: anchor, its hash, and the documents with it."""
+    for whole in blocks(batches, "text", GROUPED_BYTES):
+        parts = []
+        for batch in blocks(iter([whole]), "text", KERNEL_BYTES):
+            found = Stretches.find(find(*texts(batch.column("text")), SPACED))
+            parts.append((found.hashes, batch.column("doc").to_numpy(zero_copy_only=False)[found.row], found.anchors))
+        hashes, doc, anchors = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not len(hashes):
             continue
-        doc = batch.column("doc").to_numpy(zero_copy_only=False)[found.row]
-        order = np.lexsort((doc, found.hashes))
-        hashes, doc, anchors = found.hashes[order], doc[order], found.anchors[order]
+        order = np.lexsort((doc, hashes))
+        hashes, doc, anchors = hashes[order], doc[order], anchors[order]
         new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
         start = np.flatnonzero(new)
         end = np.append(start[1:], len(doc))
@@ -285,7 +290,7 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs: doc, hash (of the text), text. doc, hash, start, n: runs of words that go; they may overlap."""
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     known = docs.where("doc is not null and text is not null")
     plain = known.select("doc", "text")
     places = lambda c: F.ceil(F.col(c) / SERVED).cast("int")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import blocks, texts
+from .shared import blocks, bounded, texts
 from .words import SPACED, find
 
 BYTE_COST = -25.0
@@ -134,7 +134,7 @@ def _alone(word: bytes, depth: int, best: list[tuple[float, int]], pieces: Piece
 
 def count_tokens(docs: DataFrame, pieces: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens for every row. pieces: a sentencepiece file that the driver can open."""
-    sent = docs.sparkSession.sparkContext.broadcast(Pieces.read(pieces))  # one model's pieces
+    sent = bounded(docs.sparkSession).sparkContext.broadcast(Pieces.read(pieces))  # one model's pieces
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 8 << 20):
