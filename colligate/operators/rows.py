@@ -119,7 +119,23 @@ def mapped(df: DataFrame, attribute: str, name: str = "value", default: object =
 
 
 def _numbered(df: DataFrame, order: Order, partition: Sequence[str] = ()) -> DataFrame:
-    return df.withColumn("cg_n", F.row_number().over(Window.partitionBy(*partition).orderBy(*_order(order))) - 1)
+    """Adds cg_n, the row's number from 0, and cg_all, the number of rows, of the partition or the whole table.
+
+    Where the session has a checkpoint folder, a whole table isn't brought to one task: it is dealt out by ranges
+    of the order and kept there, rows are counted in their range, and each range begins where those before it end.
+    """
+    w = Window.partitionBy(*partition)
+    spark = df.sparkSession
+    if partition or spark.sparkContext.getCheckpointDir() is None:
+        return df.withColumns({"cg_n": F.row_number().over(w.orderBy(*_order(order))) - 1, "cg_all": F.count("*").over(w)})
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *_order(order)).sortWithinPartitions(*_order(order))
+    ranged = ranged.withColumns({"cg_part": F.spark_partition_id(), "cg_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).checkpoint()
+    counts = ranged.groupBy("cg_part").agg(F.count("*").alias("n"))  # a row a range
+    before = Window.orderBy("cg_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("cg_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("cg_start"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("cg_all"))
+    found = ranged.join(F.broadcast(starts), "cg_part")  # at most spark.sql.shuffle.partitions rows
+    return found.withColumn("cg_n", F.col("cg_start") + F.col("cg_at")).drop("cg_part", "cg_at", "cg_start")
 
 
 def _listed(df: DataFrame, number: str, attribute: str) -> Column:
@@ -137,8 +153,10 @@ def batch(df: DataFrame, attribute: str, linecount: int, order: Order, fill_with
 
 def slices(df: DataFrame, attribute: str, count: int, order: Order, fill_with: Column | None = None, partition: Sequence[str] = ()) -> DataFrame:
     """slice (from 0), items: count lists, longer ones first; with a filler, shorter ones get one."""
-    w = Window.partitionBy(*partition)
-    rows = _numbered(df, order, partition).withColumn("slice", (F.ntile(count).over(w.orderBy(*_order(order))) - 1).cast("long")).withColumn("cg_all", F.count("*").over(w))
+    rows = _numbered(df, order, partition)
+    per, more, n = F.floor(F.col("cg_all") / count), F.col("cg_all") % count, F.col("cg_n")
+    longer = (per + 1) * more
+    rows = rows.withColumn("slice", F.when(n < longer, F.floor(n / (per + 1))).otherwise(more + F.floor((n - longer) / per)).cast("long"))
     items = rows.groupBy(*partition, "slice").agg(_listed(rows, "cg_n", attribute).alias("items"), F.first("cg_all").alias("cg_all"))
     if fill_with is not None:
         short = F.size("items") < F.ceil(F.col("cg_all") / count)
@@ -166,8 +184,13 @@ def loop(df: DataFrame, order: Order, partition: Sequence[str] = (), neighbours:
     the columns of neighbours, previtem and nextitem. Rows that where rejects go before anything is counted."""
     if where is not None:
         df = select(df, where)
-    w = Window.partitionBy(*partition).orderBy(*_order(order))
-    n, length = F.row_number().over(w), F.count("*").over(Window.partitionBy(*partition))
+    if neighbours:
+        w = Window.partitionBy(*partition).orderBy(*_order(order))
+        item = F.struct(*neighbours)
+        df = df.withColumns({"cg_n": F.row_number().over(w) - 1, "cg_all": F.count("*").over(Window.partitionBy(*partition)), "cg_before": F.lag(item).over(w), "cg_after": F.lead(item).over(w)})
+    else:
+        df = _numbered(df, order, partition)
+    n, length = F.col("cg_n") + 1, F.col("cg_all")
     parts = [
         n.cast("long").alias("index"),
         (n - 1).cast("long").alias("index0"),
@@ -180,14 +203,13 @@ def loop(df: DataFrame, order: Order, partition: Sequence[str] = (), neighbours:
         F.lit(depth - 1).alias("depth0"),
     ]
     if neighbours:
-        item = F.struct(*neighbours)
-        parts += [F.lag(item).over(w).alias("previtem"), F.lead(item).over(w).alias("nextitem")]
-    return df.withColumn("loop", F.struct(*parts))
+        parts += [F.col("cg_before").alias("previtem"), F.col("cg_after").alias("nextitem")]
+    return df.withColumn("loop", F.struct(*parts)).drop("cg_n", "cg_all", "cg_before", "cg_after")
 
 
 def cycle(df: DataFrame, order: Order, values: Sequence[object], partition: Sequence[str] = (), name: str = "cycle") -> DataFrame:
-    w = Window.partitionBy(*partition).orderBy(*_order(order))
-    return df.withColumn(name, F.element_at(F.array(*map(F.lit, values)), F.pmod(F.row_number().over(w) - 1, F.lit(len(values))) + 1))
+    at = (F.col("cg_n") % len(values) + 1).cast("int")
+    return _numbered(df, order, partition).withColumn(name, F.element_at(F.array(*map(F.lit, values)), at)).drop("cg_n", "cg_all")
 
 
 def changed(df: DataFrame, order: Order, attributes: Sequence[str], partition: Sequence[str] = (), name: str = "changed") -> DataFrame:

@@ -90,3 +90,20 @@ def test_row_operators(spark):
 def test_checked_sum_raises(spark):
     with pytest.raises(Exception, match="(?i)overflow"):
         one(spark, arrays.total(F.col("xs"), T.LongType()), xs=[2**62, 2**62, 2**62])
+
+
+def test_numbers_of_a_whole_table_without_one_task(spark):
+    """Ranges of the order are numbered where they are, where there is a folder for checkpoints."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        df = spark.range(50_000).repartition(7).select(F.hash("id").alias("k"), "id", F.create_map(F.lit("a"), "id").alias("m"))
+        looped = rows.loop(df, ["k", "id"]).select("k", "id", "loop.*")
+        wanted = {i: n for n, (_, i) in enumerate(sorted((r.k, r.id) for r in df.select("k", "id").collect()))}
+        assert {r.id: r.index0 for r in looped.collect()} == wanted
+        assert looped.where("length <> 50000 or index0 + revindex0 <> 49999 or first <> (index = 1) or last <> (index = 50000)").count() == 0
+        sliced = rows.slices(df, "id", 7, ["k", "id"]).select("slice", F.size("items").alias("n")).orderBy("slice").collect()
+        assert [r.n for r in sliced] == [7143] * 6 + [7142] and rows.batch(df, "id", 1000, ["k", "id"]).count() == 50
+        assert rows.loop(df.where("false"), "k").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
