@@ -108,6 +108,16 @@ def test_images(spark, vectors):
     assert image_copies.find_copies(asked, images.where("false"), "id", "image").count() == 0
 
 
+def test_images_with_common_parts(spark, vectors, monkeypatch):
+    """Where every part that two corners share is common, copies are found by pairs of parts."""
+    monkeypatch.setattr(image_copies, "COMMON", 1)
+    images = image_copies.rendered(vectors, "vec_id", "embedding").where("id < 12")
+    images = images.union(images.withColumn("id", F.col("id") + 100).withColumn("image", F.concat("image", F.lit(b"x"))))
+    asked = image_copies.rendered(vectors.where("vec_id % 4 = 0 and vec_id < 12"), "vec_id", "embedding", edited=True)
+    found = {(r["query"], r.class_id) for r in image_copies.find_copies(asked, images).collect()}
+    assert found == {(q, q + k) for q in (0, 4, 8) for k in (0, 100)}
+
+
 @pytest.mark.parametrize("change, least", [("turned", 0.9), ("smaller", 0.8), ("crop", 0.8), ("noisy", 0.9)])
 def test_images_of_other_sizes_and_angles(spark, change, least):
     rng = np.random.default_rng(4)
