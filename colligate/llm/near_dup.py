@@ -20,8 +20,8 @@ its largest component are compared with all others.
 Recall: a pair of similarity s shares no node in TREES trees with probability (1 - s) ** TREES, 6e-8 at
 0.75. Where all of its nodes stay large and mixed, it branches LEVELS times, and all of its BRANCHES ** LEVELS
 paths in all trees may part. A path of STEPS samples holds for a pair of similarity s with s ** STEPS, so a level keeps it with
-1 - (1 - s ** STEPS) ** BRANCHES, 0.80 at 0.75, and nine nodes lose it over both levels in 1 of 10,000 cases;
-the target is at most 1 in 1,000 at exactly 0.75. Before the full sets are fetched, pairs whose SAMPLES one-byte minwise
+1 - (1 - s ** STEPS) ** BRANCHES, 0.80 at 0.75, three levels with 0.65 as the paths of a level branch in turn, and
+twelve trees lose it over all levels in 3 of 10,000 cases; the target is at most 1 in 1,000 at exactly 0.75. Before the full sets are fetched, pairs whose SAMPLES one-byte minwise
 samples agree in fewer than agree places are dropped; a pair of 0.75 agrees in fewer than AGREE with
 probability 1e-20, and agree=0 drops none.
 
@@ -51,7 +51,7 @@ AGREE = 84
 SMALL = 30
 BRANCHES = 3
 STEPS = 3
-LEVELS = 2
+LEVELS = 3
 PIVOTS = 8
 
 
@@ -181,13 +181,14 @@ def _links(spark, docs: DataFrame, classes: DataFrame, percent: int, agree: int)
         pairs = nodes.join(firsts, "node").where("rep <> first").select(F.least("first", "rep").alias("a"), F.greatest("first", "rep").alias("b"))
         if small is not None:
             pairs = pairs.union(_all_pairs(_mixed(small, of)))
-        links = links.union(freed(written(_verified(pairs, sampled, played, percent, agree), spark)))
-        of = _labels(links)
+        found = freed(written(_verified(pairs, sampled, played, percent, agree), spark))
+        links = links.union(found)
+        of = _joined(of, found) if level else _labels(links)
         left = written(_mixed(nodes, of), spark)
         if level == 0:
             pairs = _with_pivots(left.where(f"size > {SMALL}"))
             links = links.union(freed(written(_verified(pairs, sampled, played, percent, agree), spark)))
-            of = _labels(links)
+            of = written(components(links), spark)
             left = written(_mixed(left, of), spark)
         if level == LEVELS:
             return links.union(_verified(_rest(left), sampled, played, percent, agree))
@@ -214,6 +215,19 @@ def _labels(links: DataFrame) -> DataFrame:
     return written(second.join(above, "m", "left").select(F.col("u").alias("node"), F.least("m", "upper").alias("component")), spark)
 
 
+def _joined(of: DataFrame, links: DataFrame) -> DataFrame:
+    """of (node, component), with the components brought together that links connect."""
+    spark = links.sparkSession
+    named = links
+    for c in "uv":
+        named = named.join(of.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+    named = named.select(F.coalesce("of_u", "u").alias("u"), F.coalesce("of_v", "v").alias("v")).where("u <> v")
+    better = _labels(named).select(F.col("node").alias("component"), F.col("component").alias("better"))
+    ends = links.select("u").union(links.select("v")).distinct().join(of.select(F.col("node").alias("u")), "u", "left_anti")
+    every = of.select("node", "component").union(ends.select("u", "u"))
+    return written(every.join(better, "component", "left").select("node", F.coalesce("better", "component").alias("component")), spark)
+
+
 def _with_pivots(large: DataFrame) -> DataFrame:
     """Pairs a, b of members outside of a node's largest component, where that has most members, and PIVOTS of its."""
     most = large.where("2 * outside < size")
