@@ -186,9 +186,9 @@ class Encoder:
         self.byte_lengths = np.array([len(b) for b in self.v.token_bytes], np.int64)
         self.byte_starts = np.cumsum(self.byte_lengths) - self.byte_lengths
         self.all_bytes = np.frombuffer(b"".join(self.v.token_bytes), np.uint8)
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.places: dict[str, int] = {}
         self.flat = np.zeros(0, np.int64)
         self.starts = self.lengths = np.zeros(0, np.int64)
@@ -230,7 +230,7 @@ class Encoder:
     def prepare(self, batch: list[str]) -> None:
         """Learn all chunks of these texts together, as the index has a cost for each active rank."""
         if len(self.places) > CACHED_CHUNKS:
-            self._clear()
+            self.clear()
         known, missing = self.places, {}
         for text in batch:
             missing.update((c, 0) for c in self._chunks(text) if c not in known)
@@ -272,9 +272,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(sent.value)
-        for whole in blocks(batches, "text", LEARNED_BYTES):
-            e.prepare(whole.column("text").fill_null("").to_pylist())
-            yield from map(encoded, blocks(iter([whole]), "text", BLOCK_BYTES))
+        try:
+            for whole in blocks(batches, "text", LEARNED_BYTES):
+                e.prepare(whole.column("text").fill_null("").to_pylist())
+                yield from map(encoded, blocks(iter([whole]), "text", BLOCK_BYTES))
+        finally:
+            e.clear()  # the worker may go on to other work
 
     def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
         e = encoder(sent.value)

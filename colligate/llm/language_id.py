@@ -34,7 +34,8 @@ OTHER_LETTERS = 101
 SLOTS = 128
 SAMPLE_ROWS = 40_000
 SEED = 20231
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
+BLOCK_BYTES = 1 << 20
 UNKNOWN = "und"
 
 
@@ -137,7 +138,7 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in blocks(batches, "text", 2 << 20, BLOCK_ROWS):
+        for batch in blocks(batches, "text", BLOCK_BYTES, BLOCK_ROWS):
             vectors, langs = _unit(text_vectors(batch.column("text").to_pylist())), np.array(batch.column("lang").to_pylist(), object)
             for name in set(langs):
                 sums[name] = sums.get(name, 0) + vectors[langs == name].sum(0, dtype=np.float64)
@@ -159,7 +160,7 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", added: tup
     at = own[docs.columns.index(text)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, at, 2 << 20, BLOCK_ROWS):
+        for batch in blocks(batches, at, BLOCK_BYTES, BLOCK_ROWS):
             names, score = sent.value.predict(batch.column(at).fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*own, "lang_pred", "score"])
 
