@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -43,9 +44,14 @@ def written(df: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def freed(df: DataFrame) -> DataFrame:
-    """df as it is; lets Spark delete the shuffle files of what was written before and is no longer referred to."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """df as it is; lets Spark delete the shuffle files of what was written before and is no longer referred to.
+
+    Just after a job its last events still refer to it, hence a second time. Only disk use depends on it.
+    """
+    for pause in (0.5, 0):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(pause)
     return df
 
 
