@@ -20,8 +20,8 @@ its largest component are compared with all others.
 Recall: a pair of similarity s shares no node in TREES trees with probability (1 - s) ** TREES, 6e-8 at
 0.75. Where all of its nodes stay large and mixed, it branches LEVELS times, and all of its BRANCHES ** LEVELS
 paths in all trees may part. A path of STEPS samples holds for a pair of similarity s with s ** STEPS, so a level keeps it with
-1 - (1 - s ** STEPS) ** BRANCHES, 0.80 at 0.75, three levels with 0.65 as the paths of a level branch in turn, and
-twelve trees lose it over all levels in 3 of 10,000 cases; the target is at most 1 in 1,000 at exactly 0.75. Before the full sets are fetched, pairs whose SAMPLES one-byte minwise
+1 - (1 - s ** STEPS) ** BRANCHES, 0.80 at 0.75, two levels with 0.71 as the paths of a level branch in turn, and
+twelve trees lose it over both in 1 of 10,000 cases; the target is at most 1 in 1,000 at exactly 0.75. Before the full sets are fetched, pairs whose SAMPLES one-byte minwise
 samples agree in fewer than agree places are dropped; a pair of 0.75 agrees in fewer than AGREE with
 probability 1e-20, and agree=0 drops none.
 
@@ -51,7 +51,7 @@ AGREE = 84
 SMALL = 30
 BRANCHES = 3
 STEPS = 3
-LEVELS = 3
+LEVELS = 2
 PIVOTS = 8
 
 
