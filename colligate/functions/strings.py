@@ -137,18 +137,20 @@ def xmlattr(m: Column, autospace: bool = True) -> Column:
 
 
 def _one_decimal(x: Column) -> Column:
-    """Text with one decimal of a double from 1 to 1024, rounded on its binary value, ties to even."""
-    whole = (x * float(1 << 52)).cast("decimal(20,0)") * F.lit(10).cast("decimal(2,0)")
-    unit, half = F.lit(1 << 52).cast("decimal(17,0)"), F.lit(1 << 51).cast("decimal(17,0)")
-    rest = (whole + half) % unit
-    up = ((whole + half - rest) / unit).cast("long")
-    tenths = F.when((rest == 0) & (up % 2 == 1), up - 1).otherwise(up)
+    """Text with one decimal of a double of at least 1, rounded on its binary value, ties to even."""
+    whole, one, half = F.floor(x), F.lit(1 << 52), F.lit(1 << 51)
+    rest = ((x - whole.cast("double")) * float(1 << 52)).cast("long") * 10 + half
+    up = F.shiftright(rest, 52)
+    tie = (rest.bitwiseAND(one - 1) == 0) & (up % 2 == 1)
+    tenths = whole * 10 + F.when(tie, up - 1).otherwise(up)
     return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
-def filesizeformat(n: Column, binary: bool = False) -> Column:
+def filesizeformat(n: Column, binary: bool = False, largest: str | None = None) -> Column:
+    """largest: the unit that all greater sizes are written in too, YB or YiB where not given."""
     base = 1024 if binary else 1000
     units = [("KMGTPEZY"[i] if binary or i else "k") + ("iB" if binary else "B") for i in range(8)]
+    units = units[: units.index(largest) + 1 if largest else None]
     out = F.when(n == 1, "1 Byte").when(n < base, F.concat(n.cast("long").cast("string"), F.lit(" Bytes")))
     for i, u in enumerate(units):
         value = F.concat(_one_decimal(n.cast("double") / float(base ** (i + 1))), F.lit(f" {u}"))

@@ -65,9 +65,31 @@ def test_numbers(spark):
     assert one(spark, values.float_text(F.lit(1e16))) == "1e+16" and one(spark, values.float_text(F.lit(1e15))) == "1000000000000000.0"
     assert one(spark, values.equal(F.lit(float("nan")), F.lit(float("nan")), True)) is False
     assert one(spark, strings.filesizeformat(F.lit(1150))) == "1.1 kB" and one(spark, strings.filesizeformat(F.lit(1))) == "1 Byte"
+    assert [one(spark, strings.filesizeformat(F.lit(n))) for n in (8750, 999050, 1275000000)] == ["8.8 kB", "999.0 kB", "1.3 GB"]
+    assert one(spark, strings.filesizeformat(F.lit(1275000000), largest="MB")) == "1275.0 MB"
     assert one(spark, values.odd(F.lit(-3))) is True
 
 
+def test_file_sizes_equal_python(spark):
+    sizes = [*range(1000, 100000, 25), *range(10**6, 10**9, 7_250_000), *range(1024, 10**6, 1792)]
+    rows_ = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", strings.filesizeformat(F.col("n")).alias("a"), strings.filesizeformat(F.col("n"), binary=True).alias("b")).collect()
+    shown = lambda n, base, units: "%.1f %s" % ((n / base, units[0]) if n < base**2 else (n / base**2, units[1]))
+    assert [(r.a, r.b) for r in rows_ if r.n >= 1024] == [(shown(n, 1000, ("kB", "MB")), shown(n, 1024, ("KiB", "MiB"))) for n in sizes if n >= 1024]
+
+
+def test_sizes_of_many_pages_equal_their_sql(spark, tmp_path):
+    """Page numbers from 667 on, whose sizes are over 1 GB."""
+    import duckdb
+    from test_queries import sorted_rows
+
+    from colligate import queries
+
+    duckdb.sql(f"COPY (SELECT range * 97 AS page_id, 'u' || range AS url, repeat('x', range * 125) AS html FROM range(700)) TO '{tmp_path}/pages.parquet'")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    assert sorted_rows(queries.QUERIES["fmt_printf_filesize"](spark, str(tmp_path)).toPandas()) == sorted_rows(db.sql(queries.SQL["fmt_printf_filesize"]).df())
+
+
 def test_row_operators(spark):
     df = spark.createDataFrame([(1, "b", 2), (2, "A", 1), (3, "a", 3), (4, "B", 2)], "n long, k string, v int")
     assert [(r.grouper, [i.n for i in r["items"]]) for r in rows.groupby(df, "k", "n").collect()] == [("A", [2, 3]), ("b", [1, 4])]
