@@ -9,6 +9,7 @@ an explicit null is an error unless nullable, and never takes the default.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -16,9 +17,20 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.formats import matches_format
 from ..functions.temporal import parse_date, parse_datetime, parse_duration, parse_time
-from .schema import INTEGERS, SPARK, Contract, Field, TypeRef
+from .schema import INTEGERS, SPARK, Contract, Field, Record, TypeRef
 
 ERRORS = "array<struct<path:string,message:string>>"
+#: So many columns in all levels of a binding go into one generated method.
+FUSED = 24
+
+
+Use = Callable[[Column], Column]
+
+
+def once(x: Column, use: Use) -> Column:
+    """use(x), in which x is evaluated once however often it stands there: neither projections that are merged nor
+    filters that are pushed down repeat it. There can be no Python function in it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
 @dataclass
@@ -45,7 +57,7 @@ def bind_scalar(name: str, text: Column, size: int | None = None) -> Bound:
         value = F.coalesce(value, F.when(t.rlike(r"^[-+]?\d+(\.\d*)?([eE][-+]?\d+)?$"), t.try_cast("double") != 0))
     elif name in INTEGERS or name == "varint":
         low, high = INTEGERS.get(name, INTEGERS["int64"])
-        wide = F.when(t.rlike(r"^[-+]?\d{1,30}(\.0*)?$"), F.regexp_replace(t, r"\.0*$", "").try_cast("decimal(38,0)"))
+        wide = F.when(t.rlike(r"^[-+]?\d{1,30}(\.0*)?$"), F.substring_index(t, ".", 1).try_cast("decimal(38,0)"))
         value = F.when((wide >= F.lit(str(low)).cast("decimal(38,0)")) & (wide <= F.lit(str(high)).cast("decimal(38,0)")), wide).try_cast(SPARK[name].simpleString())
     elif name in ("float", "double"):
         value = F.when(t.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$|^[-+]?(inf|infinity|nan)$"), t.try_cast(SPARK[name].simpleString()))
@@ -115,80 +127,149 @@ def _default(c: Contract, f: Field) -> Column:
 
 
 class VariantBinder:
-    """Binds VARIANT columns."""
+    """Binds VARIANT columns. Each value of a record is looked up and bound once, and its parts from it."""
 
     def __init__(self, contract: Contract, exact_tokens: bool = False, reject_unknown: bool = False):
-        self.c, self.exact, self.reject_unknown = contract, exact_tokens, reject_unknown
-
-    def bind(self, ref: TypeRef, x: Column, path: str) -> Bound:
-        c, kind = self.c, self.c.spark_type(ref)
-        text = F.try_variant_get(x, "$", "string")
-        plain = ~F.schema_of_variant(x).rlike("^(ARRAY|OBJECT)")
+        self.c, self.exact, self.reject_unknown, self.hold = contract, exact_tokens, reject_unknown, once
+
+    def bound(self, df: DataFrame, item: str, name: str, value: str = "record", errors: str = "errors") -> DataFrame:
+        """df without the VARIANT column item and with its value (good only without errors) and errors. What several
+        expressions need is a column of a projection of its own, by levels; inside of lists and maps there are none."""
+        levels: dict[int, dict[str, Column]] = {}
+
+        def put(level: int, x: Column) -> Column:
+            held = levels.setdefault(level, {})
+            held[column := f"cg_{level}_{len(held)}"] = x
+            return F.col(column)
+
+        out, wrong, last = self._levels(put, 0, name, F.col(f"`{item}`"), "")
+        out, wrong = put(last, out), put(last, wrong)
+        if sum(map(len, levels.values())) > FUSED:
+            # with a lambda function in it, a projection is compiled by itself, in methods small enough to be compiled to machine code
+            there = F.col(f"`{item}`").isNotNull()
+            for n in range(last + 1):
+                there = put(n, F.exists(F.array(there), lambda y: y))
+            wrong = F.when(there, wrong).otherwise(_error(name, "is no object"))
+        for n in sorted(levels):
+            df = df.withColumns(levels[n])
+        # made by a generator, as no filter is pushed below one with all that it needs copied into it
+        df = df.withColumn("cg_bound", F.explode(F.array(F.struct(out.alias("value"), wrong.alias("errors")))))
+        df = df.withColumns({value: F.col("cg_bound.value"), errors: F.col("cg_bound.errors")})
+        return df.drop("cg_bound", item, *[c for held in levels.values() for c in held])
+
+    def _levels(self, put: Callable[[int, Column], Column], level: int, name: str, x: Column, path: str) -> tuple[Column, Column, int]:
+        """Value and errors of a record and the first level that may use them."""
+        r, none, values, errors, raws, last = self.c.record(name), F.array().cast(ERRORS), [], [], [], level + 1
+        held = put(level, F.try_variant_get(x, "$", "map<string,variant>")) if self.reject_unknown else None
+        is_object = put(level, F.try_variant_get(x, "$", "struct<cg: variant>").isNotNull())
+        for f in r.fields:
+            at, of = (f"{path}.{f.name}" if path else f.name), level + 1
+            raw = put(level, F.coalesce(*[F.try_variant_get(x, f"$[{json.dumps(n)}]", "variant") for n in f.inputs]))
+            if f.type.name in self.c.records:
+                value, wrong, of = self._levels(put, of, f.type.name, raw, at)
+                wrong, value = put(of, wrong), put(of, value)
+                b, of = F.struct(value.alias("value"), wrong.alias("errors")), of + 1
+            elif (f.type.name in SPARK or f.type.name in self.c.enums) and f.type.name != "money":
+                kind = put(of, F.schema_of_variant(raw))
+                b, of = put(of + 2, self._scalar(f.type, raw, kind, lambda y, use, n=of + 1: use(put(n, y)))), of + 3
+            else:
+                b, of = put(of, self.bind(f.type, raw, at)), of + 1
+            shown = self._shown(r.kind, f, raw, b, at)
+            values.append(shown["value"].alias(f.name))
+            errors.append(shown["errors"])
+            raws.append(raw)
+            last = max(last, of)
+        return F.struct(*values), self._checked(r, path or name, is_object, held, raws, errors), last
+
+    def bind(self, ref: TypeRef, x: Column, path: str) -> Column:
+        """The value, NULL where it does not bind."""
+        c = self.c
         if ref.name == "money":
-            amount, currency = F.try_variant_get(x, "$.amount", "string"), F.try_variant_get(x, "$.currency", "string")
-            parts = bind_scalar("money", F.concat_ws(" ", amount, currency))
-            whole = bind_scalar("money", text)
-            value = F.when(F.schema_of_variant(x).startswith("OBJECT"), parts.value).otherwise(whole.value)
-            return Bound(value, value.isNotNull())
+            parts = F.concat_ws(" ", F.try_variant_get(x, "$.amount", "string"), F.try_variant_get(x, "$.currency", "string"))
+            text = F.when(F.schema_of_variant(x).startswith("OBJECT"), parts).otherwise(F.try_variant_get(x, "$", "string"))
+            return self.hold(text, lambda t: bind_scalar("money", t).value)
         if ref.name in SPARK or ref.name in c.enums:
-            b = bind_scalar(ref.name, text, ref.size) if ref.name in SPARK else bind_enum(c, ref.name, text)
-            good = F.coalesce(plain & b.good & ~F.is_variant_null(x), F.lit(False))
-            if self.exact and ref.name in SPARK:
-                token = F.schema_of_variant(x)
-                wanted = "^BOOLEAN" if ref.name == "bool" else "^(BIGINT|DECIMAL|DOUBLE)" if ref.name in INTEGERS or ref.name in ("float", "double") else "^STRING"
-                good = good & token.rlike(wanted)
-            return Bound(F.when(good, b.value), good)
+            return self.hold(F.schema_of_variant(x), lambda kind: self._scalar(ref, x, kind, self.hold))
         if ref.name in ("list", "set", "group", "array"):
-            items = F.try_variant_get(x, "$", "array<variant>")
-            inner = lambda y: self.bind(ref.args[0], y, path + "[]")
-            value = F.transform(items, lambda y: inner(y).value)
-            good = F.coalesce(items.isNotNull() & F.forall(items, lambda y: inner(y).good), F.lit(False))
-            if ref.name == "set":
-                value = F.array_distinct(value)
-            if ref.name == "array":
-                good = good & (F.size(items) == ref.size)
-            return Bound(F.when(good, value), good)
+            items = F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda y: self.bind(ref.args[0], y, path + "[]"))
+
+            def whole(found: Column) -> Column:
+                good = ~F.exists(found, lambda y: y.isNull())
+                if ref.name == "array":
+                    good = good & (F.size(found) == ref.size)
+                return F.when(good, F.array_distinct(found) if ref.name == "set" else found)
+
+            return self.hold(items, whole)
         if ref.name == "map":
-            items = F.try_variant_get(x, "$", "map<string,variant>")
-            inner = lambda y: self.bind(ref.args[1], y, path + "{}")
-            value = F.transform_values(items, lambda k, y: inner(y).value)
-            good = F.coalesce(items.isNotNull() & F.forall(F.map_values(items), lambda y: inner(y).good), F.lit(False))
-            return Bound(F.when(good, value), good)
-        b = self.record(ref.name, x, path)
-        good = F.size(b.errors) == 0
-        return Bound(F.when(good, b.value).cast(kind), good, b.errors)
-
-    def record(self, name: str, x: Column, path: str = "") -> Bound:
-        r, values, errors = self.c.record(name), [], []
-        is_object = F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))
-        for f in r.fields:
-            at = f"{path}.{f.name}" if path else f.name
-            found = [F.try_variant_get(x, f"$[{json.dumps(n)}]", "variant") for n in f.inputs]
-            raw = F.coalesce(*found) if len(found) > 1 else found[0]
-            b = self.bind(f.type, raw, at)
-            absent, null = raw.isNull(), F.is_variant_null(raw)
-            default = _default(self.c, f) if f.has_default else _none(self.c.spark_type(f.type))
-            good = b.good
-            if f.format:
-                good = good & F.coalesce(matches_format(b.value, f.format), F.lit(False))
-            values.append(F.when(absent, default).when(null, _none(self.c.spark_type(f.type))).otherwise(b.value).alias(f.name))
-            if r.kind == "union":
-                errors.append(F.when(absent | good, F.array().cast(ERRORS)).otherwise(_error(at, "does not bind")))
-                continue
-            none = F.array().cast(ERRORS)
-            missing = none if f.optional or f.has_default else _error(at, "is missing")
-            nulled = none if f.nullable else _error(at, "is null")
-            wrong = b.errors if b.errors is not None else _error(at, f"is no {f.type}" + (f" of format {f.format}" if f.format else ""))
-            errors.append(F.when(absent, missing).when(null, nulled).when(good, none).otherwise(wrong))
+            items = F.transform_values(F.try_variant_get(x, "$", "map<string,variant>"), lambda k, y: self.bind(ref.args[1], y, path + "{}"))
+            return self.hold(items, lambda found: F.when(~F.exists(F.map_values(found), lambda y: y.isNull()), found))
+        return self.hold(self.record(ref.name, x, path), lambda b: self._good(ref, b))
+
+    def _scalar(self, ref: TypeRef, x: Column, kind: Column, hold: Callable[[Column, Use], Column]) -> Column:
+        """kind: the type that x has as a VARIANT."""
+        plain = ~F.left(kind, F.lit(5)).isin("ARRAY", "OBJEC", "VOID")
+        if self.exact and ref.name in SPARK:
+            wanted = "^BOOLEAN" if ref.name == "bool" else "^(BIGINT|DECIMAL|DOUBLE)" if ref.name in INTEGERS or ref.name in ("float", "double") else "^STRING"
+            plain = plain & kind.rlike(wanted)
+        read = F.try_variant_get(x, "$", "string")
+        if ref.name in self.c.enums:
+            return hold(F.when(plain, read), lambda t: bind_enum(self.c, ref.name, t).value)
+        if ref.name not in INTEGERS or ref.name == "uint64":
+            return hold(F.when(plain, read), lambda t: bind_scalar(ref.name, t, ref.size).value)
+        # whole numbers need no text
+        low, high = INTEGERS[ref.name]
+        whole, to = F.when(kind == "BIGINT", F.try_variant_get(x, "$", "bigint")), SPARK[ref.name].simpleString()
+        of_text = lambda w: hold(F.when(plain & (kind != "BIGINT"), read), lambda t: F.coalesce(F.when((w >= low) & (w <= high), w).try_cast(to), F.when(t.isNotNull(), bind_scalar(ref.name, t).value)))
+        return hold(whole, of_text)
+
+    def _good(self, ref: TypeRef, b: Column) -> Column:
+        return F.when(F.size(b["errors"]) == 0, b["value"]).cast(self.c.spark_type(ref))
+
+    def _shown(self, kind: str, f: Field, x: Column, b: Column, at: str) -> Column:
+        """A struct of value and errors. x: what was read; b: what it binds to, of records with their errors."""
+        none, empty, nested = F.array().cast(ERRORS), _none(self.c.spark_type(f.type)), f.type.name in self.c.records
+        default = _default(self.c, f) if f.has_default else empty
+        wrong = b["errors"] if nested else _error(at, f"is no {f.type}" + (f" of format {f.format}" if f.format else ""))
+        missing = none if f.optional or f.has_default else _error(at, "is missing")
+        nulled = none if f.nullable else _error(at, "is null")
+        value, good = (self._good(f.type, b), F.size(b["errors"]) == 0) if nested else (b, b.isNotNull())
+        if kind == "union":
+            missing, nulled, wrong = none, _error(at, "does not bind"), _error(at, "does not bind")
+        if f.format:
+            good = good & F.coalesce(matches_format(value, f.format), F.lit(False))
+        absent, null = x.isNull(), F.is_variant_null(x)
+        errors = F.when(absent, missing).when(null, nulled).when(good, none).otherwise(wrong)
+        return F.struct(F.when(absent, default).when(null, empty).otherwise(value).alias("value"), errors.alias("errors"))
+
+    def _checked(self, r: Record, at: str, is_object: Column, held: Column | None, raws: list[Column], errors: list[Column]) -> Column:
+        none = F.array().cast(ERRORS)
         if r.kind == "union":
-            known = sum(F.when(F.coalesce(*[F.try_variant_get(x, f"$[{json.dumps(n)}]", "variant") for n in f.inputs]).isNotNull(), 1).otherwise(0) for f in r.fields)
-            errors.append(F.when(known != 1, _error(path or name, "needs exactly one variant")).otherwise(F.array().cast(ERRORS)))
+            known = sum((raw.isNotNull().cast("int") for raw in raws), F.lit(0))
+            errors = [*errors, F.when(known != 1, _error(at, "needs exactly one variant")).otherwise(none)]
         if self.reject_unknown:
-            allowed = F.array(*[F.lit(n) for f in r.fields for n in f.inputs])
-            extra = F.array_except(F.json_object_keys(F.to_json(x)), allowed)
-            errors.append(F.when(F.size(extra) > 0, _error(path or name, "has unknown fields")).otherwise(F.array().cast(ERRORS)))
-        checked = F.when(is_object, _joined(errors)).otherwise(_error(path or name, "is no object"))
-        return Bound(F.struct(*values), F.size(checked) == 0, checked)
+            extra = F.array_except(F.map_keys(held), F.array(*[F.lit(n) for f in r.fields for n in f.inputs]).cast("array<string>"))
+            errors = [*errors, F.when(F.size(extra) > 0, _error(at, "has unknown fields")).otherwise(none)]
+        return F.when(is_object, _joined(errors)).otherwise(_error(at, "is no object"))
+
+    def record(self, name: str, x: Column, path: str = "") -> Column:
+        """A struct of value and errors, inside of lists and maps."""
+        r = self.c.record(name)
+
+        def field(f: Field, raw: Column) -> Column:
+            at = f"{path}.{f.name}" if path else f.name
+            bound = lambda y: self.record(f.type.name, y, at) if f.type.name in self.c.records else self.bind(f.type, y, at)
+            return self.hold(raw, lambda y: self.hold(bound(y), lambda b: self._shown(r.kind, f, y, b, at)))
+
+        def read(held: Column) -> Column:
+            raws = [F.coalesce(*[F.try_element_at(held, F.lit(n)) for n in f.inputs]) for f in r.fields]
+            fields = [field(f, raw).alias(f"f{i}") for i, (f, raw) in enumerate(zip(r.fields, raws, strict=True))]
+            return self.hold(F.struct(*fields), lambda found: joined(held, raws, found))
+
+        def joined(held: Column, raws: list[Column], found: Column) -> Column:
+            checked = self._checked(r, path or name, held.isNotNull(), held, raws, [found[f"f{i}"]["errors"] for i in range(len(raws))])
+            return F.struct(F.struct(*[found[f"f{i}"]["value"].alias(f.name) for i, f in enumerate(r.fields)]).alias("value"), checked.alias("errors"))
+
+        return self.hold(F.try_variant_get(x, "$", "map<string,variant>"), read)
 
 
 class TextBinder:

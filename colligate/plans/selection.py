@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+from .binding import once
+
 
 class QueryError(ValueError):
     """A path or filter that can't be compiled; .place is the character where it went wrong."""
@@ -277,7 +279,7 @@ def _indexes(c: _Cursor) -> Select:
             raise c.error("a range can't be negative")
         return lambda xs: F.flatten(F.transform(xs, lambda x: F.filter(items(x), lambda y, i: (i >= a) & (F.lit(True) if b is None else i < b))))
     picks = [_at(n) for n in numbers]
-    return picks[0] if len(picks) == 1 else lambda xs: F.concat(*[p(xs) for p in picks])
+    return picks[0] if len(picks) == 1 else lambda xs: once(xs, lambda held: F.concat(*[p(held) for p in picks]))
 
 
 def _filtered(c: _Cursor, begin: int) -> Select:

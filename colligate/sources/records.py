@@ -30,8 +30,7 @@ def from_variant(df: DataFrame, value: Column, contract: Contract, type_name: st
         df = df.withColumn("cg_item", F.col("cg_value"))
     else:
         raise ValueError(select)
-    bound = VariantBinder(contract, exact, reject_unknown).record(type_name, F.col("cg_item"))
-    df = df.withColumns({"record": bound.value, "errors": bound.errors}).drop("cg_value", "cg_item")
+    df = VariantBinder(contract, exact, reject_unknown).bound(df, "cg_item", type_name).drop("cg_value")
     return admitted(df, mode)
 
 

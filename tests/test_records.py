@@ -159,3 +159,17 @@ def test_deep_equality(spark):
         df = spark.createDataFrame([(a, b, w) for a, b, w in pairs], "a array<string>, b array<string>, wanted boolean")
         same, hashes = same_value(C, ref, F.col("a"), F.col("b")), [value_hash(C, ref, F.col(c)) for c in "ab"]
         assert df.where((same != F.col("wanted")) | ((hashes[0] == hashes[1]) != F.col("wanted"))).count() == 0
+
+
+def test_a_record_is_parsed_and_bound_once(spark):
+    """A filter on what was bound carries no copy of the binding below it, and parts of a record are looked up once."""
+    contract = parse_schema("message Inner { int32 n; } message Props { uint32 k; Inner inner; list<int32> sizes; optional Inner more; }")
+    text = raw(spark, '{"k":1,"inner":{"n":2},"sizes":[3]}', '{"k":-1,"inner":{"n":2},"sizes":[3]}', '{"k":1,"inner":{"n":"x"},"sizes":[3.5]}', '{"k":4294967295,"inner":{"n":"7"},"sizes":["3",4.0]}', "[]", "no", '{"k":1,"inner":null,"sizes":{}}')
+    kept = sources.read_json(text, "raw", contract, "Props", mode="drop").where("record.k > 0")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count('$["k"]') == 1 and plan.count('$["inner"]') == 1
+    assert sorted((r.record.k, r.record.inner.n, r.record.sizes) for r in kept.collect()) == [(1, 2, [3]), (4294967295, 7, [3, 4])]
+    wrong = {r.raw: [(e.path, e.message) for e in r.errors] for r in sources.read_json(text, "raw", contract, "Props", mode="quarantine").collect()}
+    assert wrong['{"k":1,"inner":{"n":"x"},"sizes":[3.5]}'] == [("inner.n", "is no int32"), ("sizes", "is no list<int32>")]
+    assert wrong['{"k":1,"inner":null,"sizes":{}}'] == [("inner", "is null"), ("sizes", "is no list<int32>")]
+    assert wrong["[]"] == wrong["no"] == [("Props", "is no object")] and wrong['{"k":-1,"inner":{"n":2},"sizes":[3]}'] == [("k", "is no uint32")]
