@@ -5,12 +5,11 @@ the local maxima of the Harris response, the strongest of all scales, one for ev
 at least. A corner's orientation is the direction of its patch's intensity centroid, and its descriptor are
 256 comparisons of smoothed pixel pairs, rotated to that orientation. A Hamming table for each of BANDS parts
 of the descriptor joins the query side with the indexed side; the query side also looks up the parts with one
-of its FLIPS least certain bits turned. A part that more than COMMON indexed corners have (edges of plain
-areas look alike everywhere) is only looked up together with each other part of the corner, in tables of such
-pairs, so that no table row meets all that look alike. Descriptors that differ in fewer than BANDS bits share a
-part, those that differ in fewer than BANDS - 1 bits two. Matches that differ in more than MOST_BITS bits are
-dropped. Of the
-matches between two images those are consensus that agree on scale, rotation and shift; a pair with
+of its FLIPS least certain bits turned. Of the corners that share a part that more than COMMON indexed corners
+have (edges of plain areas look alike everywhere), lists of at most EACH are joined, and their pairs are compared
+by all their bits where the lists meet: as exact as a join of corners, without a row for each pair. Descriptors
+that differ in fewer than BANDS bits share a part. Matches that differ in more than MOST_BITS bits
+are dropped. Of the matches between two images those are consensus that agree on scale, rotation and shift; a pair with
 LEAST_INLIERS or more distinct corners in consensus is a copy.
 
 Only descriptors are shuffled, never images: every image is described where it is read, and of a class, the
@@ -33,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import bounded, freed, mixed, written
+from .shared import bounded, freed, texts, written
 
 SCALES = (1.0, 0.75, 0.5)
 LEAST_POINTS = 32
@@ -43,6 +42,10 @@ TESTS_EACH = 256
 BANDS = 8
 FLIPS = 4
 COMMON = 32
+#: Corners of a common part in one list, at most about so many.
+EACH = 1024
+#: Pairs of corners that are compared at once.
+AT_ONCE = 1 << 15
 MOST_BITS = 28
 LEAST_INLIERS = 5
 SEED = 11
@@ -162,47 +165,70 @@ def described(images: DataFrame, key: str, content: str) -> DataFrame:
     return kept.mapInArrow(rows, _DESCRIBED)
 
 
-def parts_of(images: DataFrame, probed: bool = False) -> DataFrame:
+def parts_of(images: DataFrame, probed: bool = False, whole: bool = False) -> DataFrame:
     """Of described images a row for each part of each corner: part (with the number of its table), id, version,
-    corner. probed: also for each part with one of its least certain bits turned."""
+    corner. probed: also for each part with one of its least certain bits turned. whole: with all bits of the corner."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
-            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), ">u4").reshape(-1, BANDS).astype(np.int64)
-            counts = np.array([len(x) * 8 // TESTS_EACH for x in batch.column("bits").to_pylist()], np.int64)
+            held = texts(batch.column("bits"))[0]
+            bits = held.view(">u4").reshape(-1, BANDS).astype(np.int64)
+            counts = np.diff(texts(batch.column("bits"))[1]) * 8 // TESTS_EACH
             parts = (bits | np.arange(BANDS, dtype=np.int64) << 32)[:, :, None]
             if probed:
-                close = np.frombuffer(b"".join(batch.column("close").to_pylist()), np.uint8).reshape(-1, BANDS, FLIPS).astype(np.int64)
+                close = texts(batch.column("close"))[0].reshape(-1, BANDS, FLIPS).astype(np.int64)
                 parts = np.concatenate([parts, parts ^ (1 << (31 - close))], 2)
             each = parts.shape[1] * parts.shape[2]
             first = np.repeat(np.cumsum(counts) - counts, counts)
             of, corner = pa.array(np.repeat(np.repeat(np.arange(len(counts)), counts), each)), np.arange(len(first)) - first
-            yield pa.RecordBatch.from_arrays([pa.array(parts.ravel()), batch.column("id").take(of), batch.column("version").take(of), pa.array(np.repeat(corner, each).astype(np.int32))], ["part", "id", "version", "corner"])
+            out = [pa.array(parts.ravel()), batch.column("id").take(of), batch.column("version").take(of), pa.array(np.repeat(corner, each).astype(np.int32))]
+            if whole:
+                width = TESTS_EACH // 8
+                data = np.repeat(held.reshape(-1, width), each, 0)
+                out.append(pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(np.arange(len(data) + 1, dtype=np.int32) * width), pa.py_buffer(data)]))
+            yield pa.RecordBatch.from_arrays(out, ["part", "id", "version", "corner", "bits"][: len(out)])
 
-    return images.select("id", "version", "bits", "close").mapInArrow(rows, "part long, id long, version int, corner int")
+    return images.select("id", "version", "bits", "close").mapInArrow(rows, "part long, id long, version int, corner int" + ", bits binary" * whole)
 
 
-def pairs_of(images: DataFrame) -> DataFrame:
-    """Of described images with common (corner and table of some parts) a row for each such part with each other
-    part of its corner: part (a hash of both with the numbers of their tables), id, version, corner."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = np.array([(i, j) for i in range(BANDS) for j in range(BANDS) if i != j]).reshape(BANDS, BANDS - 1, 2).transpose(2, 0, 1)
-        for batch in _few(batches):
-            lists = batch.column("common")
-            counts, held = np.diff(lists.offsets.to_numpy()), lists.flatten()
-            bits = [np.frombuffer(x, ">u4").reshape(-1, BANDS).astype(np.uint64) for x in batch.column("bits").to_pylist()]
-            first = np.cumsum([len(b) for b in bits]) - [len(b) for b in bits]
-            of = np.repeat(np.arange(len(counts)), counts)
-            corner, table = (held.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("corner", "table"))
-            own = np.concatenate(bits)[first[of] + corner] | np.arange(BANDS, dtype=np.uint64) << np.uint64(32)
-            a, b = np.take_along_axis(own, one[table], 1), np.take_along_axis(own, two[table], 1)
-            # the same for a pair whichever of both is common
-            keys = mixed(mixed(np.minimum(a, b)) + np.maximum(a, b)).view(np.int64)
-            at = pa.array(np.repeat(of, BANDS - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("id").take(at), batch.column("version").take(at), pa.array(np.repeat(corner, BANDS - 1).astype(np.int32))], ["part", "id", "version", "corner"])
-
-    return images.select("id", "version", "bits", "common").mapInArrow(rows, "part long, id long, version int, corner int")
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two lists of corners the pairs that differ in at most MOST_BITS bits."""
+    names = ["query", "version", "corner", "class_id", "version2", "corner2"]
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one, two = (batch.column(c).slice(i, 1).flatten() for c in ("asked", "held"))
+            bits, bits2 = (texts(x.field("bits"))[0].view(np.uint64).reshape(len(x), -1) for x in (one, two))
+            step = max(1, AT_ONCE // len(two))
+            near = []
+            for at in range(0, len(one), step):
+                apart = np.zeros((len(bits[at : at + step]), len(two)), np.int32)
+                for k in range(bits.shape[1]):
+                    apart += np.bitwise_count(bits[at : at + step, k, None] ^ bits2[None, :, k])
+                near.append(np.argwhere(apart <= MOST_BITS) + (at, 0))
+            near = np.concatenate(near)
+            if len(near):
+                found = (x.field(c).take(pa.array(near[:, k])) for k, x in enumerate((one, two)) for c in ("id", "version", "corner"))
+                yield pa.RecordBatch.from_arrays(list(found), names)
+
+
+def _met_at_common(asked: DataFrame, indexed: DataFrame, common: DataFrame) -> DataFrame:
+    """query, version, corner, class_id, version2, corner2 of the corners that share one of the common parts and
+    differ in at most MOST_BITS bits; common: part, count (of indexed corners)."""
+    spark = indexed.sparkSession
+    dealt = lambda n: F.ceil(n / EACH).cast("int")
+    mine = parts_of(asked, probed=True).join(common, "part").groupBy("part").agg(F.count("*").alias("m"), F.first("count").alias("n"))
+    mine = written(mine.select("part", dealt(F.col("m")).alias("lists"), dealt(F.col("n")).alias("lists2")), spark)
+
+    def lists(corners: DataFrame, name: str, n: str) -> DataFrame:
+        of = F.pmod(F.xxhash64("id", "version", "corner"), F.col(n)).cast("int").alias(name)
+        each = corners.join(mine, "part").select("part", "lists", of, F.struct("id", "version", "corner", "bits").alias("c"))
+        return each.groupBy("part", name).agg(F.collect_list("c").alias("corners"), F.first("lists").alias("lists"))
+
+    one = lists(parts_of(asked, probed=True, whole=True), "list", "lists").select("part", "list", F.col("corners").alias("asked"))
+    two = lists(parts_of(indexed, whole=True), "list2", "lists2")
+    two = two.select("part", F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("list"), F.col("corners").alias("held"))
+    both = one.join(two, ["part", "list"]).select("asked", "held")
+    return both.mapInArrow(_compared, "query long, version int, corner int, class_id long, version2 int, corner2 int")
 
 
 def consensus(a: np.ndarray, b: np.ndarray) -> int:
@@ -245,17 +271,12 @@ def _copies(asked: DataFrame, images: DataFrame) -> DataFrame:
     """asked, images: described and written. query, class_id, inliers."""
     spark = images.sparkSession
     indexed = freed(written(_first_of_class(images), spark))
-    common = written(parts_of(indexed).groupBy("part").count().where(F.col("count") > COMMON).select("part"), spark)
-
-    def paired(described: DataFrame) -> DataFrame:
-        own = parts_of(described).join(common, "part", "left_semi")
-        own = own.groupBy("id", "version").agg(F.collect_set(F.struct("corner", F.shiftright("part", 32).cast("int").alias("table"))).alias("common"))
-        return pairs_of(described.dropDuplicates(["id", "version"]).join(own, ["id", "version"]))
-
-    second = lambda parts: parts.select("part", F.col("id").alias("class_id"), F.col("version").alias("version2"), F.col("corner").alias("corner2"))
-    met = parts_of(asked, probed=True).withColumnRenamed("id", "query").join(second(parts_of(indexed).join(common, "part", "left_anti")), "part")
-    both = paired(asked).distinct().withColumnRenamed("id", "query").join(second(paired(indexed).distinct()), "part")
-    met = met.union(both).groupBy("query", "version", "class_id", "version2").agg(F.collect_set(F.struct("corner", "corner2")).alias("m"))
+    common = written(parts_of(indexed).groupBy("part").count().where(F.col("count") > COMMON), spark)
+    rare = parts_of(indexed).join(common, "part", "left_anti")
+    rare = rare.select("part", F.col("id").alias("class_id"), F.col("version").alias("version2"), F.col("corner").alias("corner2"))
+    met = parts_of(asked, probed=True).withColumnRenamed("id", "query").join(rare, "part").drop("part")
+    met = met.unionByName(_met_at_common(asked, indexed, common))
+    met = met.groupBy("query", "version", "class_id", "version2").agg(F.collect_set(F.struct("corner", "corner2")).alias("m"))
     met = freed(written(met.where(F.size("m") >= LEAST_INLIERS), spark))
     one = asked.select(F.col("id").alias("query"), "version", "points", "bits").dropDuplicates(["query", "version"])
     two = indexed.select(F.col("id").alias("class_id"), F.col("version").alias("version2"), F.col("points").alias("points2"), F.col("bits").alias("bits2"))

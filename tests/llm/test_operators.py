@@ -118,6 +118,27 @@ def test_images_with_common_parts(spark, vectors, monkeypatch):
     assert found == {(q, q + k) for q in (0, 4, 8) for k in (0, 100)}
 
 
+@pytest.mark.parametrize("each", [1024, 16])
+def test_images_that_share_one_common_part_only(spark, monkeypatch, each):
+    """Corners whose single shared part is common, and that have no second one in common, still meet."""
+    monkeypatch.setattr(image_copies, "EACH", each)
+    monkeypatch.setattr(image_copies, "AT_ONCE", 64)
+    rng = np.random.default_rng(8)
+    points = np.column_stack([rng.uniform(0, 90, (6, 2)), np.ones(6), np.zeros(6)]).astype(np.float32)
+    held, asked = [], []
+    for i in range(40):
+        bits = rng.integers(0, 256, (6, 32), np.uint8)
+        bits[:, :4] = 7
+        other = bits.reshape(6, 8, 4).copy()
+        other[:, 1:, 0] ^= 3  # two bits in each part but the first
+        close = np.tile(np.arange(20, 24, dtype=np.uint8), 48)
+        row = lambda b: (i, bytearray([i]), i, bytearray(points.tobytes()), bytearray(b.tobytes()), bytearray(close.tobytes()))  # noqa: B023, E731
+        held.append(row(bits))
+        asked.append(row(other))
+    asked, held = (spark.createDataFrame(x, image_copies._DESCRIBED) for x in (asked, held))
+    assert {(r["query"], r.class_id, r.inliers) for r in image_copies._copies(asked, held).collect()} == {(i, i, 6) for i in range(40)}
+
+
 @pytest.mark.parametrize("change, least", [("turned", 0.9), ("smaller", 0.8), ("crop", 0.8), ("noisy", 0.9)])
 def test_images_of_other_sizes_and_angles(spark, change, least):
     rng = np.random.default_rng(4)
