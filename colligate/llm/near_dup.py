@@ -15,7 +15,9 @@ by level:
 
 Documents that only share a frequent passage part on the way: a path keeps a pair of similarity s with
 probability s ** STEPS. In a node that is still large and mixed after LEVELS levels, the members outside of
-its largest component are compared with all others.
+its largest component are compared with all others: the texts of a node go to one place, or to one for each two
+of its lists of EACH members, and the tokens that every two of them share are counted there. Links alone leave it,
+so there is no row for a pair, and each text is sent once a node and list.
 
 Recall: a pair of similarity s shares no node in TREES trees with probability (1 - s) ** TREES, 6e-8 at
 0.75. Where all of its nodes stay large and mixed, it branches LEVELS times, and all of its BRANCHES ** LEVELS
@@ -53,6 +55,11 @@ BRANCHES = 3
 STEPS = 3
 LEVELS = 2
 PIVOTS = 8
+#: Members of a node, and bytes of their texts, in one list; about, as they are dealt by hash.
+EACH = 1024
+LIST_BYTES = 4 << 20
+#: Tokens of more members than this are counted by matrices.
+RARE = 32
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +148,47 @@ def _confirmed(percent: int):
     return rows
 
 
+def shared_tokens(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sets of distinct tokens, one after the other. How many each two of them have in common."""
+    n = len(offsets) - 1
+    order = np.argsort(sets, kind="stable")
+    of, tokens = np.repeat(np.arange(n), np.diff(offsets))[order], sets[order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(tokens)))
+    out = np.zeros((n, n), np.int32)
+    # every place of a token with all places of it
+    few = (counts > 1) & (counts <= RARE)
+    places, start, each = spread(first[few], counts[few]), np.repeat(first[few], counts[few]), np.repeat(counts[few], counts[few])
+    for k in range(0, len(places), 1 << 16):
+        here = slice(k, k + (1 << 16))
+        met = np.repeat(of[places[here]], each[here]) * n + of[spread(start[here], each[here])]
+        out += np.bincount(met, minlength=n * n).reshape(n, n).astype(np.int32)
+    first, counts = first[counts > RARE], counts[counts > RARE]
+    for k in range(0, len(first), 1024):
+        a, c = first[k : k + 1024], counts[k : k + 1024]
+        has = np.zeros((n, len(a)), np.float32)
+        has[of[spread(a, c)], np.repeat(np.arange(len(a)), c)] = 1
+        out += (has @ has.T).astype(np.int32)
+    return out
+
+
+def _within(percent: int):
+    def links(members: pa.Table) -> pa.Table:
+        rep, component, inside = (members.column(c).to_numpy() for c in ("rep", "component", "inside"))
+        found = [shingle_sets(b.column("text")) for b in blocks(members.select(["text"]).to_batches(), "text")]
+        sizes = np.concatenate([np.diff(o) for _, o in found])
+        both = shared_tokens(np.concatenate([x for x, _ in found]), np.concatenate([[0], np.cumsum(sizes)]))
+        out = []
+        for i in np.flatnonzero(~inside):
+            c = both[i].astype(np.int64)
+            near = (c > 0) & (100 * c >= percent * (sizes[i] + sizes - c)) & (component != component[i])
+            out.append(np.stack([np.minimum(rep[i], rep[near]), np.maximum(rep[i], rep[near])], 1))
+        u, v = np.unique(np.concatenate(out), axis=0).T if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return links
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text", agree: int = AGREE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and n_links (confirmed links of its class) for every row."""
     spark = bounded(docs.sparkSession)
@@ -191,7 +239,7 @@ def _links(spark, docs: DataFrame, classes: DataFrame, percent: int, agree: int)
             of = written(components(links), spark)
             left = written(_mixed(left, of), spark)
         if level == LEVELS:
-            return links.union(_verified(_rest(left), sampled, played, percent, agree))
+            return links.union(_rest(left, played, percent))
         if level and left.isEmpty():
             return links
         small = left.where(f"size <= {SMALL}").select("node", "rep")
@@ -271,13 +319,19 @@ def _mixed(nodes: DataFrame, of: DataFrame) -> DataFrame:
     return own.join(mixed_, "node").select("node", "rep", "component", "size", "main", "outside")
 
 
-def _rest(left: DataFrame) -> DataFrame:
-    """Pairs of different components of a node, one of them outside of its largest."""
-    inside = F.col("component") == F.col("main")
-    one = left.where(~inside).select("node", F.col("rep").alias("a"), F.col("component").alias("of"))
-    two = left.select("node", F.col("rep").alias("b"), F.col("component").alias("other"), inside.alias("inside"))
-    met = one.join(two, "node").where("of <> other and (inside or a < b)")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _rest(left: DataFrame, played: DataFrame, percent: int) -> DataFrame:
+    """Links u, v between different components of a node, one of them outside of its largest."""
+    members = left.select("node", "rep", "component", (F.col("component") == F.col("main")).alias("inside"))
+    sizes = played.select(F.col("doc_id").alias("sized"), F.octet_length("text").alias("bytes"))
+    sizes = members.select("node", "rep").join(sizes, F.col("rep") == F.col("sized")).groupBy("node").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    lists = F.ceil(F.greatest(F.col("n") / EACH, F.col("bytes") / LIST_BYTES, F.lit(1))).cast("int")
+    dealt = sizes.select("node", lists.alias("lists")).where("lists > 1")
+    members = members.join(dealt, "node", "left").withColumn("lists", F.coalesce("lists", F.lit(1)))
+    own, other = F.pmod(F.xxhash64("rep", "node"), F.col("lists")), F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("other")
+    members = members.select("node", "rep", "component", "inside", own.cast("int").alias("own"), other)
+    members = members.select("node", "rep", "component", "inside", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    members = members.join(played.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    return members.groupBy("node", "one", "two").applyInArrow(_within(percent), "u long, v long").distinct()
 
 
 def _all_pairs(nodes: DataFrame) -> DataFrame:

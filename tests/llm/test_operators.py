@@ -183,6 +183,33 @@ def test_image_query_returns_every_member(spark, tmp_path):
     assert sum(r.image is not None for r in found) == 12
 
 
+@pytest.mark.parametrize("each, size", [(1024, 4 << 20), (8, 4 << 20), (1024, 3000)])
+def test_large_mixed_nodes_make_no_row_for_a_pair(spark, monkeypatch, each, size):
+    """Members outside of a node's largest component meet all others, and only links come out."""
+    monkeypatch.setattr(near_dup, "EACH", each)
+    monkeypatch.setattr(near_dup, "LIST_BYTES", size)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.choice([2, 3, 5])):
+            w[rng.randrange(len(w))] = f"e{i}{rng.random()}"
+        texts.append((i, " ".join(w)))
+    texts += [(60, None), (3, "other words that stand for a second row of one document")]
+    sets = [(i, {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}) for i, t in texts if t]
+    component = lambda i: 100 if i % 3 == 0 else i
+    near = lambda a, b: len(a & b) and 100 * len(a & b) >= 75 * len(a | b)
+    wanted = {(i, j) for i, a in sets for j, b in sets if i < j and component(i) != component(j) and near(a, b)}
+    assert 20 < len(wanted) < 60 * 59 // 2 * 0.9
+    left = spark.createDataFrame([(n, i, component(i), 60, 100, 40) for i in range(61) for n in (5, 6)], "node long, rep long, component long, size long, main long, outside long")
+    played = spark.createDataFrame(texts, "doc_id long, text string")
+    found = near_dup._rest(left, played, 75)
+    assert {(r.u, r.v) for r in found.collect()} == wanted
+    # the rows that are compared are those of members, not of pairs
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_personal_data(spark, docs, rows):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     digits = lambda s: re.sub(r"[^0-9]", "", s)
