@@ -36,6 +36,8 @@ SAMPLE_ROWS = 40_000
 SEED = 20231
 BLOCK_ROWS = 256
 BLOCK_BYTES = 1 << 20
+#: Trigrams whose vectors are held at once.
+TRIGRAMS = 1024
 UNKNOWN = "und"
 
 
@@ -84,7 +86,11 @@ def text_vectors(batch: list[str]) -> np.ndarray:
         return np.zeros((len(batch), DIMENSIONS), np.float32)
     column = np.cumsum(present) - 1
     counts = np.bincount(of * len(active) + column[trigram], minlength=len(batch) * len(active))
-    return counts.reshape(len(batch), len(active)).astype(np.float32) @ trigram_vectors(active)
+    counts = counts.reshape(len(batch), len(active))
+    out = np.zeros((len(batch), DIMENSIONS), np.float32)
+    for k in range(0, len(active), TRIGRAMS):  # whole numbers: the sums are the same however they are cut
+        out += counts[:, k : k + TRIGRAMS].astype(np.float32) @ trigram_vectors(active[k : k + TRIGRAMS])
+    return out
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:

@@ -210,6 +210,17 @@ def test_large_mixed_nodes_make_no_row_for_a_pair(spark, monkeypatch, each, size
     assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_vectors_of_few_trigrams_are_held_at_once(monkeypatch):
+    rng = random.Random(5)
+    batch = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(4000)) for _ in range(4)] + [""]
+    held, plain = [], language_id.trigram_vectors
+    monkeypatch.setattr(language_id, "trigram_vectors", lambda t: held.append(len(t)) or plain(t))
+    found = language_id.text_vectors(batch)
+    assert len(held) > 1 and max(held) <= 1024
+    monkeypatch.setattr(language_id, "TRIGRAMS", 1 << 30)
+    assert (language_id.text_vectors(batch) == found).all()
+
+
 def test_personal_data(spark, docs, rows):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     digits = lambda s: re.sub(r"[^0-9]", "", s)
