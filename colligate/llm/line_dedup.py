@@ -39,8 +39,9 @@ HOT_SHARE = 1 / 4096
 #: A token with fewer lines than this isn't hot, however small the table.
 HOT_LEAST = 1024
 SALTS = 64
-#: Lines that meet all earlier ones of a token in one task.
-OPEN_EACH = 256
+#: Lines of a token, and shingles of theirs, in one list; about, as they are dealt by hash.
+EACH = 512
+EACH_SHINGLES = 1 << 16
 #: Steps of rarity for each doubling of a count, so that 11 bits hold any count.
 STEPS = 32
 NULL_KEY = -(1 << 63)
@@ -118,7 +119,11 @@ def _prefixes(lines: DataFrame, counts: np.ndarray) -> DataFrame:
 
 def _allowed(a: str, b: str) -> Column:
     """Length and positional filter on structs with n and pos at a shared token."""
-    n1, n2, p1, p2 = (F.col(f"{x}.{y}") for y in ("n", "pos") for x in (a, b))
+    return _allowed_of(F.col(a), F.col(b))
+
+
+def _allowed_of(a: Column, b: Column) -> Column:
+    n1, n2, p1, p2 = a.n, b.n, a.pos, b.pos
     most = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
     return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * most >= 3 * (n1 + n2))
 
@@ -179,25 +184,57 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """doc, number of the lines that are similar to the earlier line they are paired with."""
     spark = lines.sparkSession
     met = pairs.select("doc", "number").union(pairs.select("a_doc", "a_number")).distinct()
-    sets = written(with_shingles(lines.join(met, ["doc", "number"], "left_semi")), spark)
-    other = sets.select(F.col("doc").alias("a_doc"), F.col("number").alias("a_number"), F.col("shingles").alias("theirs"))
-    both = pairs.join(sets, ["doc", "number"]).join(other, ["a_doc", "a_number"])
-    both = both.select("doc", "number", F.size("shingles").alias("n"), F.size("theirs").alias("m"), F.size(F.array_intersect("shingles", "theirs")).alias("c"))
-    return both.where("100 * c >= 75 * (n + m - c)").select("doc", "number").distinct()
+    met = freed(written(lines.join(met, ["doc", "number"], "left_semi"), spark))
+    # texts are shorter than their sets of hashes
+    other = met.select(F.col("doc").alias("a_doc"), F.col("number").alias("a_number"), F.col("line").alias("theirs"))
+    both = pairs.join(met, ["doc", "number"]).join(other, ["a_doc", "a_number"]).select("doc", "number", "line", "theirs")
+    both = with_shingles(both).withColumnsRenamed({"shingles": "a", "theirs": "line"})
+    both = with_shingles(both).withColumnRenamed("shingles", "b")
+    # out of a generator: a filter isn't pushed below it, with a copy of the sets for each use
+    found = both.select(F.explode_outer(F.array(F.struct("doc", "number", _similar(F.col("a"), F.col("b")).alias("similar")))).alias("p"))
+    return found.where("p.similar").select("p.doc", "p.number").distinct()
+
 
+def _similar(a: Column, b: Column) -> Column:
+    """Whether 100 c >= 75 (n + m - c), for sets of n and m that share c."""
+    return 175 * F.size(F.array_intersect(a, b)) >= 75 * (F.size(a) + F.size(b))
 
-def _all_earlier(open_: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs of open lines (doc, number, token) with all earlier lines of their tokens.
 
-    The open lines of a token are dealt to a task for each OPEN_EACH of them, which its other lines all go to.
+def _near_earlier(open_: DataFrame, members: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc, number of the open lines (doc, number, token) that are similar to any earlier line of their tokens.
+
+    The open lines of a token and all its lines are dealt to lists of about EACH lines or EACH_SHINGLES
+    shingles; a task has one of either, with the sets, and only lines that go leave it: there is no row for a pair.
     """
-    dealt = open_.groupBy("token").agg(F.ceil(F.count("*") / OPEN_EACH).cast("int").alias("tasks"))
-    at = members.select("token", "doc", "number", "n", "pos").join(dealt, "token")
-    here = at.join(open_, ["doc", "number", "token"], "left_semi").distinct()
-    here = here.select("token", F.pmod(F.xxhash64("doc", "number"), F.col("tasks")).cast("int").alias("task"), F.struct("doc", "number", "n", "pos").alias("b"))
-    there = at.select("token", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.struct("doc", "number", "n", "pos").alias("a"))
-    rest = here.join(there, ["token", "task"]).where("struct(a.doc, a.number) < struct(b.doc, b.number)").where(_allowed("b", "a"))
-    return rest.select("b.doc", "b.number", F.col("a.doc").alias("a_doc"), F.col("a.number").alias("a_number")).distinct()
+    spark = lines.sparkSession
+    marked = members.select("token", "doc", "number", "n", "pos").distinct()
+    marked = marked.join(open_.withColumn("open", F.lit(True)), ["token", "doc", "number"], "left")
+    is_open = F.col("open").isNotNull()
+    lists = lambda rows, size: F.ceil(F.greatest(rows / EACH, size / EACH_SHINGLES)).cast("int")
+    dealt = marked.groupBy("token").agg(
+        lists(F.count("open"), F.sum(F.when(is_open, F.col("n")))).alias("tasks"),
+        lists(F.count("*"), F.sum("n")).alias("lists"),
+        F.max(F.when(is_open, F.struct("doc", "number"))).alias("last"),
+        F.min(F.when(is_open, F.col("n"))).alias("least"),
+        F.max(F.when(is_open, F.col("n"))).alias("most"),
+    )
+    at = marked.join(dealt.where("last is not null"), "token")
+    near = (4 * F.col("n") >= 3 * F.col("least")) & (3 * F.col("n") <= 4 * F.col("most"))
+    at = written(at.where(near & (F.struct("doc", "number") <= F.col("last"))).drop("last", "least", "most"), spark)
+    met = at.select("doc", "number").distinct()
+    met = freed(written(lines.join(met, ["doc", "number"], "left_semi"), spark))
+    at = at.join(met, ["doc", "number"])
+    of = lambda c: F.pmod(F.xxhash64("doc", "number"), F.col(c)).cast("int")
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    holds = F.transform(every("tasks"), lambda t: F.struct(F.lit(False).alias("asks"), t.alias("task"), of("lists").alias("list")))
+    asks = F.transform(every("lists"), lambda x: F.struct(F.lit(True).alias("asks"), of("tasks").alias("task"), x.alias("list")))
+    cells = at.select("token", "doc", "number", "n", "pos", "line", F.explode(F.when(is_open, F.concat(holds, asks)).otherwise(holds)).alias("cell"))
+    cells = with_shingles(cells.select("token", "cell.*", F.struct("doc", "number", "n", "pos").alias("at"), "line"))
+    both = cells.select("token", "task", "list", "asks", F.struct("at.*", "shingles").alias("x")).groupBy("token", "task", "list")
+    both = both.agg(F.collect_list(F.when(F.col("asks"), F.col("x"))).alias("asked"), F.collect_list(F.when(~F.col("asks"), F.col("x"))).alias("held"))
+    meets = lambda b, a: (F.struct(a.doc, a.number) < F.struct(b.doc, b.number)) & _allowed_of(b, a) & _similar(b.shingles, a.shingles)
+    gone = F.filter("asked", lambda b: F.exists("held", lambda a: meets(b, a)))
+    return both.select(F.explode_outer(gone).alias("b")).where("b is not null").select("b.doc", "b.number").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -215,8 +252,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     open_ = written(members.where(f"kind = {OPEN}").select("doc", "number", "token").join(near, ["doc", "number"], "left_anti").distinct(), spark)
     if open_.isEmpty():
         return gone
-    rest = freed(written(_all_earlier(open_, members), spark))
-    return gone.union(written(_verified(rest, lines), spark))
+    return gone.union(freed(written(_near_earlier(open_, members, lines), spark)))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:

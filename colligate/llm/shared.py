@@ -39,7 +39,7 @@ def work_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, spark: SparkSession) -> DataFrame:
     """The same rows from Parquet in the shared folder: cuts lineage and survives lost executors."""
     schema, path = df.schema, work_dir(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(schema).parquet(path)
 
 

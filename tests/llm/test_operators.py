@@ -560,3 +560,29 @@ def test_lines_of_hot_tokens_meet_across_salts(spark, monkeypatch):
         monkeypatch.setattr(line_dedup, "SALTS", salts)
         found = line_dedup.dedup_lines(spark.createDataFrame(held, "doc_id long, text string")).collect()
         assert {r.doc_id: r.n_removed for r in found if r.n_removed} == wanted, salts
+
+
+def test_open_lines_meet_in_lists_without_a_row_for_a_pair(spark, monkeypatch):
+    """Lines of one shared shingle that are mostly below the threshold; rows between steps don't grow with their square."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    base = [word() for _ in range(24)]
+    held = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(6, 24), rng.choice((1, 2, 2, 2))):
+            w[k] = word()
+        held.append((i, " ".join(w)))
+    wanted = {d: len(n) for d, n in brute.lines(held).items() if n}
+    most = []
+
+    def counted(df, session):
+        out = written(df, session)
+        most.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    monkeypatch.setattr(line_dedup, "EACH", 40, raising=False)
+    found = line_dedup.dedup_lines(spark.createDataFrame(held, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in found if r.n_removed} == wanted
+    assert max(most) < 40 * len(held)
