@@ -4,8 +4,8 @@ A document's set are its distinct five-word shingles. Documents of equal sets fo
 stands for it. Each of TREES independent trees deals the classes to nodes by one minwise token. Then, level
 by level:
 
-* every member of a node is compared with one member of it, another in each node, and links are confirmed
-  on full sets;
+* every member of a node is compared with one member of it, another in each node, unless they are connected
+  already, and links are confirmed on full sets;
 * classes that are connected need no further comparison with each other, so a node is done when all its
   members are connected. At the first level, where most members of a node are, the others are compared with
   PIVOTS of those;
@@ -225,8 +225,7 @@ def _links(spark, docs: DataFrame, classes: DataFrame, percent: int, agree: int)
             # texts of documents that share a node with another one, from here on the only ones that are read
             ids = nodes.select(F.col("rep").alias("doc_id")).distinct()
             played = freed(written(docs.join(ids, "doc_id", "left_semi"), spark))
-        firsts = nodes.groupBy("node").agg(F.min_by("rep", F.xxhash64("rep", "node")).alias("first"))
-        pairs = nodes.join(firsts, "node").where("rep <> first").select(F.least("first", "rep").alias("a"), F.greatest("first", "rep").alias("b"))
+        pairs = _with_first(nodes)
         if small is not None:
             pairs = pairs.union(_all_pairs(_mixed(small, of)))
         found = freed(written(_verified(pairs, sampled, played, percent, agree), spark))
@@ -276,6 +275,13 @@ def _joined(of: DataFrame, links: DataFrame) -> DataFrame:
     return written(every.join(better, "component", "left").select("node", F.coalesce("better", "component").alias("component")), spark)
 
 
+def _with_first(nodes: DataFrame) -> DataFrame:
+    """Pairs a, b of a member of each node with its members of other components."""
+    firsts = nodes.groupBy("node").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "node")).alias("first"))
+    other = nodes.join(firsts, "node").where("component <> first.component")
+    return other.select(F.least("first.rep", "rep").alias("a"), F.greatest("first.rep", "rep").alias("b"))
+
+
 def _with_pivots(large: DataFrame) -> DataFrame:
     """Pairs a, b of members outside of a node's largest component, where that has most members, and PIVOTS of its."""
     most = large.where("2 * outside < size")

@@ -507,6 +507,17 @@ def test_near_duplicates_lose_few_links_over_all_branchings(spark):
     assert n - met.select("pair").distinct().count() <= 4
 
 
+def test_connected_members_are_not_compared_again(spark):
+    """Members of the first one's component make no pair; those of each other component do."""
+    rows = [(1, r, 10 if r < 40 else r) for r in range(10, 50)] + [(2, 60, 60), (2, 61, 61)]
+    nodes = spark.createDataFrame(rows, "node long, rep long, component long")
+    of = {r: c for _, r, c in rows}
+    pairs = [(r.a, r.b) for r in near_dup._with_first(nodes).collect()]
+    assert all(a < b and of[a] != of[b] for a, b in pairs) and (60, 61) in pairs
+    met = {x for p in pairs for x in p}
+    assert met >= set(range(40, 50)) and len(pairs) in (11, 40)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (20, 20)] + [(i, i + 1) for i in range(100, 140)]
     found = components.components(spark.createDataFrame(links, "u long, v long"))
