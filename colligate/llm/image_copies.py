@@ -14,8 +14,9 @@ LEAST_INLIERS or more distinct corners in consensus is a copy.
 
 Only descriptors are shuffled, never images: every image is described where it is read, and of a class, the
 images with equal bytes, the descriptors of its least id enter the tables, so a group of copies of any size
-adds one image. The tables hold the part and the corner's number; points and bits are fetched for the pairs
-of images that share LEAST_INLIERS parts.
+adds one image. The tables hold the part, the corner's number and the bits of the next four parts, so
+that corners that share a part by chance make no row; points and all bits are fetched for the pairs of images that share
+LEAST_INLIERS parts.
 
 Null, empty or unreadable images have no corners and no copies. Images without corners match nothing. Rows
 with a null id are left out. Rows that repeat are one image; different images of one id are described each,
@@ -165,9 +166,10 @@ def described(images: DataFrame, key: str, content: str) -> DataFrame:
     return kept.mapInArrow(rows, _DESCRIBED)
 
 
-def parts_of(images: DataFrame, probed: bool = False, whole: bool = False) -> DataFrame:
+def parts_of(images: DataFrame, probed: bool = False, whole: bool = False, sketched: bool = False) -> DataFrame:
     """Of described images a row for each part of each corner: part (with the number of its table), id, version,
-    corner. probed: also for each part with one of its least certain bits turned. whole: with all bits of the corner."""
+    corner. probed: also for each part with one of its least certain bits turned. whole: with all bits of the corner. sketched: with u, v, the bits of the
+    next four parts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
@@ -186,9 +188,23 @@ def parts_of(images: DataFrame, probed: bool = False, whole: bool = False) -> Da
                 width = TESTS_EACH // 8
                 data = np.repeat(held.reshape(-1, width), each, 0)
                 out.append(pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(np.arange(len(data) + 1, dtype=np.int32) * width), pa.py_buffer(data)]))
-            yield pa.RecordBatch.from_arrays(out, ["part", "id", "version", "corner", "bits"][: len(out)])
+            if sketched:
+                for k in (1, 3):
+                    next_ = np.roll(bits, -k, 1) << 32 | np.roll(bits, -k - 1, 1)
+                    out.append(pa.array(np.repeat(next_.ravel(), parts.shape[2])))
+            yield pa.RecordBatch.from_arrays(out, ["part", "id", "version", "corner", *["bits"] * whole, *["u", "v"] * sketched])
 
-    return images.select("id", "version", "bits", "close").mapInArrow(rows, "part long, id long, version int, corner int" + ", bits binary" * whole)
+    return images.select("id", "version", "bits", "close").mapInArrow(rows, "part long, id long, version int, corner int" + ", bits binary" * whole + ", u long, v long" * sketched)
+
+
+def _met_at_rare(asked: DataFrame, indexed: DataFrame, common: DataFrame) -> DataFrame:
+    """query, version, corner, class_id, version2, corner2 of the corners that share a part that isn't common, and of
+    whose next four parts at most MOST_BITS bits differ, as do no more of those that match."""
+    rare = parts_of(indexed, sketched=True).join(common, "part", "left_anti")
+    rare = rare.select("part", F.col("id").alias("class_id"), F.col("version").alias("version2"), F.col("corner").alias("corner2"), F.col("u").alias("u2"), F.col("v").alias("v2"))
+    apart = F.bit_count(F.col("u").bitwiseXOR(F.col("u2"))) + F.bit_count(F.col("v").bitwiseXOR(F.col("v2")))
+    met = parts_of(asked, probed=True, sketched=True).withColumnRenamed("id", "query").join(rare, "part").where(apart <= MOST_BITS)
+    return met.select("query", "version", "corner", "class_id", "version2", "corner2")
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,10 +288,7 @@ def _copies(asked: DataFrame, images: DataFrame) -> DataFrame:
     spark = images.sparkSession
     indexed = freed(written(_first_of_class(images), spark))
     common = written(parts_of(indexed).groupBy("part").count().where(F.col("count") > COMMON), spark)
-    rare = parts_of(indexed).join(common, "part", "left_anti")
-    rare = rare.select("part", F.col("id").alias("class_id"), F.col("version").alias("version2"), F.col("corner").alias("corner2"))
-    met = parts_of(asked, probed=True).withColumnRenamed("id", "query").join(rare, "part").drop("part")
-    met = met.unionByName(_met_at_common(asked, indexed, common))
+    met = _met_at_rare(asked, indexed, common).unionByName(_met_at_common(asked, indexed, common))
     met = met.groupBy("query", "version", "class_id", "version2").agg(F.collect_set(F.struct("corner", "corner2")).alias("m"))
     met = freed(written(met.where(F.size("m") >= LEAST_INLIERS), spark))
     one = asked.select(F.col("id").alias("query"), "version", "points", "bits").dropDuplicates(["query", "version"])

@@ -507,6 +507,19 @@ def test_near_duplicates_lose_few_links_over_all_branchings(spark):
     assert n - met.select("pair").distinct().count() <= 4
 
 
+def test_corners_that_share_a_part_by_chance_make_no_row(spark):
+    rng = random.Random(6)
+    one = rng.randbytes(32)
+    near, chance = bytearray(one), one[:4] + rng.randbytes(28)
+    near[9], near[30] = near[9] ^ 5, near[30] ^ 255
+    close = bytes(range(image_copies.FLIPS)) * image_copies.BANDS
+    schema = "id long, version int, bits binary, close binary"
+    asked = spark.createDataFrame([(1, 0, one, close)], schema)
+    indexed = spark.createDataFrame([(2, 0, bytes(near), close), (3, 0, chance, close)], schema)
+    none = spark.createDataFrame([], "part long, count long")
+    assert {r.class_id for r in image_copies._met_at_rare(asked, indexed, none).collect()} == {2}
+
+
 def test_connected_members_are_not_compared_again(spark):
     """Members of the first one's component make no pair; those of each other component do."""
     rows = [(1, r, 10 if r < 40 else r) for r in range(10, 50)] + [(2, 60, 60), (2, 61, 61)]
