@@ -14,10 +14,11 @@ by level:
   Members of a node's largest component only follow those of their paths that other members take too.
 
 Documents that only share a frequent passage part on the way: a path keeps a pair of similarity s with
-probability s ** STEPS. In a node that is still large and mixed after LEVELS levels, the members outside of
-its largest component are compared with all others: the texts of a node go to one place, or to one for each two
-of its lists of EACH members, and the tokens that every two of them share are counted there. Links alone leave it,
-so there is no row for a pair, and each text is sent once a node and list.
+probability s ** STEPS. In a node that is still large and mixed below the first level, and has up to BRANCHES lists
+of EACH members or is of the last level, the members outside of its largest component are compared with all others:
+the texts of a node go to one place, or to one for each two of its lists, and the tokens that every two of them share
+are counted there. Links alone leave it, so there is no row for a pair, and each text is sent once a node and list.
+Only larger nodes branch again, as their paths are fewer than their lists.
 
 Recall: a pair of similarity s shares no node in TREES trees with probability (1 - s) ** TREES, 6e-8 at
 0.75. Where all of its nodes stay large and mixed, it branches LEVELS times, and all of its BRANCHES ** LEVELS
@@ -237,12 +238,16 @@ def _links(spark, docs: DataFrame, classes: DataFrame, percent: int, agree: int)
             links = links.union(freed(written(_verified(pairs, sampled, played, percent, agree), spark)))
             of = written(components(links), spark)
             left = written(_mixed(left, of), spark)
-        if level == LEVELS:
-            return links.union(_rest(left, played, percent))
         if level and left.isEmpty():
             return links
-        small = left.where(f"size <= {SMALL}").select("node", "rep")
-        nodes = _branched(left.where(f"size > {SMALL}"), sampled)
+        if level == LEVELS:
+            return links.union(_rest(left, played, percent))
+        small, large = left.where(f"size <= {SMALL}").select("node", "rep"), left.where(f"size > {SMALL}")
+        if level:
+            # a text goes to no more lists of its node than a member has paths
+            found = freed(written(_rest(large.where(f"size <= {BRANCHES * EACH}"), played, percent), spark))
+            links, of, large = links.union(found), _joined(of, found), large.where(f"size > {BRANCHES * EACH}")
+        nodes = _branched(large, sampled)
 
 
 def _of_tree(node: Column, tree: Column) -> Column:

@@ -464,6 +464,30 @@ def test_near_duplicates_of_a_cloud(spark, monkeypatch):
     assert got(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(held), key=repr)
 
 
+def test_members_of_nodes_that_stay_mixed_take_no_further_paths(spark, monkeypatch):
+    """Edits of one text below the threshold stay together on most paths; they are compared after the first ones."""
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    branched, deal = [], near_dup._branched
+
+    def counted(large, sampled):
+        branched.append(large.count())
+        return deal(large, sampled)
+
+    monkeypatch.setattr(near_dup, "_branched", counted)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(120)]
+    held = []
+    for i in range(80):
+        w = list(base)
+        for at in rng.sample(range(120), rng.randrange(3, 6)):
+            w[at] = word()
+        held.append((i, " ".join(w)))
+    found = near_dup.near_duplicates(spark.createDataFrame(held, "doc_id long, text string"))
+    assert got(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(held), key=repr)
+    assert branched[0] and not sum(branched[1:])
+
+
 def test_near_duplicates_find_all_links_of_a_table(spark):
     """Every document's class at sf0.01, against all pairs that share a shingle."""
     held = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
